@@ -30,7 +30,7 @@ def season_rows(history: DataFrame, totals: DataFrame) -> DataFrame:
     """One row per player-season: observed classes and, for a single class, its totals."""
     known = F.when(F.col("class_ord").between(0, EDGES), F.col("class_ord"))
     seen = history.groupBy("player_id", "season_start", "season_end").agg(
-        F.count_distinct(known).alias("observed_classes")
+        F.coalesce(F.min(known) != F.max(known), F.lit(False)).alias("multi_class")
     )
     groups = totals.groupBy("player_id", "season_start").agg(
         F.count(F.lit(1)).alias("groups"),
@@ -89,9 +89,7 @@ def transitions(seasons: DataFrame) -> DataFrame:
     gap = F.abs(F.col("class_ord") - F.col("older_class_ord"))
     reason = (
         F.when(F.col("older_season_end") != F.col("season_start"), "nonconsecutive")
-        .when(
-            (F.col("observed_classes") > 1) | (F.col("older_observed_classes") > 1), "multiClass"
-        )
+        .when(F.col("multi_class") | F.col("older_multi_class"), "multiClass")
         .when((F.col("groups") != 1) | (F.col("older_groups") != 1), "incompleteEvidence")
         .when(gap == 0, "sameClass")
         .when(gap != 1, "nonAdjacentOrUnknownClass")
@@ -137,8 +135,7 @@ def for_cutoffs(df: DataFrame, cutoffs: DataFrame, end: str = "season_end") -> D
     The distinct cutoffs are one row with an array of years, read as a scalar subquery.
     """
     years = cutoffs.agg(F.sort_array(F.collect_set("cutoff"))).scalar()
-    later = F.filter(years, lambda y: y >= F.col(end))
-    return df.withColumn("cutoff", F.explode(later))
+    return df.withColumn("cutoff", F.explode(years)).where(F.col("cutoff") >= F.col(end))
 
 
 def cap_weights(df: DataFrame, by: Sequence[str], weight: str = "raw_weight") -> DataFrame:
@@ -183,21 +180,21 @@ def calibrate_classes(observations: DataFrame, by: Sequence[str] = ()) -> DataFr
     keys = [*by, "edge"]
     used = observations.where(F.col("reason").isNull()).drop("reason")
     capped = cap_weights(used, keys)
-    facts = capped.groupBy(*keys).agg(
+    ranked = with_position(
+        capped, keys, ["value", "player_id", "older_start"], {"_run": F.col("weight")}, "_pos"
+    )
+    reached = F.when(F.col("_run") * 2 >= F.col("_run_total"), F.col("_pos"))
+    return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
+        F.min_by("value", reached).alias("offset"),
+        F.max("_run_total").alias("total_weight"),
         F.sum("raw_weight").alias("raw_total_weight"),
         F.max("weight_median").alias("weight_median"),
         F.max("weight_cap").alias("weight_cap"),
         F.count_if(F.col("weight") < F.col("raw_weight")).alias("capped"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
-    )
-    medians = weighted_median(capped, keys, "value", "weight", ["player_id", "older_start"])
-    return (
-        facts.join(medians, keys)
-        .withColumnRenamed("median", "offset")
-        .withColumn("published", F.col("observations") >= MIN_TRANSITIONS)
-    )
+    ).withColumn("published", F.col("observations") >= MIN_TRANSITIONS)
 
 
 def edge_row(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

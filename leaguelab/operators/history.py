@@ -256,14 +256,19 @@ def overlap_ambiguous(segment_rounds: DataFrame) -> DataFrame:
 
 def flag_ambiguity(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     """Identity and round-overlap flags of every player-season."""
+    name = F.lower(squeeze(F.col("name")))
     names = segments.groupBy(*SEASON).agg(
-        (F.count_distinct(F.lower(squeeze(F.col("name")))) > 1).alias("identity_ambiguous")
+        (F.min(name) != F.max(name)).alias("identity_ambiguous")
     )
+    return _with_overlap(names, segment_rounds)
+
+
+def _with_overlap(seasons: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     overlap = overlap_ambiguous(segment_rounds).withColumn("_overlap", F.lit(True))
-    return names.join(overlap, SEASON, "left").select(
-        *SEASON,
-        "identity_ambiguous",
-        F.coalesce("_overlap", F.lit(False)).alias("round_overlap_ambiguous"),
+    return (
+        seasons.join(overlap, SEASON, "left")
+        .withColumn("round_overlap_ambiguous", F.coalesce("_overlap", F.lit(False)))
+        .drop("_overlap")
     )
 
 
@@ -311,19 +316,24 @@ def usable_history(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     A player with any invalid segment (see ``check_rows``), or with two seasons that start in the
     same year, is dropped as a whole.
     """
-    bad_rows = check_rows(segments).where(F.size("reasons") > 0).select("player_id")
-    twice = (
-        segments.groupBy(*SEASON)
-        .agg(F.count_distinct("season_end").alias("_ends"))
-        .where(F.col("_ends") > 1)
-        .select("player_id")
-    )
-    bad = bad_rows.unionByName(twice).distinct()
-    flags = flag_ambiguity(segments, segment_rounds).select(
-        *SEASON,
-        (F.col("identity_ambiguous") | F.col("round_overlap_ambiguous")).alias("ambiguous"),
-    )
-    return segments.join(bad, "player_id", "left_anti").join(flags, SEASON)
+    name = F.lower(squeeze(F.col("name")))
+    seasons = check_rows(segments).groupBy(*SEASON).agg(
+        (F.min(name) != F.max(name)).alias("identity_ambiguous"),
+        F.bool_or(F.size("reasons") > 0).alias("_bad"),
+        (F.min("season_end") != F.max("season_end")).alias("_twice"),
+    )
+    # One row per season of a player, so this window is as long as a career.
+    career = Window.partitionBy("player_id")
+    usable = ~F.bool_or(F.col("_bad") | F.col("_twice")).over(career)
+    flags = (
+        _with_overlap(seasons.withColumn("_usable", usable), segment_rounds)
+        .where("_usable")
+        .select(
+            *SEASON,
+            (F.col("identity_ambiguous") | F.col("round_overlap_ambiguous")).alias("ambiguous"),
+        )
+    )
+    return segments.join(flags, SEASON)
 
 
 def season_class_totals(history: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
 from ..operators import calibration as K
 from ..operators import history as H
 from .registry import query
@@ -105,9 +106,12 @@ _ALL = with_ctes(SEGMENTS_SQL, SEASON_ROWS_SQL)
 
 
 def history_tables(spark, d):
-    """Usable history and its class totals."""
+    """Usable history and its class totals.
+
+    The history feeds several branches of every rating query, so it is written once.
+    """
     long = segment_rounds(spark, d)
-    history = H.usable_history(H.build_segments(long), long)
+    history = cut_lineage(H.usable_history(H.build_segments(long), long))
     return history, H.season_class_totals(history)
 
 
