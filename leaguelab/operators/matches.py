@@ -439,10 +439,14 @@ def order_archive(items: DataFrame) -> DataFrame:
     return items.orderBy(F.col("season").desc(), F.col("round_weight").desc(), "league", "position")
 
 
-def order_rounds(df: DataFrame, name: str = "round_name") -> DataFrame:
+def round_order(name: str = "round_name") -> list[Column]:
     """Natural order of round names: by their leading number, others by text."""
     number = F.regexp_extract(name, r"^\s*(\d+)", 1).try_cast("bigint")
-    return df.orderBy(number.asc_nulls_last(), name)
+    return [number.asc_nulls_last(), F.col(name)]
+
+
+def order_rounds(df: DataFrame, name: str = "round_name") -> DataFrame:
+    return df.orderBy(*round_order(name))
 
 
 def flag_incomplete(items: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = [
     "career_queries",
     "history_queries",
     "rating_queries",
+    "match_queries",
 ]
 
 
