@@ -95,7 +95,7 @@ def parse_matches(lines: DataFrame, line: str = "line") -> DataFrame:
     rows = rows.withColumn("_right", clean(F.substring("_text", at + 3, F.length("_text"))))
     left, right = F.col("_left"), F.col("_right")
     timed = _part(left, rf"\d{{1,2}}:\d{{2}}{_W}+(.+)", 1)
-    dated = _part(left, rf"\d{{1,2}}\.\d{{1,2}}\.\d{{4}}{_W}+(.+)", 1)
+    dated = _part(left, rf"\d{{1,2}}\.{_W}*\d{{1,2}}\.\d{{4}}{_W}+(.+)", 1)
     scored = rf"^(.+?){_W}+(\d+):(\d+)$"
     unscored = rf"^(.+?){_W}+(?:---|:)$"
     home_score = _part(right, scored, 2).try_cast("bigint")

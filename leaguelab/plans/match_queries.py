@@ -272,12 +272,12 @@ def _dedupe(spark, d):
 
 @query("W18_dedupe_best", """
 SELECT o, l, s, p FROM (SELECT *, row_number() OVER (PARTITION BY day, club
-  ORDER BY both DESC, score_len DESC, o, l, p, s) AS rn FROM (
+  ORDER BY two DESC, score_len DESC, o, l, p, s) AS rn FROM (
     SELECT l_orderkey AS o, l_linenumber AS l, l_suppkey AS s, l_partkey AS p,
       CAST(l_shipdate AS DATE) AS day,
       regexp_replace(lower(CASE WHEN l_suppkey % 7 = 0 THEN p_type ELSE p_name END), '[^a-z]', '', 'g')
         AS club,
-      l_suppkey % 3 <> 0 AND l_suppkey % 7 <> 0 AS both,
+      l_suppkey % 3 <> 0 AND l_suppkey % 7 <> 0 AS two,
       length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) + 1 AS score_len
     FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (l_suppkey % 3 = 0 AND l_suppkey % 7 = 0)))
 WHERE rn = 1""")

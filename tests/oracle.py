@@ -57,8 +57,9 @@ def compare(spark, folder: str, build, sql: str) -> str | None:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     if left != right:
-        only_l = [r for r in left if r not in set(right)][:3]
-        only_r = [r for r in right if r not in set(left)][:3]
+        in_l, in_r = set(left), set(right)
+        only_l = [r for r in left if r not in in_r][:3]
+        only_r = [r for r in right if r not in in_l][:3]
         return f"{len(left)} vs {len(right)} rows; spark {only_l}; sql {only_r}"
     if not left:
         return "no rows"
