@@ -15,6 +15,8 @@ MODULES = [
     "history_queries",
     "rating_queries",
     "match_queries",
+    "identity_queries",
+    "outcome_queries",
 ]
 
 
