@@ -102,11 +102,11 @@ lineups AS (SELECT l_orderkey AS id, l_partkey, l_suppkey, l_quantity AS h, l_ex
 
 
 @query("M15_pair_matrix", with_ctes(_WORDS_SQL) + """
-SELECT id, l_partkey AS part_id, l_suppkey AS supp_id, n AS line_no, hs.i AS home_slot, vs.i AS away_slot,
-  round((h + hs.i) / (h + hs.i + 20 + vs.i), 6) AS home_share,
-  CAST(floor(100 * ((h + hs.i) / (h + hs.i + 20 + vs.i)) + 0.5) AS BIGINT) AS home_percent,
-  f = 'R' AND hs.i = 1 OR vs.i = 4 AS uncertain
-FROM lineups, (VALUES (1), (2), (3), (4)) hs(i), (VALUES (1), (2), (3), (4)) vs(i)""")
+SELECT l_partkey AS part_id, hs.i AS home_slot, vs.i AS away_slot, count(*) AS pairs,
+  round(sum((h + hs.i) / (h + hs.i + 20 + vs.i)), 6) AS home_share,
+  CAST(sum(floor(100 * ((h + hs.i) / (h + hs.i + 20 + vs.i)) + 0.5)) AS BIGINT) AS home_percent,
+  CAST(sum(CASE WHEN f = 'R' AND hs.i = 1 OR vs.i = 4 THEN 1 ELSE 0 END) AS BIGINT) AS uncertain
+FROM lineups, (VALUES (1), (2), (3), (4)) hs(i), (VALUES (1), (2), (3), (4)) vs(i) GROUP BY 1, 2, 3""")
 def _pairs(spark, d):
     def slot(i, rating, confidence, evidence):
         return F.struct(
@@ -117,8 +117,7 @@ def _pairs(spark, d):
     q = F.col("l_quantity")
     low = F.when(F.col("l_returnflag") == "R", "very-low").otherwise("high")
     rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part_id"),
-        F.col("l_suppkey").alias("supp_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_id"),
         F.array(
             *[slot(i, q + i, low if i == 1 else F.lit("medium"), "current") for i in (1, 2, 3, 4)]
         ).alias("home_slots"),
@@ -129,9 +128,9 @@ def _pairs(spark, d):
             ]
         ).alias("away_slots"),
     )
-    return O.pair_matrix(rows, ["id", "part_id", "supp_id", "line_no"]).select(
-        "id", "part_id", "supp_id", "line_no", "home_slot", "away_slot",
-        F.round("home_share", 6).alias("home_share"), "home_percent", "uncertain",
+    return O.pair_matrix(rows, ["part_id"]).groupBy("part_id", "home_slot", "away_slot").agg(
+        F.count(F.lit(1)).alias("pairs"), F.round(F.sum("home_share"), 6).alias("home_share"),
+        F.sum("home_percent").alias("home_percent"), F.count_if("uncertain").alias("uncertain"),
     )
 
 
@@ -321,3 +320,191 @@ def _outcome_examples(spark, d):
         "outcome", F.round("home_rating", 6).alias("home_rating"),
         F.round("away_rating", 6).alias("away_rating"),
     )
+
+
+# --- rosters of the season 2001: current players have accepted, final lines ---------------------------
+
+_ROSTER_SQL = """
+cur AS (SELECT l_partkey AS player_id, CAST(l_partkey % 25 AS VARCHAR) AS club_no,
+    CAST((p_size + 1) % 5 AS INTEGER) AS class_ord, CAST(sum(l_quantity) AS BIGINT) AS points,
+    count(*) AS appearances FROM lineitem JOIN part ON p_partkey = l_partkey
+  WHERE year(l_shipdate) = 2001 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1, 2, 3),
+past AS (SELECT *, max(last_round) OVER (PARTITION BY player_id, season_start) AS m FROM history
+  WHERE season_start IN (1999, 2000) AND NOT ambiguous),
+cand AS (SELECT DISTINCT player_id, season_start, club_no, class_ord FROM (
+    SELECT *, min(club_no) OVER w AS lo, max(club_no) OVER w AS hi FROM past
+    WHERE last_round = m AND m >= 0 WINDOW w AS (PARTITION BY player_id, season_start))
+  WHERE lo = hi AND class_ord <= 3),
+targets AS (SELECT player_id, 2001 AS cutoff, class_ord AS target_ord FROM cur WHERE class_ord <= 3
+  UNION SELECT player_id, 2001, class_ord FROM cand)"""
+_MADE_SQL = """
+roster1 AS (
+  SELECT c.club_no, c.class_ord, c.player_id,
+    CASE WHEN c.appearances > 0 THEN (c.points + 4 * p.prior) / (c.appearances + 4) ELSE p.prior END
+      AS rating,
+    CASE WHEN p.prior_seasons > 0 THEN 'current+history' ELSE 'current' END AS evidence,
+    CASE WHEN p.prior_seasons > 0 AND NOT p.class_calibrated THEN 'very-low'
+      WHEN c.appearances >= 8 THEN 'high' WHEN p.prior_seasons > 0 THEN 'medium'
+      ELSE 'provisional' END AS confidence
+  FROM cur c JOIN priors p ON p.player_id = c.player_id AND p.target_ord = c.class_ord
+  UNION ALL
+  SELECT c.club_no, c.class_ord, c.player_id, p.prior, 'historical',
+    CASE WHEN p.confidence = 'very-low' THEN 'very-low' ELSE 'provisional' END
+  FROM cand c JOIN priors p ON p.player_id = c.player_id AND p.target_ord = c.class_ord
+  WHERE c.season_start = 2000 AND p.prior_seasons > 0
+    AND c.player_id NOT IN (SELECT player_id FROM cur)),
+older AS (SELECT c.club_no, c.class_ord, c.player_id, p.prior AS rating, row_number() OVER (
+    PARTITION BY c.club_no, c.class_ord ORDER BY p.prior DESC, c.player_id) AS place
+  FROM cand c JOIN priors p ON p.player_id = c.player_id AND p.target_ord = c.class_ord
+  WHERE c.season_start = 1999 AND p.prior_seasons > 0
+    AND c.player_id NOT IN (SELECT player_id FROM cur)
+    AND c.player_id NOT IN (SELECT player_id FROM history WHERE season_start = 2000)),
+roster AS (SELECT * FROM roster1 UNION ALL
+  SELECT o.club_no, o.class_ord, o.player_id, o.rating, 'historical-fallback', 'very-low' FROM older o
+  LEFT JOIN (SELECT club_no, class_ord, count(*) AS n FROM roster1 GROUP BY 1, 2) s
+    USING (club_no, class_ord) WHERE o.place <= 4 - coalesce(s.n, 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY club_no, class_ord ORDER BY list_position(
+    ['current+history', 'current', 'historical', 'historical-fallback'], evidence), rating DESC,
+    player_id) AS slot FROM roster)"""
+_ROSTER = with_ctes(SEGMENTS_SQL, SEASON_ROWS_SQL, EDGES_SQL, _ROSTER_SQL, PRIORS_SQL, _MADE_SQL)
+
+
+def _roster_tables(spark, d):
+    """Teams, current players, candidates, history, priors and class means for 2001."""
+    _, history, totals = _history(spark, d)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("player_id"), "p_size", "p_name")
+    lines = table(spark, d, "lineitem").where(
+        (F.year("l_shipdate") == 2001) & (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
+    )
+    played = lines.groupBy(F.col("l_partkey").alias("player_id")).agg(
+        F.sum("l_quantity").cast("bigint").alias("points"), F.count(F.lit(1)).alias("appearances")
+    )
+    labels = F.array(*[F.lit(x) for x in [*K.CLASSES, "Mix"]])
+    sources = played.join(part, "player_id").select(
+        "player_id", F.col("p_name").alias("name"), F.lower("p_name").alias("name_key"),
+        (F.col("player_id") % 25).cast("string").alias("club_no"),
+        F.concat(
+            F.element_at(labels, ((F.col("p_size") + 1) % 5 + 1).cast("int")), F.lit(" 2001/02")
+        ).alias("league"),
+        F.lit(None).cast("string").alias("season"), F.lit(None).cast("string").alias("team_label"),
+        "points", "appearances",
+    )
+    return history, totals, sources
+
+
+def _teams(spark, d):
+    clubs = table(spark, d, "part").select((F.col("p_partkey") % 25).cast("string").alias("club_no")).distinct()
+    return clubs.withColumn("target_ord", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        F.concat_ws(":", "club_no", "target_ord").alias("team_id"), "club_no",
+        F.lit(None).cast("string").alias("label"), F.lit(False).alias("multi_team"),
+        F.lit(2001).alias("cutoff"), "target_ord",
+    )
+
+
+def _current(sources):
+    from ..functions.classes import class_ordinal
+
+    # Mixed labels are no class; their rows keep a NULL class and fit no team.
+    fixed = sources.withColumn(
+        "league", F.when(F.col("league").startswith("Mix"), "Mix").otherwise(F.col("league"))
+    ).withColumn("season", F.lit("2001/02"))
+    out = T.current_players(fixed, "2001/02", "2001/02", normalized=True)
+    return out.withColumn("class_ord", class_ordinal(F.col("class")))
+
+
+def _roster(spark, d):
+    history, totals, sources = _roster_tables(spark, d)
+    teams, current = _teams(spark, d), _current(sources)
+    candidates = cut_lineage(T.historical_candidates(teams, history))
+    targets = T.roster_targets(teams, current, candidates)
+    seasons = K.season_rows(history, totals)
+    cutoffs = teams.select("cutoff")
+    edges = K.edge_row(K.calibrate_classes(K.for_cutoffs(K.transitions(seasons), cutoffs), ["cutoff"]), ["cutoff"])
+    means = K.class_season_means(totals)
+    priors = cut_lineage(K.historical_prior(targets, seasons, totals, means, edges))
+    return teams, T.team_roster(teams, current, candidates, history, priors), means
+
+
+@query("M9_team_roster", _ROSTER + """
+SELECT club_no || ':' || class_ord AS team_id, player_id, round(rating, 6) AS rating, evidence,
+  confidence FROM roster""")
+def _team_roster(spark, d):
+    return _roster(spark, d)[1].select(
+        "team_id", "player_id", F.round("rating", 6).alias("rating"), "evidence", "confidence"
+    )
+
+
+@query("W14_roster_order", _ROSTER + """
+SELECT club_no || ':' || class_ord AS team_id, player_id, slot AS place FROM placed""")
+def _roster_place(spark, d):
+    from ..operators.ordering import with_position
+
+    roster = _roster(spark, d)[1]
+    return with_position(roster, ["team_id"], T.roster_order(), name="place").select(
+        "team_id", "player_id", "place"
+    )
+
+
+@query("M10_complete_lineup", _ROSTER + """
+, teams AS (SELECT DISTINCT CAST(p_partkey % 25 AS VARCHAR) AS club_no, i AS class_ord
+  FROM part, (VALUES (0), (1), (2), (3)) v(i)),
+means AS (SELECT class_ord, arg_max(mean, season_end) AS mean FROM class_means WHERE season_end <= 2001
+  GROUP BY 1),
+full4 AS (SELECT t.club_no, t.class_ord, i AS slot, coalesce(p.rating, m.mean, 1) AS rating,
+    coalesce(p.evidence, 'neutral') AS evidence, coalesce(p.confidence, 'very-low') AS confidence
+  FROM teams t CROSS JOIN (VALUES (1), (2), (3), (4)) v(i)
+  LEFT JOIN placed p ON p.club_no = t.club_no AND p.class_ord = t.class_ord AND p.slot = i
+  LEFT JOIN means m ON m.class_ord = t.class_ord)
+SELECT club_no || ':' || class_ord AS team_id, CAST(slot AS INTEGER) AS slot, round(rating, 6) AS rating,
+  evidence, CASE WHEN sum(CASE WHEN evidence = 'neutral' THEN 1 ELSE 0 END) OVER w >= 2 THEN 'very-low'
+    ELSE ['high', 'medium', 'provisional', 'very-low'][max(list_position(
+      ['high', 'medium', 'provisional', 'very-low'], confidence)) OVER w] END AS team_confidence
+FROM full4 WINDOW w AS (PARTITION BY club_no, class_ord)""")
+def _complete(spark, d):
+    teams, roster, means = _roster(spark, d)
+    class_means = K.target_mean(teams, means).select(
+        "cutoff", "target_ord", F.when(F.col("mean_available"), F.col("target_mean")).alias("class_mean")
+    )
+    full = T.complete_lineup(
+        roster, teams.select("team_id", "cutoff", "target_ord").join(class_means, ["cutoff", "target_ord"])
+    )
+    return full.select("team_id", F.explode("slots").alias("s"), "team_confidence").select(
+        "team_id", F.col("s.slot").alias("slot"), F.round("s.rating", 6).alias("rating"),
+        F.col("s.evidence").alias("evidence"), "team_confidence",
+    )
+
+
+@query("J13_J14_roster_vetoes", _ROSTER + """
+SELECT player_id, season_start, class_ord FROM cand
+WHERE player_id NOT IN (SELECT player_id FROM cur)
+  AND (season_start = 2000 OR player_id NOT IN (SELECT player_id FROM history WHERE season_start = 2000))""")
+def _vetoes(spark, d):
+    history, _, sources = _roster_tables(spark, d)
+    teams = _teams(spark, d)
+    free = T.veto_roster(T.historical_candidates(teams, history), _current(sources))
+    newest = history.where(F.col("season_start") == 2000).select("player_id", F.lit(2001).alias("cutoff"))
+    kept = free.where(F.col("age") == 1).unionByName(
+        T.absent_from_season(free.where(F.col("age") == 2), newest).select(*free.columns)
+    )
+    return kept.select(
+        "player_id", (F.lit(2001) - F.col("age")).alias("season_start"),
+        F.col("target_ord").alias("class_ord"),
+    ).distinct()
+
+
+@query("M7_current_players", """
+SELECT o_custkey AS player_id, CASE WHEN bool_or(o_orderpriority = '5-LOW') THEN 'ambiguous'
+  WHEN count(DISTINCT o_totalprice) FILTER (year(o_orderdate) = 1998) > 1 THEN 'ambiguous'
+  WHEN count(*) FILTER (year(o_orderdate) = 1998) = 0 THEN 'irrelevant' ELSE 'usable' END AS status
+FROM orders GROUP BY 1""")
+def _current_rows(spark, d):
+    year = F.year("o_orderdate")
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("player_id"), F.lit("Ann").alias("name"), F.lit("ann").alias("name_key"),
+        F.lit("7").alias("club_no"), F.concat(F.lit("A-Klasse "), year.cast("string"), F.lit("/"),
+            F.lpad(((year + 1) % 100).cast("string"), 2, "0")).alias("league"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "nonsense").alias("season"),
+        F.lit(None).cast("string").alias("team_label"), F.col("o_totalprice").alias("points"),
+        F.lit(1).alias("appearances"),
+    )
+    return T.current_players(rows, None, "1998/99", normalized=True).select("player_id", "status")
