@@ -17,6 +17,8 @@ MODULES = [
     "match_queries",
     "identity_queries",
     "outcome_queries",
+    "snapshot_queries",
+    "gate_queries",
 ]
 
 
