@@ -19,6 +19,8 @@ MODULES = [
     "outcome_queries",
     "snapshot_queries",
     "gate_queries",
+    "function_queries",
+    "page_queries",
 ]
 
 

@@ -56,6 +56,12 @@ def _build_tokenizer() -> Callable[[str], list[tuple]]:
                 )
             )
 
+        def close_heading(self):
+            text = self.text_of(self.heading) if self.heading is not None else ""
+            self.heading = None
+            if text:
+                self.put("heading", text=text)
+
         def text_of(self, parts):
             return squeeze_re.sub(" ", " ".join(parts)).strip()
 
@@ -80,7 +86,8 @@ def _build_tokenizer() -> Callable[[str], list[tuple]]:
             if tag == "table":
                 self.depth += 1
                 if self.depth == 1:
-                    self.rows, self.section, self.heading = 0, "", None
+                    self.close_heading()
+                    self.rows, self.section = 0, ""
             elif self.depth == 1 and tag in sections:
                 self.close_row()
                 self.section = tag
@@ -95,8 +102,11 @@ def _build_tokenizer() -> Callable[[str], list[tuple]]:
                         if int(value) <= 100:
                             kept.append(f"{name}={value}")
                 self.cell, self.span = [], " ".join(sorted(kept))
-            elif self.depth == 0 and tag in headings and self.heading is None:
-                self.heading, self.heading_tag = [], tag
+            elif self.depth == 0 and tag in headings:
+                # Bold text inside a heading belongs to it; a heading ends open bold text.
+                if self.heading is None or tag.startswith("h"):
+                    self.close_heading()
+                    self.heading, self.heading_tag = [], tag
 
         def handle_endtag(self, tag):
             if self.skip:
@@ -117,11 +127,8 @@ def _build_tokenizer() -> Callable[[str], list[tuple]]:
                 self.section = ""
             elif self.depth == 1 and tag in ("td", "th"):
                 self.close_cell()
-            elif self.depth == 0 and tag == self.heading_tag and self.heading is not None:
-                text = self.text_of(self.heading)
-                self.heading = None
-                if text:
-                    self.put("heading", text=text)
+            elif self.depth == 0 and tag == self.heading_tag:
+                self.close_heading()
 
         def handle_data(self, data):
             if self.skip:
