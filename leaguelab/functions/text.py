@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import let
+
 _SPACES = r"[\s\u00a0]+"
 
 
@@ -95,12 +97,15 @@ def player_key(c: Column, normalized: bool = False) -> Column:
 
 def last_first_swapped(c: Column) -> Column:
     """'Last, First' becomes 'First Last' when there is exactly one comma."""
-    text = squeeze(c)
-    parts = F.split(text, ",")
-    last, first = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
-    return F.when(
-        (F.size(parts) == 2) & (last != "") & (first != ""), F.concat_ws(" ", first, last)
-    ).otherwise(text)
+
+    def swap(text: Column) -> Column:
+        parts = F.split(text, ",")
+        last, first = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+        return F.when(
+            (F.size(parts) == 2) & (last != "") & (first != ""), F.concat_ws(" ", first, last)
+        ).otherwise(text)
+
+    return let(squeeze(c), swap)
 
 
 def ascii_words(c: Column) -> Column:

@@ -393,11 +393,10 @@ def run_decision(
 
 def ranking_after_leagues(rankings: DataFrame, leagues: DataFrame) -> DataFrame:
     """Block the rankings when the league gate failed or names another season."""
-    l = leagues.select(  # noqa: E741
-        F.lit("rankings").alias("domain"), F.col("decision").alias("_d"),
-        F.col("effective_season").alias("_s"),
-    )
-    joined = rankings.join(l, "domain", "left")
+    league = leagues.select(
+        F.struct(F.col("decision").alias("_d"), F.col("effective_season").alias("_s"))
+    ).scalar()
+    joined = rankings.withColumn("_l", league).select("*", "_l.*")
     no_league = ~F.coalesce(F.col("_d").isin(PUBLISH, RETAIN), F.lit(False))
     other = (F.col("decision") == PUBLISH) & (F.col("effective_season") != F.col("_s"))
     reason = F.when(no_league, F.array(F.lit("league season is unavailable"))).when(

@@ -219,7 +219,7 @@ def _history_rows(spark, d):
     third = F.when(open_line & (digit == 5), F.lit("?")).otherwise(F.lit("VW"))
     shown = F.when(open_line & (digit == 6), total + q).otherwise(total).cast("string")
     rows = lines.select(
-        F.lit(1).alias("table_id"),
+        F.year("l_shipdate").alias("table_id"),
         F.col("l_orderkey").alias("row_no"),
         F.concat_ws("/", F.year("l_shipdate"), F.year("l_shipdate") + 1).alias("season"),
         F.lit("A-Klasse").alias("league"),

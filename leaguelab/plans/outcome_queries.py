@@ -262,8 +262,8 @@ def _history(spark, d):
 
 def _lined_up(spark, d, long, history):
     club = lambda c: c.cast("string")
-    clubs = table(spark, d, "supplier").select(
-        club(F.col("s_suppkey") % 25).alias("club_no")
+    clubs = table(spark, d, "part").select(
+        club(F.col("p_partkey") % 25).alias("club_no")
     ).distinct().withColumn("label", F.concat(F.lit("club "), F.col("club_no")))
     mapping = I.team_mapping(clubs)
     goals = F.col("l_quantity").cast("bigint") % 17

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.rankings import ranking_long
 from ..sources import pages as P
 from ..sources.sinks import content_hash, run_report
-from ..sources.snapshots import league_lines, parse_snapshot
+from ..sources.snapshots import import_history, league_lines, parse_snapshot
 from .gate_queries import _RESULTS_SQL, _results
 from .registry import query
 from .roles import table, with_ctes
@@ -272,3 +272,16 @@ def _running(spark, d):
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "user_id", "games",
         F.round("mean", 6).alias("mean"),
     )
+
+
+@query("S4_import_history", """
+SELECT CAST(o_custkey AS VARCHAR) AS player_id, CAST(i AS INTEGER) AS position,
+  CAST(year(o_orderdate) + i AS INTEGER) AS season_start, o_orderkey AS points
+FROM orders, (VALUES (0), (1)) v(i)""")
+def _import(spark, d):
+    year = F.year("o_orderdate")
+    record = lambda y: F.struct(y.alias("season_start"), F.col("o_orderkey").alias("points"))
+    histories = F.create_map(
+        F.col("o_custkey").cast("string"), F.array(record(year), record(year + 1))
+    )
+    return import_history(table(spark, d, "orders").select(histories.alias("histories")))
