@@ -316,24 +316,21 @@ def usable_history(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     A player with any invalid segment (see ``check_rows``), or with two seasons that start in the
     same year, is dropped as a whole.
     """
+    columns = segments.columns
     name = F.lower(squeeze(F.col("name")))
-    seasons = check_rows(segments).groupBy(*SEASON).agg(
-        (F.min(name) != F.max(name)).alias("identity_ambiguous"),
-        F.bool_or(F.size("reasons") > 0).alias("_bad"),
-        (F.min("season_end") != F.max("season_end")).alias("_twice"),
-    )
-    # One row per season of a player, so this window is as long as a career.
-    career = Window.partitionBy("player_id")
-    usable = ~F.bool_or(F.col("_bad") | F.col("_twice")).over(career)
-    flags = (
-        _with_overlap(seasons.withColumn("_usable", usable), segment_rounds)
-        .where("_usable")
-        .select(
-            *SEASON,
-            (F.col("identity_ambiguous") | F.col("round_overlap_ambiguous")).alias("ambiguous"),
-        )
-    )
-    return segments.join(flags, SEASON)
+    # A player has a handful of segments per season, so these windows are as long as a career.
+    season, career = Window.partitionBy(*SEASON), Window.partitionBy("player_id")
+    checked = (
+        check_rows(segments)
+        .repartition("player_id")
+        .withColumn("_conflict", F.min(name).over(season) != F.max(name).over(season))
+        .withColumn("_twice", F.min("season_end").over(season) != F.max("season_end").over(season))
+        .withColumn("_bad", F.bool_or((F.size("reasons") > 0) | F.col("_twice")).over(career))
+        .where(~F.col("_bad"))
+    )
+    return _with_overlap(checked, segment_rounds).select(
+        *columns, (F.col("_conflict") | F.col("round_overlap_ambiguous")).alias("ambiguous")
+    )
 
 
 def season_class_totals(history: DataFrame) -> DataFrame:

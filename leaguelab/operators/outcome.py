@@ -59,16 +59,28 @@ def with_grid(examples: DataFrame) -> DataFrame:
 
 
 def brier(examples: DataFrame) -> DataFrame:
-    """Mean of the three squared errors per grid point, combined before the shuffle."""
-    rows = with_grid(examples.select("home_rating", "away_rating", "outcome")).withColumn(
-        "_p", outcome_probs(F.col("home_rating"), F.col("away_rating"), F.col("params"))
+    """Mean of the three squared errors per grid point.
+
+    The error depends on the rating difference and the outcome only, so equal pairs are counted
+    before the grid multiplies the rows.
+    """
+    pairs = examples.groupBy(
+        (F.col("home_rating") - F.col("away_rating")).alias("_d"), "outcome"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    rows = with_grid(pairs).withColumn(
+        "_p", outcome_probs(F.col("_d"), F.lit(0.0), F.col("params"))
     )
     error = F.lit(0.0)
     for name in OUTCOMES:
         hit = F.when(F.col("outcome") == name, 1.0).otherwise(0.0)
         error = error + (F.col(f"_p.{name}") - hit) * (F.col(f"_p.{name}") - hit)
-    return rows.groupBy("params").agg(
-        F.avg(error).alias("brier"), F.count(F.lit(1)).alias("examples")
+    sums = rows.groupBy(F.col("params.grid_no").alias("_no")).agg(
+        F.sum(error * F.col("_n")).alias("_error"), F.sum("_n").alias("examples")
+    )
+    return sums.select(
+        F.element_at(grid(), F.col("_no") + 1).alias("params"),
+        (F.col("_error") / F.col("examples")).alias("brier"),
+        "examples",
     )
 
 
