@@ -38,12 +38,14 @@ def _int(c: Column, pattern: str, index: int) -> Column:
 
 def german_date(c: Column) -> Column:
     """``(ts, day, has_time)`` of the first 'd. m. yyyy [hh:mm]' in a text."""
-    found = let(c, lambda t: F.array(*[_int(t, _GERMAN, i) for i in (3, 2, 1, 4, 5)]))
+    # One search, then the numbers of the hit: day, month, year and perhaps hour and minute.
+    found = F.split(F.regexp_extract(c, _GERMAN, 0), "[^0-9]+")
+    numbers = F.transform(found, lambda x: x.try_cast("int"))
     return let(
-        found,
+        numbers,
         lambda p: _parts(
-            F.get(p, F.lit(0)) + F.when(F.get(p, F.lit(0)) < 100, 2000).otherwise(0),
-            *[F.get(p, F.lit(i)) for i in (1, 2, 3, 4)],
+            F.get(p, F.lit(2)) + F.when(F.get(p, F.lit(2)) < 100, 2000).otherwise(0),
+            *[F.get(p, F.lit(i)) for i in (1, 0, 3, 4)],
         ),
     )
 

@@ -55,14 +55,24 @@ def parse_fixtures(lines: DataFrame, line: str = "line") -> DataFrame:
 
     ``error`` is set for a line that cannot be read; filter on it for the quarantine.
     """
-    text = clean(F.col(line))
-    rows = lines.withColumn("_teams", F.regexp_replace(_part(text, _LINE, 3), _SCORE_END, ""))
-    rows = rows.withColumn("home", clean(_part(F.col("_teams"), _SIDES, 1)))
-    rows = rows.withColumn("away", clean(_part(F.col("_teams"), _SIDES, 2)))
-    rows = rows.withColumn("_time", _part(text, _LINE, 2))
-    wall = german_date(F.concat_ws(" ", _part(text, _LINE, 1), F.col("_time")))["ts"]
-    utc = berlin_to_utc(F.when(F.col("_time").isNotNull(), wall))
-    rows = rows.withColumn("_utc", utc)
+    # One pass over the line: date, time and teams come out of a single match.
+    cut = "\x01"
+    parts = F.split(F.regexp_replace(clean(F.col(line)), _LINE, f"$1{cut}$2{cut}$3"), cut)
+    rows = lines.withColumn("_p", parts)
+    time = F.nullif(F.get("_p", F.lit(1)), F.lit(""))
+    teams = F.regexp_replace(F.get("_p", F.lit(2)), _SCORE_END, "")
+    sides = F.split(F.regexp_replace(teams, _SIDES, f"$1{cut}$2"), cut)
+    wall = german_date(F.when(time.isNotNull(), F.concat_ws(" ", F.get("_p", F.lit(0)), time)))["ts"]
+    rows = rows.select(
+        *lines.columns,
+        time.alias("_time"),
+        sides.alias("_s"),
+        berlin_to_utc(wall).alias("_utc"),
+    )
+    side = lambda i: F.when(
+        F.size("_s") == 2, F.nullif(clean(F.get("_s", F.lit(i))), F.lit(""))
+    )
+    rows = rows.withColumn("home", side(0)).withColumn("away", side(1)).drop("_s")
     rows = rows.withColumn("home_key", team_key(F.col("home"))).withColumn(
         "away_key", team_key(F.col("away"))
     )
@@ -79,7 +89,7 @@ def parse_fixtures(lines: DataFrame, line: str = "line") -> DataFrame:
         rows.withColumn("classification", kind)
         .withColumn("starts_at_utc", F.when(F.col("classification") == "game", F.col("_utc")))
         .withColumn("error", F.when(~readable, "unreadable fixture line"))
-        .drop("_teams", "_time", "_utc")
+        .drop("_time", "_utc")
     )
 
 

@@ -12,13 +12,13 @@ from ..functions import text as N
 from ..functions.fingerprint import fingerprint
 from ..functions.titles import title_identity
 from .registry import query
-from .roles import table
+from .roles import spread_table, table
 
 _LINE = "l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s"
 
 
 def _lines(spark, d):
-    return table(spark, d, "lineitem").select(
+    return spread_table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"),
         F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_quantity", "l_returnflag",
         "l_shipdate", F.year("l_shipdate").alias("y"),
@@ -138,7 +138,7 @@ def _names(spark, d):
 SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z0-9]+', ' ',
   'g'))) AS key FROM documents""")
 def _team_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(N.team_key(F.col("text"))).alias("key"))
+    return spread_table(spark, d, "documents").select("doc_id", F.md5(N.team_key(F.col("text"))).alias("key"))
 
 
 @query("P4b_P4d_team_names", """

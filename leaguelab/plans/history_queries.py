@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from .registry import query
-from .roles import SEGMENTS_SQL, segment_rounds, segments, table, with_ctes
+from .roles import SEGMENTS_SQL, segment_rounds, segments, spread_table, table, with_ctes
 
 _H = with_ctes(SEGMENTS_SQL)
 _ORDER = "coalesce(class_ord, 4), lower(league), club_no, rank"
@@ -205,7 +205,7 @@ SELECT player_id, CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE q END + q AS BIG
 FROM cells GROUP BY 1, 2, 3, 4""")
 def _history_rows(spark, d):
     headers = ["Pl.", "V-Nr.", "Nr.", "Vorname", "Name", "Gesamt", "R1", "Runde 2", "3"]
-    lines = table(spark, d, "lineitem")
+    lines = spread_table(spark, d, "lineitem")
     q = F.col("l_quantity").cast("bigint")
     first = F.when(F.col("l_returnflag") == "R", F.lit("x")).otherwise(q.cast("string"))
     total = F.when(F.col("l_returnflag") == "R", 0).otherwise(q) + q

@@ -10,7 +10,7 @@ from ..sources.sinks import content_hash, run_report
 from ..sources.snapshots import import_history, league_lines, parse_snapshot
 from .gate_queries import _RESULTS_SQL, _results
 from .registry import query
-from .roles import table, with_ctes
+from .roles import spread_table, table, with_ctes
 
 
 @query("S1_parse_snapshot", """
@@ -28,7 +28,7 @@ def _snapshot(spark, d):
     )
     # A plain payload may not end with ';'.
     text = F.when(kind == 2, F.regexp_replace(text, ";", "")).otherwise(text)
-    rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    rows = spread_table(spark, d, "orders").select("o_orderkey", text.alias("text"))
     return parse_snapshot(rows, "text", "ORDERS", "k bigint, status string").select(
         "o_orderkey", "issue", "data.k", "data.status"
     )
@@ -45,7 +45,7 @@ def _league_lines(spark, d):
     data = F.struct(
         F.create_map(F.concat(F.lit("L"), F.col("o_custkey").cast("string")), league).alias("leagues")
     )
-    return league_lines(table(spark, d, "orders").select(data.alias("data")))
+    return league_lines(spread_table(spark, d, "orders").select(data.alias("data")))
 
 
 @query("S3_ranking_long", """
@@ -75,7 +75,7 @@ def _pages(spark, d):
         F.lit("</b><table><tr><td>inner</td></tr></table> </td></tr></tbody></table>"
               "<table><tr><td>"), cell("page_id"), F.lit("</table>"),
     )
-    return table(spark, d, "pages").withColumn("html", F.concat("html", extra))
+    return spread_table(spark, d, "pages").withColumn("html", F.concat("html", extra))
 
 
 @query("S5_extract_tables", """
@@ -114,7 +114,7 @@ def _section_rows(spark, d):
         row(4, "Achtelfinale", ""),
         F.when(k % 5 != 0, row(5, "2.1.", "C", key, "8:8")),
     )
-    return table(spark, d, "orders").select(
+    return spread_table(spark, d, "orders").select(
         F.col("o_orderkey").alias("table_id"), F.col("o_orderpriority").alias("title"),
         F.explode(F.array_compact(rows)).alias("r"),
     ).select("table_id", "title", "r.*")
@@ -167,7 +167,7 @@ _HOST = "www.example.org"
 SELECT DISTINCT 'https://{_HOST}' || p AS url, p[2:] AS text FROM (
   SELECT unnest(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)) AS p FROM pages)""")
 def _links(spark, d):
-    return P.extract_links(table(spark, d, "pages"), _HOST, ["/"])
+    return P.extract_links(spread_table(spark, d, "pages"), _HOST, ["/"])
 
 
 @query("S10_canonical_url", f"""
@@ -184,7 +184,7 @@ def _urls(spark, d):
         .when(kind == 4, F.concat(F.lit("//evil.example/archiv/"), k))
         .otherwise(F.col("url"))
     )
-    return table(spark, d, "pages").select("page_id", P.canonical_url(href, _HOST, ["/archiv/"]).alias("url"))
+    return spread_table(spark, d, "pages").select("page_id", P.canonical_url(href, _HOST, ["/archiv/"]).alias("url"))
 
 
 @query("S11_season_index", """
@@ -198,7 +198,7 @@ def _index(spark, d):
         F.col("o_orderpriority") == "5-LOW",
         F.concat(F.lit("Saison "), F.concat_ws("/", y, y + 1), F.lit(" und "), F.concat_ws("/", y + 1, y + 2)),
     ).otherwise(F.concat(F.lit("Saison "), F.concat_ws("-", y, y + 1)))
-    return P.season_index(table(spark, d, "orders").select(url.alias("url"), text.alias("text")))
+    return P.season_index(spread_table(spark, d, "orders").select(url.alias("url"), text.alias("text")))
 
 
 @query("S12_club_index", """
@@ -208,7 +208,7 @@ FROM orders GROUP BY o_custkey""")
 def _clubs(spark, d):
     number = F.lpad((F.col("o_custkey") % 1000).cast("string"), 4, "0")
     url = F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url")
-    rows = table(spark, d, "orders")
+    rows = spread_table(spark, d, "orders")
     links = rows.select(url, F.concat(F.lit("DC "), "o_orderstatus").alias("text")).unionByName(
         rows.select(url, number.alias("text"))
     )
@@ -229,7 +229,7 @@ def _safe(spark, d):
         F.concat(url, cell("")), F.concat(cell(""), F.lit("<table></table>")),
     ]
     fragment = F.element_at(F.array(*variants), (F.col("page_id") % 8 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", P.safe_table_issue(fragment).alias("issue"))
+    return spread_table(spark, d, "pages").select("page_id", P.safe_table_issue(fragment).alias("issue"))
 
 
 @query("S13_run_report", with_ctes(_RESULTS_SQL) + """
@@ -284,4 +284,4 @@ def _import(spark, d):
     histories = F.create_map(
         F.col("o_custkey").cast("string"), F.array(record(year), record(year + 1))
     )
-    return import_history(table(spark, d, "orders").select(histories.alias("histories")))
+    return import_history(spread_table(spark, d, "orders").select(histories.alias("histories")))
