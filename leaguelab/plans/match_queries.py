@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import matches as M
 from ..operators.ordering import with_position
 from .registry import query
-from .roles import MATCHES_SQL, matches, table, with_ctes
+from .roles import MATCHES_SQL, matches, spread, table, with_ctes
 
 _M = with_ctes(MATCHES_SQL)
 _ID = ["order_id", "line_no", "part_id", "supp_id"]
@@ -28,7 +28,7 @@ texts AS (
 
 def fixture_texts(spark, d):
     """Matches with a ``line`` of text each."""
-    m = matches(spark, d)
+    m = spread(matches(spark, d))
     home = F.when(F.col("part_id") % 50 == 0, "Spielfrei").otherwise(F.col("home"))
     hour = F.lpad((F.col("line_no") + 12).cast("string"), 2, "0")
     time = F.when(F.col("part_id") % 33 == 0, F.lit("25:00")).otherwise(F.concat(hour, F.lit(":00")))

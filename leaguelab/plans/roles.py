@@ -20,17 +20,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows for work that is heavy per row.
 
-    A table of fewer files than cores (a single row group is one task) is spread over all cores;
-    a table of many files is read as it is, without a shuffle.
+    Inputs of fewer files than cores (a single row group is one task) go to all cores; larger
+    inputs stay as they are, without a shuffle.
     """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(table(spark, folder, name))
+
+
 def class_label(ordinal):
     return F.element_at(F.array(*[F.lit(c) for c in CLASS_LABELS]), (ordinal + 1).cast("int"))
 
@@ -235,7 +238,7 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     score = F.floor(F.col("l_quantity") / 3).cast("bigint")
     played = F.col("l_linestatus") == "F"
     return (
-        spread_table(spark, folder, "lineitem")
+        table(spark, folder, "lineitem")
         .join(sides, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(guests, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
