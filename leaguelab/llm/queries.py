@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import packed_documents
 from .shared import shared_path, table
+from .simhash_bktree import simhash_components
 from .token_orc import token_digests, write_token_orc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,12 +21,17 @@ def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op4_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(table(spark, folder, "documents"), width=3, radius=2)
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), BYTE_TOKENIZER, END_ID)
 
 
 QUERIES = {
     "op3_token_orc": op3_token_orc,
+    "op4_simhash_bktree": op4_simhash_bktree,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 SQL: dict[str, str] = {}
