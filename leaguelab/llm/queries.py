@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import packed_documents
+from .line_dedup import dedup_lines
 from .shared import shared_path, table
 from .simhash_bktree import simhash_components
 from .token_orc import token_digests, write_token_orc
@@ -29,9 +30,16 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), BYTE_TOKENIZER, END_ID)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, the text that is left, and the number of removed lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_words=8)
+
+
 QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {}
