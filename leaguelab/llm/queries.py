@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_fit_packing import packed_documents
 from .line_dedup import dedup_lines
-from .shared import shared_path, table
+from .shared import in_train, shared_path, table
 from .simhash_bktree import simhash_components
+from .toxicity import toxicity_scores
 from .token_orc import token_digests, write_token_orc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +32,15 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), BYTE_TOKENIZER, END_ID)
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").where(in_train(F.col("doc_id"), 5, 0))
+    scores = toxicity_scores(table(spark, folder, "documents"), labels)
+    return scores.select(
+        "doc_id", (~in_train(F.col("doc_id"), 5, 0)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, the text that is left, and the number of removed lines."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -40,6 +51,7 @@ QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {}
