@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit_packing import packed_documents
+from .language_id import detect_languages, train
 from .line_dedup import dedup_lines
 from .shared import in_train, shared_path, table
 from .simhash_bktree import simhash_components
@@ -16,6 +17,7 @@ from .token_orc import token_digests, write_token_orc
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), BYTE_TOKENIZER, END_ID)
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train(docs.where(in_train(F.col("doc_id"), 4, 2)).select("text", "lang"), PIECES)
+    return detect_languages(docs, model).select(
+        "doc_id", (~in_train(F.col("doc_id"), 4, 2)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(in_train(F.col("doc_id"), 5, 0))
     scores = toxicity_scores(table(spark, folder, "documents"), labels)
@@ -51,6 +61,7 @@ QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -18,7 +18,9 @@ import numpy as np
 _ODD = re.compile("[\x1c-\x1f]")
 _RUN, _TWO = re.compile(r"(\s{2,})"), re.compile(r"\s\s")
 # Signs that often end a word.
-_ENDS = ".,;:!?"
+_ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+# From here on, lower-casing and composing may not be exchanged.
+_MARKS = re.compile("[\u0300-\U0010ffff]")
 
 
 class WordEncoder:
@@ -28,7 +30,7 @@ class WordEncoder:
     so many words are looked up, they become the older of two generations.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = 600_000):
         from tokenizers import Tokenizer
 
         # Spark runs a worker on each core; a thread pool in each would only wait.
@@ -36,13 +38,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            kinds = str(json.load(f)["pre_tokenizer"])
+            spec = json.load(f)
         # Either white space is dropped, or one blank belongs to the word after it.
-        self.blank_kept = "Removed" not in kinds
+        self.blank_kept = "Removed" not in str(spec["pre_tokenizer"])
         self.memo_words = memo_words
         self.young: dict[str, dict] = {"": {}, " ": {}}
         self.old: dict[str, dict] = {"": {}, " ": {}}
-        self.ends = dict(zip(_ENDS, self._raw(list(_ENDS))))
+        self.lower_first = not self.blank_kept and "Lowercase" in str(spec["normalizer"])
+        self.tails: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,9 +61,11 @@ class WordEncoder:
         for w in words:
             if w in old:
                 young[w] = old[w]
-            elif w[-1:] in _ENDS and w[-2:-1].isalnum():
-                # A letter or digit and a sign after it are never in one piece.
-                stem = stems[w] = w[:-1]
+                continue
+            stem = w.rstrip(_ENDS)
+            if len(stem) < len(w) and stem[-1:].isalnum():
+                # A letter or digit and the signs after it are never in one piece.
+                stems[w] = stem
                 if stem in old:
                     young[stem] = old[stem]
                 elif stem not in young:
@@ -72,11 +77,18 @@ class WordEncoder:
             some = fresh[at : at + 4096]
             young.update(zip(some, self._raw([prefix + w for w in some])))
         for w, stem in stems.items():
-            young[w] = young[stem] + self.ends[w[-1]]
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {}
+                self.tails[tail] = self._raw([tail])[0]
+            young[w] = young[stem] + self.tails[tail]
 
     def _chunks(self, text: str) -> list[tuple[str, list[str]]]:
         """Words in order, as runs of (blank or nothing before each word, words)."""
         if not self.blank_kept:
+            if self.lower_first and (text.isascii() or not _MARKS.search(text)):
+                text = text.lower()
             return [("", text.split())]
         out: list[tuple[str, list[str]]] = []
         parts = _RUN.split(text) if _TWO.search(text) else [text]
@@ -146,7 +158,7 @@ def slices(texts: list[str], most: int = 2_000_000):
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, memo_words: int = 400_000) -> WordEncoder:
+def encoder(path: str, memo_words: int = 600_000) -> WordEncoder:
     """The encoder of this Python worker; its memo outlives a task."""
     key = (path, memo_words)
     if key not in _ENCODERS:
