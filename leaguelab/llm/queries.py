@@ -11,6 +11,7 @@ from .language_id import detect_languages, train
 from .line_dedup import dedup_lines
 from .shared import in_train, shared_path, table
 from .simhash_bktree import simhash_components
+from .suffix_dedup import repeated_spans
 from .toxicity import toxicity_scores
 from .token_orc import token_digests, write_token_orc
 
@@ -30,6 +31,18 @@ def op4_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), width=3, radius=2)
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    removed = F.aggregate(
+        F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)),
+        F.lit(0).cast("long"), lambda a, x: a + x,
+    )
+    return repeated_spans(table(spark, folder, "documents"), length=400).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"),
+        (F.size(spans) / 2).cast("long").alias("n_spans"), "kept_sha256",
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), BYTE_TOKENIZER, END_ID)
 
@@ -60,6 +73,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
