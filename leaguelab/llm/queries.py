@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit_packing import packed_documents
+from .decontamination import contaminated
 from .language_id import detect_languages, train
 from .line_dedup import dedup_lines
 from .shared import in_train, shared_path, table
@@ -31,6 +32,10 @@ def op4_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), width=3, radius=2)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("spans")
     removed = F.aggregate(
@@ -73,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
