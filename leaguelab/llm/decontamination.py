@@ -6,13 +6,14 @@
    partial products of the rows in each partition, gives the latent space. A space of at least as
    many dimensions as passages keeps all their angles.
 3. Every window of a document is projected into it and compared with every passage by cosine.
-   A window that cannot reach the threshold by the weight of its terms is not projected.
+   A window whose terms hold too little of the weight of any passage is not projected.
 4. Candidates are verified: the longest common subsequence of words between the item and the
    document around the window decides. From ``copied`` on it is a copy; from ``paraphrased`` on it
    is one if the answer, the words of the item's last sentence, is in the document too.
 
 A benchmark of any size is taken in blocks of passages, so what is sent to the tasks is bounded by
-``block_passages``. Documents are read once for the counts and once for the search per block.
+``block_passages``. Texts are split once per block; the numbers of their terms are written, for the
+counts and for the search.
 
 Defined cases: letters' case, signs and white space do not count; a null or empty text is clean; an
 item without words matches nothing; repeated and null ids of documents are answered each; of
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from .shared import id_and_text, parts_for, written
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-FOUND = "doc long, item long, coverage double, answer double"
+FOUND = "array<struct<item:long,coverage:double>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,34 +71,44 @@ def passages_of(benchmark: DataFrame, id_col: str, text_col: str, size: int) ->
     return id_and_text(benchmark, id_col, text_col).mapInArrow(cut, schema)
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
+def term_numbers(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """doc_id, h, ids: the number of every word of the text among ``terms``, or -1 (packed int32)."""
+
+    def number(batches):
+        for batch in batches:
+            packed = []
+            for text in batch.column("text").to_pylist():
+                ids = map(terms.get, words_of(text), repeat(-1))
+                packed.append(np.fromiter(ids, dtype=np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("h"), pa.array(packed, type=pa.binary())],
+                names=["doc_id", "h", "ids"],
+            )
+
+    return docs.mapInArrow(number, "doc_id long, h long, ids binary")
+
+
+def document_frequencies(numbers: DataFrame, terms: int) -> np.ndarray:
     """Number of documents that hold each term."""
 
     def count(batches):
-        total = np.zeros(len(terms), dtype=np.int64)
+        total = np.zeros(terms, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                ids = np.fromiter(map(terms.get, words, _missing()), dtype=np.int64, count=len(words))
+            for packed in batch.column("ids"):
+                ids = np.frombuffer(packed.as_buffer(), dtype=np.int32)
                 total[np.unique(ids[ids >= 0])] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(some), pa.array(total[some])], names=["term", "n"]
         )
 
-    out = np.zeros(len(terms), dtype=np.int64)
-    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    for r in rows.collect():
+    out = np.zeros(terms, dtype=np.int64)
+    rows = numbers.select("ids").mapInArrow(count, "term long, n long")
+    for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
 
-def _missing():
-    """-1 for ever: what words outside the terms become."""
-    while True:
-        yield -1
-
-
 def randomized_svd(
     rows: DataFrame, terms: dict[str, int], idf: np.ndarray, rank: int, power: int = 2, seed: int = 5
 ) -> np.ndarray:
@@ -149,39 +161,39 @@ def randomized_svd(
 
 @dataclass
 class Index:
-    terms: dict[str, int]
     idf: np.ndarray
     latent: np.ndarray  # terms x dimensions
     passages: np.ndarray  # passages x dimensions, of length one
-    items: list[tuple[int, list[str], list[str]]]  # item id, words, answer words
+    items: list[tuple[int | None, list[int], list[int]]]  # item id, words, answer words
     item_of: np.ndarray  # passage -> position in items
-    least_weight: float  # of a window's terms, below which no passage is near
+    share: np.ndarray  # of each term: the largest part of a passage's squared length
 
 
-def build_index(rows: DataFrame, docs: DataFrame, total: int, rank: int, near: float) -> Index:
-    block = rows.collect()
-    terms = {w: n for n, w in enumerate(sorted({w for r in block for w in r["words"]}))}
-    idf = np.log((total + 1) / (document_frequencies(docs, terms) + 1)) + 0.1
+def build_index(
+    block: list, rows: DataFrame, terms: dict[str, int], frequency: np.ndarray, total: int, rank: int
+) -> Index:
+    idf = np.log((total + 1) / (frequency + 1)) + 0.1
     latent = randomized_svd(rows, terms, idf, rank).astype(np.float32)
     items: dict[tuple, int] = {}
-    vectors, item_of, lightest = [], [], np.inf
+    vectors, item_of, share = [], [], np.zeros(len(terms))
     for r in block:
-        key = (r["item_id"] if r["item_id"] is not None else -1, tuple(r["item_words"]), tuple(r["answer"]))
-        item_of.append(items.setdefault(key, len(items)))
+        # Words of an item outside this block's passages meet nothing; they have numbers below -1.
+        numbered = [tuple(terms.get(w, -2) for w in r[c]) for c in ("item_words", "answer")]
+        item_of.append(items.setdefault((r["item_id"], *numbered), len(items)))
         ids, tf = np.unique([terms[w] for w in r["words"]], return_counts=True)
         a = tf * idf[ids]
-        lightest = min(lightest, float(a @ a))
+        share[ids] = np.maximum(share[ids], a * a / (a @ a))
         v = a @ latent[ids]
         vectors.append(v / (np.linalg.norm(v) + 1e-12))
     return Index(
-        terms, idf, latent, np.array(vectors, dtype=np.float32),
-        [(i, list(w), list(a)) for i, w, a in items], np.array(item_of), near * near * lightest,
+        idf, latent, np.array(vectors, dtype=np.float32),
+        [(i, list(w), list(a)) for i, w, a in items], np.array(item_of), share,
     )
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, with one bit per word of ``a``."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for n, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << n
     full = (1 << len(a)) - 1
@@ -193,17 +205,19 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 def search_text(
-    index: Index, words: list[str], window: int, stride: int, near: float
+    index: Index, ids: np.ndarray, window: int, stride: int, near: float
 ) -> dict[int, tuple[float, float]]:
-    """Item position to (coverage, share of the answer) of the candidates of a text."""
-    n = len(words)
+    """Item position to (coverage, share of the answer) of the candidates of a text.
+
+    A cosine of ``near`` to a passage takes terms that hold ``near`` squared of its squared length.
+    """
+    n = len(ids)
     if not n:
         return {}
-    ids = np.fromiter(map(index.terms.get, words, _missing()), dtype=np.int64, count=n)
-    weight = np.where(ids >= 0, index.idf[ids], 0.0) ** 2
     starts = np.arange(0, max(1, n - window + stride), stride)
-    sums = np.r_[0, np.cumsum(weight)]
-    heavy = starts[sums[np.minimum(starts + window, n)] - sums[starts] >= index.least_weight]
+    sums = np.zeros(n + 1)
+    np.cumsum(np.where(ids >= 0, index.share[ids], 0.0), out=sums[1:])
+    heavy = starts[sums[np.minimum(starts + window, n)] - sums[starts] >= near * near]
     best: dict[int, tuple[float, float]] = {}
     for at in range(0, len(heavy), 256):
         some = heavy[at : at + 256]
@@ -220,7 +234,7 @@ def search_text(
             item = int(index.item_of[passage])
             _, item_words, answer = index.items[item]
             reach = len(item_words)
-            around = words[max(0, some[k] - reach) : some[k] + window + reach]
+            around = ids[max(0, some[k] - reach) : some[k] + window + reach].tolist()
             coverage = common_subsequence(item_words, around) / len(item_words)
             present = set(around)
             share = sum(w in present for w in answer) / len(answer)
@@ -236,7 +250,7 @@ def contaminated(
     answered: float = 0.7,
     window: int = 64,
     stride: int = 16,
-    near: float = 0.35,
+    near: float = 0.5,
     rank: int = 256,
     block_passages: int = 2_000,
     id_col: str = "doc_id",
@@ -244,38 +258,62 @@ def contaminated(
     item_col: str = "item_id",
 ) -> DataFrame:
     """doc_id, contaminated, item_id (the best covered item), coverage, n_items of every document."""
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
     passages = written(passages_of(benchmark, item_col, text_col, window), "passages")
-    count, total = passages.count(), docs.count()
-    result = docs.select(
-        "doc_id", "text", F.array().cast("array<struct<item:long,coverage:double>>").alias("found")
-    )
-    blocks = parts_for(count, block_passages) if count else 0
+    blocks = parts_for(passages.count(), block_passages)
     key = F.xxhash64("item_id", F.concat_ws(" ", "words"))
+    results = []
     for block in range(blocks):
+        rows = passages.where(F.pmod(key, F.lit(blocks)) == block)
+        held = rows.collect()
+        terms = {w: n for n, w in enumerate(sorted({w for r in held for w in r["words"]}))}
+        if not terms:
+            continue
+        numbers = written(term_numbers(docs, terms), "term-numbers")
+        frequency = document_frequencies(numbers, len(terms))
         index = docs.sparkSession.sparkContext.broadcast(
-            build_index(passages.where(F.pmod(key, F.lit(blocks)) == block), docs, total, rank, near)
+            build_index(held, rows, terms, frequency, numbers.count(), rank)
         )
 
         def search(batches, index=index):
             at = index.value
             for batch in batches:
                 found = []
-                for text, before in zip(*(batch.column(c).to_pylist() for c in ("text", "found"))):
-                    for item, (coverage, share) in search_text(at, words_of(text), window, stride, near).items():
-                        if coverage >= copied or coverage >= paraphrased and share >= answered:
-                            before.append({"item": at.items[item][0], "coverage": coverage})
-                    found.append(before)
+                for packed in batch.column("ids"):
+                    ids = np.frombuffer(packed.as_buffer(), dtype=np.int32)
+                    found.append(
+                        [
+                            {"item": at.items[item][0], "coverage": coverage}
+                            for item, (coverage, share) in search_text(
+                                at, ids, window, stride, near
+                            ).items()
+                            if coverage >= copied or coverage >= paraphrased and share >= answered
+                        ]
+                    )
+                shape = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), batch.column("text"),
-                        pa.array(found, type=batch.schema.field("found").type),
-                    ],
-                    names=["doc_id", "text", "found"],
+                    [batch.column("doc_id"), batch.column("h"), pa.array(found, type=shape)],
+                    names=["doc_id", "h", "found"],
                 )
 
-        result = result.mapInArrow(
-            search, "doc_id long, text string, found array<struct<item:long,coverage:double>>"
+        results.append(numbers.mapInArrow(search, f"doc_id long, h long, found {FOUND}"))
+    result = docs.select("doc_id", "h", F.array().cast(FOUND).alias("found"))
+    if len(results) == 1:
+        result = results[0]
+    elif results:
+        # Rows of equal id and text have equal results, so these two find them again.
+        some = results[0]
+        for more in results[1:]:
+            some = some.union(more)
+        some = (
+            some.where(F.size("found") > 0)
+            .select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "h", F.explode("found").alias("x"))
+            .groupBy("id", "h").agg(F.collect_set("x").alias("more"))
+        )
+        result = (
+            result.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
+            .join(some, ["id", "h"], "left")
+            .select("doc_id", F.coalesce("more", "found").alias("found"))
         )
     best = F.array_min(
         F.transform("found", lambda x: F.struct((-x["coverage"]).alias("c"), x["item"].alias("item")))
