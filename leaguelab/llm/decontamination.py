@@ -2,7 +2,8 @@
 
 1. Benchmark items are cut into passages. Their words are the terms; the document frequency of
    every term is counted over all documents.
-2. A randomised singular value decomposition of the TF-IDF matrix of the passages, computed from
+2. A randomised singular value decomposition of the TF-IDF matrix of the passages (a term counts once
+   in a passage, so frequent words stay light), computed from
    partial products of the rows in each partition, gives the latent space. A space of at least as
    many dimensions as passages keeps all their angles.
 3. Every window of a document is projected into it and compared with every passage by cosine.
@@ -16,7 +17,7 @@ A benchmark of any size is taken in blocks of passages, so what is sent to the t
 counts and for the search.
 
 Defined cases: letters' case, signs and white space do not count; a null or empty text is clean; an
-item without words matches nothing; repeated and null ids of documents are answered each; of
+item without words, or of frequent words only, matches nothing; repeated and null ids of documents are answered each; of
 repeated items each is compared; ties go to the smallest item id; an empty benchmark leaves all
 documents clean; an empty table gives an empty result; other columns are ignored, whatever their
 names are.
@@ -130,9 +131,8 @@ def randomized_svd(
             total = np.zeros_like(q)
             for batch in batches:
                 for words in batch.column("words").to_pylist():
-                    ids, tf = np.unique([terms[w] for w in words], return_counts=True)
-                    a = tf * idf[ids]
-                    a = a / (np.linalg.norm(a) + 1e-12)
+                    ids = np.unique([terms[w] for w in words])
+                    a = idf[ids] / (np.linalg.norm(idf[ids]) + 1e-12)
                     total[ids] += np.outer(a, a @ q[ids])
             starts = range(0, len(q), chunk)
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +172,9 @@ class Index:
 def build_index(
     block: list, rows: DataFrame, terms: dict[str, int], frequency: np.ndarray, total: int, rank: int
 ) -> Index:
-    idf = np.log((total + 1) / (frequency + 1)) + 0.1
+    idf = np.log((total + 1) / (frequency + 1)) + 0.01
+    # Terms of a fifth of all documents tell nothing about a passage.
+    idf[frequency > max(50, total // 5)] = 0.0
     latent = randomized_svd(rows, terms, idf, rank).astype(np.float32)
     items: dict[tuple, int] = {}
     vectors, item_of, share = [], [], np.zeros(len(terms))
@@ -180,9 +182,9 @@ def build_index(
         # Words of an item outside this block's passages meet nothing; they have numbers below -1.
         numbered = [tuple(terms.get(w, -2) for w in r[c]) for c in ("item_words", "answer")]
         item_of.append(items.setdefault((r["item_id"], *numbered), len(items)))
-        ids, tf = np.unique([terms[w] for w in r["words"]], return_counts=True)
-        a = tf * idf[ids]
-        share[ids] = np.maximum(share[ids], a * a / (a @ a))
+        ids = np.unique([terms[w] for w in r["words"]])
+        a = idf[ids]
+        share[ids] = np.maximum(share[ids], a * a / (a @ a + 1e-12))
         v = a @ latent[ids]
         vectors.append(v / (np.linalg.norm(v) + 1e-12))
     return Index(
@@ -209,36 +211,40 @@ def search_text(
 ) -> dict[int, tuple[float, float]]:
     """Item position to (coverage, share of the answer) of the candidates of a text.
 
-    A cosine of ``near`` to a passage takes terms that hold ``near`` squared of its squared length.
+    A window is some neighbouring blocks of ``stride`` words; its vector is the sum of theirs. A
+    cosine of ``near`` to a passage takes terms that hold ``near`` squared of its squared length.
     """
-    n = len(ids)
-    if not n:
+    hits = np.flatnonzero((ids >= 0) & (index.idf[ids] > 0))
+    if not len(hits):
         return {}
-    starts = np.arange(0, max(1, n - window + stride), stride)
-    sums = np.zeros(n + 1)
-    np.cumsum(np.where(ids >= 0, index.share[ids], 0.0), out=sums[1:])
-    heavy = starts[sums[np.minimum(starts + window, n)] - sums[starts] >= near * near]
+    terms = ids[hits]
+    blocks, first = np.unique(hits // stride, return_index=True)
+    wide = -(-window // stride)
+    # A window begins at each block with a hit and ends before the block ``wide`` further on.
+    stops = np.searchsorted(blocks, blocks + wide)
+
+    def in_windows(of_hits: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(blocks) + 1, *of_hits.shape[1:]))
+        np.cumsum(np.add.reduceat(of_hits, first, axis=0), axis=0, out=sums[1:])
+        return sums[stops] - sums[:-1]
+
+    heavy = np.flatnonzero(in_windows(index.share[terms]) >= near * near)
+    if not len(heavy):
+        return {}
+    weights = index.idf[terms].astype(np.float32)
+    norms = np.sqrt(in_windows(index.idf[terms] ** 2)[heavy])
+    vectors = in_windows(index.latent[terms] * weights[:, None])[heavy].astype(np.float32)
+    cosine = vectors @ index.passages.T / (norms[:, None] + 1e-12)
     best: dict[int, tuple[float, float]] = {}
-    for at in range(0, len(heavy), 256):
-        some = heavy[at : at + 256]
-        vectors = np.zeros((len(some), index.latent.shape[1]), dtype=np.float32)
-        norms = np.zeros(len(some))
-        for k, s in enumerate(some):
-            inside = ids[s : s + window]
-            inside, tf = np.unique(inside[inside >= 0], return_counts=True)
-            a = tf * index.idf[inside]
-            norms[k] = np.sqrt(a @ a)
-            vectors[k] = a @ index.latent[inside]
-        cosine = vectors @ index.passages.T / (norms[:, None] + 1e-12)
-        for k, passage in zip(*np.nonzero(cosine >= near)):
-            item = int(index.item_of[passage])
-            _, item_words, answer = index.items[item]
-            reach = len(item_words)
-            around = ids[max(0, some[k] - reach) : some[k] + window + reach].tolist()
-            coverage = common_subsequence(item_words, around) / len(item_words)
-            present = set(around)
-            share = sum(w in present for w in answer) / len(answer)
-            best[item] = max(best.get(item, (0.0, 0.0)), (coverage, share))
+    for k, passage in zip(*np.nonzero(cosine >= near)):
+        item = int(index.item_of[passage])
+        _, item_words, answer = index.items[item]
+        start, reach = int(blocks[heavy[k]]) * stride, len(item_words)
+        around = ids[max(0, start - reach) : start + window + reach].tolist()
+        coverage = common_subsequence(item_words, around) / len(item_words)
+        present = set(around)
+        share = sum(w in present for w in answer) / len(answer)
+        best[item] = max(best.get(item, (0.0, 0.0)), (coverage, share))
     return best
 
 
