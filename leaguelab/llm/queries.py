@@ -14,6 +14,7 @@ from .shared import in_train, shared_path, table
 from .simhash_bktree import simhash_components
 from .suffix_dedup import repeated_spans
 from .toxicity import toxicity_scores
+from .url_filter import Rule, judge_urls
 from .token_orc import token_digests, write_token_orc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +23,20 @@ END_ID = 2
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+URL_RULES = [
+    Rule.parse("allow", "org/"),
+    Rule.parse("block", "example.org/es/"),
+    Rule.parse("block", "example.org/en/1"),
+    Rule.parse("allow", "com/fr/"),
+    Rule.parse("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The URLs that a rule decides are the labelled ones the trees learn from."""
+    return judge_urls(table(spark, folder, "pages"), None, URL_RULES)
+
+
 def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "token-orc")
     write_token_orc(table(spark, folder, "documents"), path, WORD_TOKENIZER, END_ID)
@@ -76,6 +91,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_decontamination": op5_decontamination,
