@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit_packing import packed_documents
+from .cover_tree_search import top_k
 from .decontamination import contaminated
 from .language_id import detect_languages, train
 from .line_dedup import dedup_lines
@@ -37,6 +38,11 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), None, URL_RULES)
 
 
+def op2_cover_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "token-orc")
     write_token_orc(table(spark, folder, "documents"), path, WORD_TOKENIZER, END_ID)
@@ -92,6 +98,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_cover_tree_search": op2_cover_tree_search,
     "op3_token_orc": op3_token_orc,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_decontamination": op5_decontamination,
@@ -101,4 +108,22 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_cover_tree_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
