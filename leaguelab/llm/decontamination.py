@@ -248,7 +248,7 @@ def search_text(
     return best
 
 
-def contaminated(
+def found_items(
     docs: DataFrame,
     benchmark: DataFrame,
     copied: float = 0.6,
@@ -263,7 +263,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
 ) -> DataFrame:
-    """doc_id, contaminated, item_id (the best covered item), coverage, n_items of every document."""
+    """doc_id, h (hash of the text) and found, the items in it with their coverage, of every document."""
     docs = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
     passages = written(passages_of(benchmark, item_col, text_col, window), "passages")
     blocks = parts_for(passages.count(), block_passages)
@@ -319,15 +319,35 @@ def contaminated(
         result = (
             result.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
             .join(some, ["id", "h"], "left")
-            .select("doc_id", F.coalesce("more", "found").alias("found"))
+            .select("doc_id", "h", F.coalesce("more", "found").alias("found"))
         )
+    return result.select("doc_id", "h", "found")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, contaminated, item_id (the best covered item), coverage, n_items of every document."""
     best = F.array_min(
         F.transform("found", lambda x: F.struct((-x["coverage"]).alias("c"), x["item"].alias("item")))
     )
-    return result.select(
+    return found_items(docs, benchmark, **options).select(
         "doc_id",
         (F.size("found") > 0).alias("contaminated"),
         best["item"].alias("item_id"),
         (-best["c"]).alias("coverage"),
         F.size(F.array_distinct(F.transform("found", lambda x: x["item"]))).alias("n_items"),
     )
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all columns."""
+    bad = (
+        found_items(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+        .where(F.size("found") > 0).select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h"))
+    )
+    bad = written(bad.distinct(), "contaminated")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_bad_id")) & (
+        F.xxhash64(docs[text_col].cast("string")) == F.col("_bad_h")
+    )
+    return docs.join(bad, same, "left_anti")

@@ -252,7 +252,7 @@ def sketch_links(rows: DataFrame, radius: int, shard_rows: int = 4096) -> DataFr
     )
     own = sized.select("shard", "block", "fp")
     sent = sized.where("block = 0 AND blocks > 1").select(
-        "shard", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).cast("long").alias("block"), "fp"
+        "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("block"), "fp"
     )
     return _link_shards(
         written(
@@ -297,3 +297,33 @@ def near_duplicate_groups(
     prints = written(fingerprints(docs, width, True, id_col, text_col), "fingerprints")
     links = sketch_links(prints.select("fp", "sketch"), radius)
     return _grouped(prints.select("doc_id", "fp"), links).select("doc_id", "component_id")
+
+
+def one_of_each_group(
+    docs: DataFrame, width: int = 5, radius: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row of the smallest id (then
+    of the smallest hash of the text) stays, with all columns."""
+    columns = docs.columns
+    keyed = docs.withColumns(
+        {
+            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
+            "_h": F.xxhash64(F.col(text_col).cast("string")),
+        }
+    )
+    # The two keys travel as one id through the fingerprints.
+    prints = written(
+        fingerprints(keyed.select(F.col("_h").alias("doc_id"), text_col), width, True, "doc_id", text_col)
+        .distinct(),
+        "fingerprints",
+    )
+    links = sketch_links(prints.select("fp", "sketch"), radius)
+    roots = connected_components(links)
+    grouped = prints.select(F.col("doc_id").alias("_h"), "fp").join(
+        roots.withColumnRenamed("node", "fp"), "fp", "left"
+    ).select("_h", F.coalesce("root", "fp").alias("root"))
+    kept = (
+        keyed.select("_id", "_h").join(grouped, "_h")
+        .groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("kept")).select("kept.*")
+    )
+    return keyed.join(written(kept, "kept"), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(*columns)

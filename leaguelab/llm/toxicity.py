@@ -317,10 +317,10 @@ def apply_logistic(model: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _feature_batches(lexicon: Lexicon):
-    def run(batches):
+    def run(batches, text_col="text"):
         scorer = Scorer(lexicon)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch, np.concatenate(
                 [scorer.features(texts[a : a + 256]) for a in range(0, len(texts), 256)]
                 or [np.zeros((0, FEATURES))]
@@ -329,22 +329,25 @@ def _feature_batches(lexicon: Lexicon):
     return run
 
 
-def toxicity_scores(
+def scored_rows(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
     most_rows: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    score_col: str = "toxicity",
 ) -> DataFrame:
-    """doc_id, score of every document. ``labels``: doc_id and ``label_col`` to learn from;
-    ``most_rows`` bounds the labelled documents that are looked at."""
-    docs = id_and_text(docs, id_col, text_col)
-    sample = written(labelled_sample(docs, labels, most_rows, label_col), "labelled")
+    """All columns of ``docs`` and ``score_col``, which replaces a column of that name.
+
+    ``labels``: doc_id and ``label_col`` to learn from; ``most_rows`` bounds the labelled documents
+    that are looked at.
+    """
+    sample = written(
+        labelled_sample(id_and_text(docs, id_col, text_col), labels, most_rows, label_col), "labelled"
+    )
     shares = sample.agg(F.avg("label"), F.min("label"), F.max("label")).first()
-    terms = learn_terms(sample.where("for_terms"))
-    lexicon = build_lexicon(terms)
-    batches_of = _feature_batches(lexicon)
+    batches_of = _feature_batches(build_lexicon(learn_terms(sample.where("for_terms"))))
 
     def features(batches):
         for batch, x in batches_of(batches):
@@ -364,12 +367,33 @@ def toxicity_scores(
         if len(y) and 0 < y.mean() < 1:
             model = fit_logistic(np.array([r[1] for r in rows]), y)
     share = float(shares[0] or 0.0)
+    docs = docs.drop(score_col)
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    at = names[docs.columns.index(text_col)]
 
     def score(batches):
-        for batch, x in batches_of(batches):
+        for batch, x in batches_of(batches, at):
             s = np.full(len(x), share) if model is None else apply_logistic(model, x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(s, type=pa.float64())], names=["doc_id", "score"]
+                [*batch.columns, pa.array(s, type=pa.float64())], names=[*batch.schema.names, "score"]
             )
 
-    return docs.mapInArrow(score, "doc_id long, score double")
+    fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns)]
+    return (
+        docs.toDF(*names).mapInArrow(score, ", ".join([*fields, "score double"]))
+        .toDF(*docs.columns, score_col)
+    )
+
+
+def toxicity_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "toxic",
+    most_rows: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, score of every document."""
+    return scored_rows(
+        id_and_text(docs, id_col, text_col), labels, label_col, most_rows, score_col="score"
+    ).select("doc_id", "score")
