@@ -20,20 +20,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows for work that is heavy per row.
-
-    Inputs of fewer files than cores (a single row group is one task) go to all cores; larger
-    inputs stay as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(table(spark, folder, name))
-
-
 def class_label(ordinal):
     return F.element_at(F.array(*[F.lit(c) for c in CLASS_LABELS]), (ordinal + 1).cast("int"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import new_path
 from ..operators import diffs as D
 from ..operators import events as E
 from ..operators.identity import resolve_teams
+from ..streaming import feeds
 from .registry import query
 from .roles import MATCHES_SQL, matches, table, with_ctes
 
@@ -368,3 +370,44 @@ def _incidents(spark, d):
         "user_id", F.date_format("opened_at", fmt).alias("opened_at"),
         F.date_format("closed_at", fmt).alias("closed_at"), "failures",
     )
+
+
+# Three snapshots of all orders as events, each in several files; the stream merges them in order.
+# Low orders leave in the second and come back in the third; medium ones leave in the third; high
+# ones move in the second; urgent ones begin there.
+@query("ST1_streamed_state", """
+SELECT CAST(o_orderkey AS VARCHAR) AS uid,
+  CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'CANCELLED' ELSE 'CONFIRMED' END AS status,
+  CAST(CASE o_orderpriority WHEN '5-LOW' THEN 2 WHEN '3-MEDIUM' THEN 1 WHEN '2-HIGH' THEN 1 ELSE 0 END
+    AS INTEGER) AS sequence,
+  CASE o_orderpriority WHEN '5-LOW' THEN 3 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 2
+    WHEN '1-URGENT' THEN 2 ELSE 1 END AS hour
+FROM orders""")
+def _streamed(spark, d):
+    folder = new_path(spark, "streamed")
+    priority = F.col("o_orderpriority")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+
+    def event(hour):
+        moved = F.when((priority == "2-HIGH") & F.lit(hour > 1), "hall 2").otherwise("hall 1")
+        own = {
+            "uid": F.col("o_orderkey").cast("string"), "season": F.lit("2000-2001"),
+            "starts_at": F.col("o_orderdate").cast("timestamp_ntz"), "location": moved,
+            "status": F.lit("CONFIRMED"), "is_home": F.lit(True),
+            "snapshot_at": F.timestamp_seconds(F.lit(946684800 + 3600 * hour)),
+        }
+        fields = [x.strip().split(" ") for x in feeds.EVENT_SCHEMA.split(",")]
+        return [own.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields]
+
+    for hour, missing in ((1, "1-URGENT"), (2, "5-LOW"), (3, "3-MEDIUM")):
+        rows = orders.where(priority != missing).select(*event(hour))
+        rows = rows.withColumn("fingerprint", E.event_fingerprint())
+        rows.repartition(3, "uid").write.mode("append").parquet(f"{folder}/in")
+        if hour != 1:  # the first two come together
+            feeds.stream_event_state(
+                spark, f"{folder}/in", f"{folder}/out", f"{folder}/marks"
+            ).awaitTermination()
+    hour = ((F.unix_seconds("last_modified") - 946684800) / 3600).cast("int")
+    return feeds.latest_state(spark, f"{folder}/out").select(
+        "uid", "status", "sequence", hour.alias("hour")
+    )

@@ -384,12 +384,13 @@ def test_heading_serves_one_table(spark):
     assert {(r.table_no, r.heading) for r in got.collect()} == {(0, "A-Klasse"), (1, None)}
 
 
-def test_streamed_state_equals_batches(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_streamed_state_equals_batches(spark, tmp_path, files):
     from leaguelab.streaming.feeds import EVENT_SCHEMA, latest_state, stream_event_state
 
     source, state, mark = (str(tmp_path / n) for n in ("in", "state", "mark"))
 
-    def snapshot(uids, hour):
+    def write(uids, hour, parts=files):
         at = datetime.datetime(2001, 1, 1, hour)
         data = [
             (u, "s", "l", "r", "club-1-team-1", "n", "o", "h", "a", True, at, None, None, "CONFIRMED", None, at)
@@ -398,13 +399,46 @@ def test_streamed_state_equals_batches(spark, tmp_path):
         df = spark.createDataFrame(data, EVENT_SCHEMA.replace("timestamp_ntz", "timestamp"))
         df = df.withColumn("starts_at", F.to_timestamp_ntz(F.lit("2001-05-01 20:00:00")))
         df = df.withColumn("fingerprint", events.event_fingerprint())
-        df.coalesce(1).write.mode("append").parquet(source)
-        stream_event_state(spark, source, state, mark).awaitTermination()
-
-    snapshot(["u1", "u2"], 1)
-    snapshot(["u2", "u3"], 2)
-    snapshot(["u1"], 1)  # late: dropped
-    got = latest_state(spark, state)
-    assert rows(got, "uid", "status", "sequence") == [
-        ("u1", "CANCELLED", 1), ("u2", "CONFIRMED", 0), ("u3", "CONFIRMED", 0),
-    ]
+        df.repartition(parts).write.mode("append").parquet(source)
+
+    def run(marks=mark):
+        stream_event_state(spark, source, state, marks).awaitTermination()
+
+    def got():
+        return rows(latest_state(spark, state), "uid", "status", "sequence")
+
+    many = [f"m{n}" for n in range(8)]
+    write(["u1", "u2", *many], 1)
+    run()
+    assert got() == [(u, "CONFIRMED", 0) for u in sorted(["u1", "u2", *many])]
+    # The second half of a snapshot in a later batch; the first half is not cancelled.
+    write(["u2", "u3", *many[:4]], 2)
+    run()
+    write(many[4:], 2)
+    run()
+    want = [("u1", "CANCELLED", 1), ("u2", "CONFIRMED", 0), ("u3", "CONFIRMED", 0)]
+    assert got() == sorted([(m, "CONFIRMED", 0) for m in many] + want)
+    write(["u1"], 1)  # late: dropped
+    run()
+    assert got() == sorted([(m, "CONFIRMED", 0) for m in many] + want)
+    # Two snapshots in one batch are applied one after the other.
+    write(["u1", "u2", *many], 3)
+    write(["u2", *many], 4)
+    run()
+    want = [("u1", "CANCELLED", 3), ("u2", "CONFIRMED", 0), ("u3", "CANCELLED", 1)]
+    assert got() == sorted([(m, "CONFIRMED", 0) for m in many] + want)
+    # All files again, with a new stream checkpoint: the newest snapshot is merged to the same.
+    run(mark + "2")
+    assert got() == sorted([(m, "CONFIRMED", 0) for m in many] + want)
+
+
+def test_damaged_state_is_an_error(spark, tmp_path):
+    from leaguelab.streaming.feeds import latest_state
+
+    assert latest_state(spark, str(tmp_path)) is None
+    folder = tmp_path / "state" / "version=1"
+    folder.mkdir(parents=True)
+    (folder / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|infer|read"):
+        latest_state(spark, str(tmp_path)).count()
+
