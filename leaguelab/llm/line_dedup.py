@@ -12,10 +12,14 @@ out is a hashed key, and lines that have a key in common meet.
 * A variant that is itself a line is within the bound of all lines it is a variant of; only the
   earliest of them and the line itself are compared.
 
-Variants are only made for lines that share their first or their last half with another line; of
-two lines within one edit, one half is untouched. That test loses nothing and leaves most lines
+Variants are only made for lines that share three of their four quarters with another line; of two
+lines within one edit, three quarters are untouched. That test loses nothing and leaves most lines
 out. Every pair found by hashes is compared word by word before a line goes.
 
+Texts move for the documents that need it only: those with such lines, and those that lose lines. A
+bit map of fixed size over hashes, small enough for every task, leaves the others out before the
+shuffle; a bit set by chance costs a moved text and changes no result.
+
 Defined cases: white space between words does not count; blank lines always stay; a null text stays
 null, an empty one empty; a document may be left with an empty text and stays a row; a null id sorts
 last; rows repeated with equal id and text keep the same lines; an empty table gives an empty
@@ -32,7 +36,7 @@ from pyspark.sql.types import BooleanType
 
 from .shared import written
 
-LINES = "k1 long, k2 long, id long, h long, line int, words int, halves array<long>"
+LINES = "k1 long, k2 long, id long, h long, line int, quarters array<long>"
 _LAST = (1 << 63) - 1
 
 
@@ -40,24 +44,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _halves(words: list[str]) -> list[int]:
-    """Keys of the first and last halves; lines within one edit have one of them in common."""
+def _quarters(words: list[str]) -> list[int]:
+    """Keys of the line without one quarter; lines within one edit have one of them in common.
+
+    The quarters before the missing one are counted from the left and those behind it from the
+    right. The size of a quarter follows the shorter line, so both sizes are keys of the longer.
+    """
     import xxhash
 
-    n, out = len(words), []
-    for h in {n // 2, (n - 1) // 2}:
-        out.append(xxhash.xxh3_64_intdigest(f"P{h} " + " ".join(words[:h])))
-        out.append(xxhash.xxh3_64_intdigest(f"S{h} " + " ".join(words[n - h :])))
-    return [_signed(x) for x in out]
+    n, out = len(words), set()
+    for q in {n // 4, (n - 1) // 4}:
+        for j in range(4):
+            rest = words[: j * q] + ["\n"] + words[n - (3 - j) * q :]
+            out.add(_signed(xxhash.xxh3_64_intdigest(f"{q} {j} " + " ".join(rest))))
+    return list(out)
+
+
+def _sliced(batches, most: int = 1_000):
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
+def _bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """Bit map (word, set) of the hashes ``key``: at most ``bits`` / 64 rows, whatever the input."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    return (
+        keys.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("_bit"))
+        .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("set"))
+    )
+
+
+def _with_bit(df: DataFrame, key: str, bit_map: DataFrame, bits: int) -> DataFrame:
+    """``df`` with _may: whether the bit of ``key`` is set."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    set_here = F.expr("shiftright(set, _bit) & 1L") == 1
+    return (
+        df.withColumns({"word": F.shiftright(at, 6), "_bit": (at % 64).cast("int")})
+        .join(F.broadcast(bit_map), "word", "left")
+        .withColumn("_may", F.coalesce(set_here, F.lit(False)))
+        .drop("word", "_bit", "set")
+    )
 
 
 def _line_rows(min_words: int):
     import xxhash
 
     def rows(batches):
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            k1, k2, ids, hs, nos, counts, halves = columns
+        for batch in _sliced(batches):
+            columns: list[list] = [[] for _ in range(6)]
+            k1, k2, ids, hs, nos, quarters = columns
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "text"))):
                 for no, line in enumerate((text or "").split("\n")):
                     words = line.split()
@@ -69,12 +105,11 @@ def _line_rows(min_words: int):
                     ids.append(doc)
                     hs.append(h)
                     nos.append(no)
-                    counts.append(len(words))
-                    halves.append(_halves(words) if len(words) >= min_words else [])
-            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
+                    quarters.append(_quarters(words) if len(words) >= min_words else [])
+            types = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(columns, types)],
-                names=["k1", "k2", "id", "h", "line", "words", "halves"],
+                names=["k1", "k2", "id", "h", "line", "quarters"],
             )
 
     return rows
@@ -102,7 +137,7 @@ def _variants(batches):
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in _sliced(batches):
         at, keys, places = [], [], []
         for n, line in enumerate(batch.column("norm").to_pylist()):
             words = line.split(" ")
@@ -169,29 +204,30 @@ def _rebuilt(text_at: str, gone_at: str, counts_at: str):
     return rebuild
 
 
-def near_removed(first: DataFrame, keyed: DataFrame) -> DataFrame:
+def near_removed(first: DataFrame, keyed: DataFrame, bits: int) -> DataFrame:
     """(id, h, line) of the distinct lines ``first`` that have an earlier line within one edit.
 
-    ``first``: k1, k2, first (struct id, h, line), halves. ``keyed``: the documents (id, h, text).
+    ``first``: first (struct id, h, line), quarters. ``keyed``: the documents (id, h, text).
     """
-    halves = first.where("words > 0 AND size(halves) > 0").select(
-        F.col("first.*"), F.explode("halves").alias("half")
-    )
-    shared = (
-        halves.groupBy("half")
-        .agg(F.min(F.struct("id", "h", "line")).alias("a"), F.max(F.struct("id", "h", "line")).alias("b"))
-        .where("a <> b")
-        .select("half")
+    quarters = first.where(F.size("quarters") > 0).select(
+        F.col("first.*"), F.explode("quarters").alias("quarter")
     )
+    # A line has a key once, so two rows are two lines.
+    shared = quarters.groupBy("quarter").agg(F.count("*").alias("n")).where("n > 1").select("quarter")
+    shared = written(shared, "shared-quarters")
     asked = (
-        halves.join(shared, "half", "left_semi")
+        _with_bit(quarters, "quarter", written(_bits(shared, "quarter", bits), "bits"), bits)
+        .where("_may").drop("_may")
+        .join(shared, "quarter", "left_semi")
         .groupBy("id", "h")
         .agg(F.collect_set("line").alias("asked"))
     )
+    asked = written(asked, "asked-lines")
     lines = written(
-        keyed.join(asked, ["id", "h"]).mapInArrow(
-            _candidate_lines, "id long, h long, line int, norm string"
-        ),
+        _with_bit(keyed, "h", written(_bits(asked, "h", bits), "bits"), bits)
+        .where("_may").drop("_may")
+        .join(asked, ["id", "h"])
+        .mapInArrow(_candidate_lines, "id long, h long, line int, norm string"),
         "candidate-lines",
     )
     order = F.struct("id", "h", "line")
@@ -231,10 +267,11 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     removed_col: str = "lines_removed",
+    bits: int = 1 << 22,
 ) -> DataFrame:
     """All columns of ``docs``, the text without repeated lines, and ``removed_col``, their number.
 
-    A column that is called ``removed_col`` already is replaced.
+    A column that is called ``removed_col`` already is replaced. ``bits``: size of the bit maps.
     """
     if removed_col in docs.columns:
         docs = docs.drop(removed_col)
@@ -245,12 +282,11 @@ def dedup_lines(
     at = F.struct("id", "h", "line")
     first = written(
         lines.groupBy("k1", "k2").agg(
-            F.min(at).alias("first"), F.max(at).alias("last"),
-            F.first("words").alias("words"), F.first("halves").alias("halves"),
+            F.min(at).alias("first"), F.max(at).alias("last"), F.first("quarters").alias("quarters")
         ),
         "distinct-lines",
     )
-    near = near_removed(first, keyed).withColumn("gone", F.lit(True))
+    near = near_removed(first, keyed, bits).withColumn("gone", F.lit(True))
     flagged = (
         first.select("k1", "k2", "first", F.col("first.*"), (F.col("first") != F.col("last")).alias("again"))
         .join(near, ["id", "h", "line"], "left")
@@ -264,18 +300,20 @@ def dedup_lines(
         .groupBy("id", "h")
         .agg(F.collect_set("line").alias("gone"))
     )
+    gone = written(gone, "gone-lines")
     names = [f"c{n}" for n in range(len(docs.columns))]
-    wide = docs.toDF(*names)
     text_at = names[docs.columns.index(text_col)]
     id_at = names[docs.columns.index(id_col)]
-    joined = (
-        wide.withColumns({
-            "id": F.coalesce(F.col(id_at).cast("long"), F.lit(_LAST)), "h": F.xxhash64(text_at),
-        })
-        .join(written(gone, "gone-lines"), ["id", "h"], "left")
-        .select(*names, "gone")
+    wide = _with_bit(
+        docs.toDF(*names).withColumns(
+            {"id": F.coalesce(F.col(id_at).cast("long"), F.lit(_LAST)), "h": F.xxhash64(text_at)}
+        ),
+        "h", written(_bits(gone, "h", bits), "bits"), bits,
     )
     fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns)]
-    return joined.mapInArrow(
-        _rebuilt(text_at, "gone", "n"), ", ".join(fields) + ", n int"
-    ).toDF(*docs.columns, removed_col)
+    changed = (
+        wide.where("_may").join(gone, ["id", "h"], "left").select(*names, "gone")
+        .mapInArrow(_rebuilt(text_at, "gone", "n"), ", ".join(fields) + ", n int")
+    )
+    same = wide.where("NOT _may").select(*names, F.lit(0).alias("n"))
+    return changed.union(same).toDF(*docs.columns, removed_col)
