@@ -7,8 +7,8 @@ whose number of windows it meets. The other parts keep their full windows and gi
 their emptiest windows to an exchange, which is dealt and packed again, until every part is
 certified or an exchange saves nothing.
 
-Only lengths travel; token ids stay where they are made. Nothing but one row of counts for each
-part of a round goes to the driver.
+Only lengths travel; token ids stay where they are made. Nothing but the number of pieces of each
+length and of a round's windows goes to the driver.
 
 Defined cases: a null text is empty and has the end id only; repeated and null ids are documents of
 their own; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -97,18 +97,25 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, place
 
 
-def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Lower bound on the number of windows: the best of a family of dual-feasible functions.
+def _counts_of(lengths, capacity: int) -> np.ndarray:
+    """Number of pieces of each length, from an array of lengths or a mapping of counts."""
+    if isinstance(lengths, dict):
+        out = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in lengths.items():
+            out[length] = n
+        return out
+    return np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+
+
+def dual_feasible_bound(counts: np.ndarray, capacity: int) -> int:
+    """Lower bound on the number of windows for ``counts[length]`` pieces of each length: the best
+    of a family of dual-feasible functions.
 
     For each threshold t up to half a window: pieces above ``capacity - t`` count as a whole window,
     pieces below t as nothing, the others as their length. The weights of what fits in one window
     never sum to more than a window. t = 0 is the bound by total length.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
-    sizes = counts * np.arange(capacity + 1)
-    number, total = np.cumsum(counts), np.cumsum(sizes)
+    number, total = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     t = np.arange(0, capacity // 2 + 1)
     large = number[-1] - number[capacity - t]
     below = np.where(t > 0, total[np.maximum(t - 1, 0)], 0)
@@ -137,26 +144,30 @@ def pack_pieces(
         F.shiftleft(F.col("row"), 20).bitwiseOR(F.col("piece").cast("long")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    done = [whole.select(*[c.split()[0] for c in shape.split(", ")])]
+    columns = [c.split()[0] for c in shape.split(", ")]
+    done = [whole.select(*columns)]
     waiting = pieces.where(F.col("length") < capacity).select(*keys)
-    saved_before = None
+    # Lengths and how often they come: at most ``capacity`` rows, for the bound over all parts.
+    counts = {r["length"]: r["n"] for r in waiting.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bound = dual_feasible_bound(_counts_of(counts, capacity), capacity)
+    count, kept_windows, before = sum(counts.values()), 0, None
     for turn in range(max_rounds):
-        count = waiting.count()
         if not count:
             break
         parts = parts_for(count, part_rows)
-        final = turn == max_rounds - 1
+        last_turn = turn == max_rounds - 1 or parts == 1
 
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True])
             lengths = frame["length"].to_numpy()
             window, place = best_fit_decreasing(lengths, capacity)
             used = np.bincount(window, weights=lengths).astype(np.int64)
-            gap = len(used) - dual_feasible_bound(lengths, capacity)
+            gap = len(used) - dual_feasible_bound(_counts_of(lengths, capacity), capacity)
+            # A certified part with a window's worth of room is a partner for those with a gap.
+            room = len(used) - -(-int(lengths.sum()) // capacity)
             given = np.zeros(len(used), dtype=bool)
-            if gap and not final:
-                # Enough of the emptiest windows that their pieces can fill fewer of them.
-                given[np.argsort(used, kind="stable")[: max(64, 8 * gap)]] = True
+            if not last_turn:
+                given[np.argsort(used, kind="stable")[: max(4 * gap, 2 * room)]] = True
             return pd.DataFrame(
                 {
                     "row": frame["row"].to_numpy(),
@@ -167,34 +178,41 @@ def pack_pieces(
                     "window": window,
                     "offset": place,
                     "given": given[window],
-                    "gap": np.int64(gap),
                 }
             )
 
+        # Negative numbers, so that they never meet those of whole windows.
+        number = -(
+            (F.lit(turn).cast("long") * (1 << 58)) + F.col("part") * (1 << 24) + F.col("window") + 1
+        )
         packed = written(
             waiting.withColumn("_part", F.pmod(F.xxhash64("_key", F.lit(turn)), F.lit(parts)))
             .groupBy("_part")
             .applyInPandas(
                 pack,
                 "row long, piece int, length long, _key long, part long, window long,"
-                " offset long, given boolean, gap long",
-            ),
+                " offset long, given boolean",
+            )
+            .withColumn("sequence_id", number),
             "packed",
         )
-        gaps = packed.where("given").groupBy("part").agg(F.first("gap").alias("gap"))
-        open_parts, gap = gaps.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
-        # An exchange of one part with itself, or one that closed no gap, is the last.
-        last = open_parts == 0 or parts == 1 or saved_before is not None and gap >= saved_before
-        saved_before = gap
-        # Negative numbers, so that they never meet those of whole windows.
-        number = -(
-            (F.lit(turn).cast("long") * (1 << 58)) + F.col("part") * (1 << 24) + F.col("window") + 1
-        )
-        kept = packed if last else packed.where(~F.col("given"))
-        done.append(kept.select("row", "piece", number.alias("sequence_id"), "offset"))
-        if last:
+        first = F.col("offset") == 0  # one piece of each window
+        windows, given_windows, given_pieces = packed.agg(
+            F.coalesce(F.sum(first.cast("long")), F.lit(0)),
+            F.coalesce(F.sum((first & F.col("given")).cast("long")), F.lit(0)),
+            F.coalesce(F.sum(F.col("given").cast("long")), F.lit(0)),
+        ).first()
+        if before is not None and windows >= before[1]:
+            # The exchange saved nothing: its documents stay where they were.
+            done.append(before[0])
+            break
+        if not given_pieces or kept_windows + windows <= bound:
+            done.append(packed.select(*columns))
             break
-        waiting = packed.where("given").select(*keys)
+        done.append(packed.where(~F.col("given")).select(*columns))
+        kept_windows += windows - given_windows
+        before = (packed.where("given").select(*columns), given_windows)
+        waiting, count = packed.where("given").select(*keys), given_pieces
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

@@ -11,10 +11,11 @@ inner products below a pair are at most
 for the points q, p and covering radii R of the two nodes, and a pair is dropped when that is below
 the worst k-th score of the queries under q.
 
-Two rounds: each group first searches one shard of its own centre, which gives every query a k-th
-score; then all shards of all centres whose bound reaches the group's worst k-th score. Shards and
-groups meet by an equi join on the centres that are left. The top level itself only saves work: no
-row is ever left out, and recall is 1.
+Two rounds: every query first searches one shard of its own centre, which gives it a k-th score;
+then each group searches all shards of all centres whose bound reaches its worst k-th score. Shards
+and queries meet by an equi join on the centres that are left; a shard meets all queries that ask
+for it at once, in blocks of bounded size, so its tree is built once for each block. The top level
+itself only saves work: no row is ever left out, and recall is 1.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor do
 vectors whose length is not the most common one (the smaller of equally common ones); a query never
@@ -52,7 +53,7 @@ class CoverTree:
     children: list[list[int]]
 
 
-def build_cover_tree(points: np.ndarray, ids: np.ndarray, leaf: int = 64) -> CoverTree:
+def build_cover_tree(points: np.ndarray, ids: np.ndarray, leaf: int = 128) -> CoverTree:
     """By levels: each level's centres are apart by the level's distance, which halves downwards,
     and a point belongs to the nearest centre of its parent."""
     order = np.arange(len(points))
@@ -257,13 +258,14 @@ def top_k(
     sample: int = 4096,
     shard_rows: int = 4096,
     group_rows: int = 1024,
+    block_rows: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``df`` for each row of ``queries``.
 
-    ``sample`` bounds the rows the centres are chosen from; ``shard_rows`` and ``group_rows`` bound
-    what a task holds.
+    ``sample`` bounds the rows the centres are chosen from; ``shard_rows`` and ``block_rows`` bound the
+    rows and the queries that a task holds, ``group_rows`` the queries that are pruned together.
     """
     data = quantised(df, id_col, vector_col, scale)
     middle = _centers(data, centers, sample)
@@ -279,13 +281,18 @@ def top_k(
     any_shard = min(s for s, _ in shards.values())
     own = F.create_map(*[F.lit(x) for c, (s, _) in shards.items() for x in (c, s)])
     first = F.coalesce(own[F.col("center")], F.lit(any_shard))
-    pair = F.struct("group", "shard").alias("pair")
+    # A block of queries and a shard meet in one task.
+    blocks = parts_for(asked.count(), block_rows)
+    asked = asked.withColumns(
+        {"block": F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)), "first": first}
+    )
+    pair = F.struct("block", "shard").alias("pair")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     lowest = -(1 << 62)
-    start = asked.withColumn("shard", first)
-    firsts = start.select("group", "shard").distinct()
+    firsts = asked.select(F.col("first").alias("shard"), "block").distinct()
     seen = written(
         _searched(
-            start.select(pair, "id", "v", F.lit(lowest).alias("kth")),
+            asked.withColumn("shard", F.col("first")).select(pair, "id", "v", F.lit(lowest).alias("kth")),
             data.join(firsts, "shard").select(pair, "id", "v"), k,
         ),
         "first-round",
@@ -321,11 +328,12 @@ def top_k(
         .select("group", F.col("c.center").alias("center")),
         "near-centres",
     )
-    pairs = near.join(data.select("center", "shard").distinct(), "center").select("group", "shard")
-    pairs = written(pairs.join(firsts, ["group", "shard"], "left_anti"), "pairs")
+    shard_of = data.select("center", "shard").distinct()
     more = _searched(
-        asked.join(pairs, "group").select(pair, "id", "v", "kth"),
-        data.join(pairs, "shard").select(pair, "id", "v"), k,
+        asked.select("group", "block", "first", "id", "v", "kth")
+        .join(near, "group").join(shard_of, "center").where("shard <> first")
+        .select(pair, "id", "v", "kth"),
+        data.select("shard", "id", "v", every_block).select(pair, "id", "v"), k,
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -20,7 +20,7 @@ _RUN, _TWO = re.compile(r"(\s{2,})"), re.compile(r"\s\s")
 # Signs that often end a word.
 _ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 # From here on, lower-casing and composing may not be exchanged.
-_MARKS = re.compile("[\u0300-\U0010ffff]")
+_MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
 
 class WordEncoder:
@@ -63,8 +63,9 @@ class WordEncoder:
                 young[w] = old[w]
                 continue
             stem = w.rstrip(_ENDS)
-            if len(stem) < len(w) and stem[-1:].isalnum():
-                # A letter or digit and the signs after it are never in one piece.
+            if len(stem) < len(w) and stem[-1:].isalnum() and stem[-1] != "\u0130":
+                # A letter or digit and the signs after it are never in one piece. (The one letter
+                # that ends in a sign when it is lower-cased is left out.)
                 stems[w] = stem
                 if stem in old:
                     young[stem] = old[stem]
