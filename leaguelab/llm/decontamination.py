@@ -12,8 +12,8 @@
    document around the window decides. From ``copied`` on it is a copy; from ``paraphrased`` on it
    is one if the answer, the words of the item's last sentence, is in the document too.
 
-A benchmark of any size is taken in blocks of passages, so what is sent to the tasks is bounded by
-``block_passages``. Texts are split once per block; the numbers of their terms are written, for the
+A benchmark of any size is taken in blocks of whole items, of about ``block_passages`` passages each,
+so what is sent to the tasks is bounded. Texts are split once per block; the numbers of their terms are written, for the
 counts and for the search.
 
 Defined cases: letters' case, signs and white space do not count; a null or empty text is clean; an
@@ -179,8 +179,7 @@ def build_index(
     items: dict[tuple, int] = {}
     vectors, item_of, share = [], [], np.zeros(len(terms))
     for r in block:
-        # Words of an item outside this block's passages meet nothing; they have numbers below -1.
-        numbered = [tuple(terms.get(w, -2) for w in r[c]) for c in ("item_words", "answer")]
+        numbered = [tuple(terms[w] for w in r[c]) for c in ("item_words", "answer")]
         item_of.append(items.setdefault((r["item_id"], *numbered), len(items)))
         ids = np.unique([terms[w] for w in r["words"]])
         a = idf[ids]
@@ -267,7 +266,8 @@ def found_items(
     docs = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
     passages = written(passages_of(benchmark, item_col, text_col, window), "passages")
     blocks = parts_for(passages.count(), block_passages)
-    key = F.xxhash64("item_id", F.concat_ws(" ", "words"))
+    # All passages of an item are in one block, so its words all have numbers there.
+    key = F.xxhash64("item_id", F.concat_ws(" ", "item_words"))
     results = []
     for block in range(blocks):
         rows = passages.where(F.pmod(key, F.lit(blocks)) == block)
