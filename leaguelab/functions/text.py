@@ -39,6 +39,28 @@ def _build_nfkc():
     return lambda v: v if v.isascii() else unicodedata.normalize("NFKC", v)
 
 
+def _build_folded():
+    import unicodedata
+
+    def fold(v):
+        if v.isascii():
+            return v.lower()
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v).casefold())
+
+    return fold
+
+
+def _build_lowered():
+    import unicodedata
+
+    def lower(v):
+        if v.isascii():
+            return v.lower()
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v).lower())
+
+    return lower
+
+
 def _build_unmarked():
     import unicodedata
 
@@ -74,6 +96,17 @@ def nfkc(c: Column) -> Column:
     return _arrow(_build_nfkc, c)
 
 
+def folded(c: Column) -> Column:
+    """Case-folded compatibility form: equal for spellings that differ in case, width, ligatures,
+    composition or in ß and ss."""
+    return _arrow(_build_folded, c)
+
+
+def lowered(c: Column) -> Column:
+    """Lower-case compatibility form; ß stays."""
+    return _arrow(_build_lowered, c)
+
+
 def unmarked(c: Column) -> Column:
     """Compatibility-decomposed form without combining marks."""
     return _arrow(_build_unmarked, c)
@@ -139,12 +172,45 @@ def club_alias(c: Column) -> Column:
     return F.trim(without_legal_form(team_key(c)))
 
 
+# Words before a team number, and roman team numbers.
+TEAM_WORDS = ["team", "mannschaft"]
+ROMAN = ["i", "ii", "iii", "iv", "v"]
+# Words and whole labels for "no opponent".
+BYE_WORDS = ["spielfrei", "freilos", "bye"]
+BYE_LABELS = ["kein gegner", "keine gegner", "keiner gegner", "keines gegner", "ohne gegner"]
+BYE_LABELS += ["tbd", "n n", "offen", "unbekannt"]
+
+
 def club_base_name(c: Column) -> Column:
     """Club name without a team number, roman numeral or 'Team n' suffix."""
-    text = F.trim(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
-    text = F.regexp_replace(text, r"(?i)\s+(team|mannschaft)\s+\d+$", "")
-    text = F.regexp_replace(text, r"(?i)\s+(i|ii|iii|iv|v)\.?$", "")
-    return F.trim(F.regexp_replace(text, r"\s+([1-9]|1[0-9])\.?$", ""))
+
+    def cut(words: Column, drop: Column, count: int) -> Column:
+        return F.when(drop & (F.size(words) > count), F.slice(words, F.lit(1), F.size(words) - count)).otherwise(words)
+
+    def last(words: Column, back: int = 1) -> Column:
+        return F.coalesce(F.lower(F.try_element_at(words, F.lit(-back))), F.lit(""))
+
+    def number(word: Column, most: int | None = None) -> Column:
+        value = word.try_cast("int")
+        fits = F.regexp_like(word, F.lit("^[0-9]+$"))
+        if most is not None:
+            fits = fits & value.between(1, most) & ~word.startswith("0")
+        return F.coalesce(fits, F.lit(False))
+
+    def undotted(word: Column) -> Column:
+        return F.when(word.endswith("."), F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+    def named_team(w: Column) -> Column:
+        return cut(w, last(w, 2).isin(TEAM_WORDS) & number(last(w)), 2)
+
+    def roman(w: Column) -> Column:
+        return cut(w, undotted(last(w)).isin(ROMAN), 1)
+
+    def numbered(w: Column) -> Column:
+        return cut(w, number(undotted(last(w)), 19), 1)
+
+    words = F.split(squeeze(c), " ")
+    return F.array_join(let(let(let(words, named_team), roman), numbered), " ")
 
 
 def club_base_key(c: Column) -> Column:
@@ -158,17 +224,19 @@ def exact_team_label(c: Column) -> Column:
     return F.when(text.rlike(r"\p{L}"), F.lower(text))
 
 
-def is_bye(c: Column) -> Column:
-    """True for a missing or placeholder opponent; NULL input is not a bye."""
-    text = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return F.coalesce(
-        (text == "")
-        # Words and phrases for "no opponent".
-        | text.rlike(r"\b(?:spielfrei|freilos|bye)\b")
-        | text.rlike(r"^(?:kein(?:e[rs]?)?|ohne) gegner$")
-        | text.rlike(r"^(?:tbd|n n|offen|unbekannt)$"),
-        F.lit(False),
-    )
+def is_bye(c: Column, normalized: bool = False) -> Column:
+    """True for a missing or placeholder opponent; NULL input is not a bye.
+
+    Pass ``normalized=True`` when the label is already NFKC.
+    """
+    signs = r"[^\p{L}\p{N}]+"
+    text = F.trim(F.regexp_replace(F.lower(c if normalized else nfkc(c)), signs, " "))
+
+    def bye(t: Column) -> Column:
+        named = F.arrays_overlap(F.split(t, " "), F.array(*[F.lit(w) for w in BYE_WORDS]))
+        return (t == "") | named | t.isin(BYE_LABELS)
+
+    return F.coalesce(let(text, bye), F.lit(False))
 
 
 def is_bye_key(key: Column) -> Column:

@@ -23,7 +23,7 @@ from ..functions.cells import (
 from ..functions.classes import CLASSES
 from ..functions.fingerprint import fingerprint
 from ..functions.seasons import clean
-from ..functions.text import last_first_swapped, squeeze
+from ..functions.text import folded, last_first_swapped, lowered, squeeze
 
 SEASON = ["player_id", "season_start"]
 SEGMENT = [*SEASON, "segment_id"]
@@ -256,7 +256,7 @@ def overlap_ambiguous(segment_rounds: DataFrame) -> DataFrame:
 
 def flag_ambiguity(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     """Identity and round-overlap flags of every player-season."""
-    name = F.lower(squeeze(F.col("name")))
+    name = folded(squeeze(F.col("name")))
     names = segments.groupBy(*SEASON).agg(
         (F.min(name) != F.max(name)).alias("identity_ambiguous")
     )
@@ -317,7 +317,7 @@ def usable_history(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     same year, is dropped as a whole.
     """
     columns = segments.columns
-    name = F.lower(squeeze(F.col("name")))
+    name = lowered(squeeze(F.col("name")))
     # A player has a handful of segments per season, so these windows are as long as a career.
     season, career = Window.partitionBy(*SEASON), Window.partitionBy("player_id")
     checked = (

@@ -442,3 +442,44 @@ def test_damaged_state_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|infer|read"):
         latest_state(spark, str(tmp_path)).count()
 
+
+
+def test_names_fold_alike(spark):
+    from leaguelab.functions import text as names
+
+    spellings = ["Groß", "GROSS", "ｇｒｏｓｓ", "Groß", "ﬁn", "FIN", "José", "José"]
+    df = spark.createDataFrame(list(enumerate(spellings)), "n int, t string")
+    got = [r[0] for r in df.orderBy("n").select(names.folded(F.col("t"))).collect()]
+    assert got == ["gross", "gross", "gross", "gross", "fin", "fin", "josé", "josé"]
+    low = [r[0] for r in df.orderBy("n").select(names.lowered(F.col("t"))).collect()]
+    assert low[0] == "groß" and low[2] == "gross" and low[4] == "fin" and low[7] == "josé"
+
+
+def test_wide_letters_and_titles(spark):
+    from leaguelab.functions.text import is_bye
+    from leaguelab.functions.titles import title_identity
+
+    df = spark.createDataFrame([("ｓｐｉｅｌｆｒｅｉ",), ("ﬀ",)], "t string")
+    assert [r[0] for r in df.select(is_bye(F.col("t"))).collect()] == [True, False]
+    rows = ["Straße 3-2001/02", "STRASSE 3", "Liga Pokal am 1.3.2001", "Halb Finale B-Klasse"]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, t string").orderBy("n")
+    got = [tuple(r[0]) for r in df.select(title_identity(F.lit("2001/02"), F.col("t"))).collect()]
+    assert got == [
+        ("2001/02", "strasse 3", None, False), ("2001/02", "strasse 3", None, False),
+        ("2001/02", "liga pokal", "ligapokal", False), ("2001/02", "halb finale b klasse", "b-klasse", True),
+    ]
+
+
+@pytest.mark.parametrize(
+    "label, want",
+    [
+        ("A - Klasse Gruppe 3 / Saison 2001/02", "A-Klasse"), ("aklasse", "A-Klasse"),
+        ("Bezirksliga gruppe cup", None), ("-Aklasse", None), ("B-Klasse 2001/05", None),
+        ("B-Klasse saison", None), ("C–Klasse Gruppe Pokalrunde", None), ("Bezirksliga 01 / 02", "Bezirksliga"),
+    ],
+)
+def test_league_class_labels(spark, label, want):
+    from leaguelab.functions.classes import league_class
+
+    df = spark.createDataFrame([(label,)], "t string")
+    assert df.select(league_class(F.col("t"))).first()[0] == want
