@@ -67,14 +67,38 @@ def round_number(c: Column) -> Column:
     return safe_integer(found)
 
 
+# Words that head a round column, the longer one first.
+ROUND_WORDS = ["runde", "r"]
+
+
+def _behind_round_word(text: Column) -> Column:
+    """What follows a round word at the beginning of a text; NULL without one."""
+    out = F.lit(None).cast("string")
+    for word in reversed(ROUND_WORDS):
+        out = F.when(text.startswith(word), F.substr(text, F.lit(len(word) + 1))).otherwise(out)
+    return out
+
+
 def round_header(c: Column) -> Column:
     """Round number of a header cell such as 'R1', 'Runde 3' or '12'."""
-    return F.regexp_extract(F.lower(squeeze(c)), r"^(?:r(?:unde)?\s*)?(\d{1,2})$", 1).try_cast("int")
+
+    def number(text: Column) -> Column:
+        digits = F.ltrim(F.coalesce(_behind_round_word(text), text))
+        plain = (F.length(digits) <= 2) & (F.translate(digits, "0123456789", "") == "")
+        return F.when(plain, digits.try_cast("int"))
+
+    return let(F.lower(squeeze(c)), number)
 
 
 def suspicious_round_header(c: Column) -> Column:
     """Looks like a round header but has no usable number."""
-    return round_header(c).isNull() & F.lower(squeeze(c)).rlike(r"^r(?:unde)?(?=$|[\s:._\-]|\d)")
+
+    def cut_off(text: Column) -> Column:
+        following = F.substring(_behind_round_word(text), 1, 1)
+        sign = F.coalesce(following.isin("", " ", *":._-", *"0123456789"), F.lit(False))
+        return F.when(text.isNotNull(), sign)
+
+    return round_header(c).isNull() & let(F.lower(squeeze(c)), cut_off)
 
 
 def cup_round_weight(c: Column) -> Column:
