@@ -92,20 +92,18 @@ def plain_changes(
 def results_fingerprint(games: DataFrame, by: Sequence[str]) -> DataFrame:
     """Order-independent fingerprint and number of the completed games of each team.
 
-    Each game is hashed on its own; the group keeps the count and two sums over the hash, so a
+    Each game is hashed on its own; the group keeps the count and four sums over the whole hash, so a
     team with very many games is combined before the shuffle and never collected.
     """
     done = games.where("played")
     item = fingerprint("league", "starts_at", "home", "away", "round", "home_score", "away_score")
-    first = F.conv(F.substring(item, 1, 15), 16, 10).cast("decimal(38,0)")
-    second = F.conv(F.substring(item, 16, 15), 16, 10).cast("decimal(38,0)")
+    part = lambda n: F.conv(F.substring(item, 16 * n + 1, 16), 16, 10).cast("decimal(38,0)")
+    names = [f"_s{n}" for n in range(4)]
     sums = done.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("result_count"),
-        F.sum(first).alias("_s1"),
-        F.sum(second).alias("_s2"),
+        F.count(F.lit(1)).alias("result_count"), *[F.sum(part(n)).alias(s) for n, s in enumerate(names)]
     )
     return sums.select(
-        *by, "result_count", fingerprint("result_count", "_s1", "_s2").alias("result_fingerprint")
+        *by, "result_count", fingerprint("result_count", *names).alias("result_fingerprint")
     )
 
 

@@ -484,18 +484,26 @@ def check_drift(
 
 def history_metrics(history: DataFrame, rounds: DataFrame) -> DataFrame:
     """Counts over all segments: players, records, markers, ambiguous, totals-only, eligible."""
-    seasons = history.groupBy(*SEASON).agg(F.bool_or("ambiguous").alias("_amb"))
-    facts = [
-        (history, "segments", F.count(F.lit(1))),
-        (history, "eligible_segments", F.count_if("eligible")),
-        (history, "totals_only_segments", F.count_if(F.col("appearances") == 0)),
-        (seasons, "player_seasons", F.count(F.lit(1))),
-        (seasons, "ambiguous_seasons", F.count_if("_amb")),
-        (rounds, "marker_rounds", F.count_if(F.col("points").isNull())),
-        (history.select("player_id").distinct(), "players", F.count(F.lit(1))),
-    ]
-    out = None
-    for df, name, value in facts:
-        row = df.agg(value.alias("value")).select(F.lit(name).alias("metric"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
+    # One pass: segments into seasons, seasons into players, players into totals.
+    seasons = history.groupBy(*SEASON).agg(
+        F.count(F.lit(1)).alias("segments"),
+        count(F.col("eligible")).alias("eligible_segments"),
+        count(F.col("appearances") == 0).alias("totals_only_segments"),
+        F.bool_or("ambiguous").alias("_ambiguous"),
+    )
+    summed = ["segments", "eligible_segments", "totals_only_segments"]
+    players = seasons.groupBy("player_id").agg(
+        *[F.sum(c).alias(c) for c in summed],
+        F.count(F.lit(1)).alias("player_seasons"),
+        count(F.col("_ambiguous")).alias("ambiguous_seasons"),
+    )
+    summed += ["player_seasons", "ambiguous_seasons"]
+    totals = players.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed], F.count(F.lit(1)).alias("players")
+    )
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in [*summed, "players"]]
+    markers = rounds.agg(F.count_if(F.col("points").isNull()).alias("value"))
+    return totals.select(F.inline(F.array(*cells))).unionByName(
+        markers.select(F.lit("marker_rounds").alias("metric"), "value")
+    )

@@ -140,12 +140,13 @@ def _pairs(spark, d):
 
 @query("M16_head_to_head", with_ctes(SEASONS_SQL, _PAIRS, """
 last AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season_start DESC, round DESC)
-  AS back FROM rounds WHERE points IS NOT NULL AND season_start = 2001),
+  AS back FROM rounds WHERE points IS NOT NULL AND season_start = (SELECT max(season_start) FROM rounds)),
 stats AS (SELECT r.player_id, coalesce(avg(r.points), 0) AS mean,
   (SELECT coalesce(avg(points), 0) FROM last l WHERE l.player_id = r.player_id AND back <= 5)
     AS form,
-  (SELECT count(*) FROM player_seasons s WHERE s.player_id = r.player_id AND season_start < 2001)
-    AS seasons FROM rounds r WHERE season_start = 2001 GROUP BY 1),
+  (SELECT count(*) FROM player_seasons s WHERE s.player_id = r.player_id
+    AND season_start < (SELECT max(season_start) FROM rounds)) AS seasons
+  FROM rounds r WHERE season_start = (SELECT max(season_start) FROM rounds) GROUP BY 1),
 j AS (SELECT left_id, right_id, coalesce(a.mean, 0) AS m1, coalesce(b.mean, 0) AS m2,
   coalesce(a.form, 0) AS f1, coalesce(b.form, 0) AS f2, coalesce(a.seasons, 0) AS s1,
   coalesce(b.seasons, 0) AS s2 FROM pairs LEFT JOIN stats a ON a.player_id = left_id
@@ -159,9 +160,11 @@ p AS (SELECT left_id, right_id, greatest(0.05, least(0.95, CASE WHEN m1 = 0 AND
 SELECT left_id, right_id, round(share, 6) AS left_share, round(1 - share, 6) AS right_share
 FROM p""")
 def _h2h(spark, d):
-    long = rounds(spark, d).where(F.col("season_start") == 2001)
+    all_rounds = rounds(spark, d)
+    newest = all_rounds.agg(F.max("season_start")).scalar()
+    long = all_rounds.where(F.col("season_start") == newest)
     seasons = (
-        player_seasons(spark, d).where(F.col("season_start") < 2001)
+        player_seasons(spark, d).where(F.col("season_start") < newest)
         .groupBy("player_id").agg(F.count(F.lit(1)).alias("seasons"))
     )
     stats = (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.rankings import ranking_long
+from ..lineage import new_path
 from ..sources import pages as P
-from ..sources.sinks import content_hash, run_report
+from ..sources.sinks import content_hash, publish_run, read_published, run_report
 from ..sources.snapshots import import_history, league_lines, parse_snapshot
 from .gate_queries import _RESULTS_SQL, _results
 from .registry import query
@@ -261,6 +262,29 @@ def _content(spark, d):
     )
 
 
+@query("S14_publish_run", """
+SELECT 'customers' AS domain, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys, 1 AS changes
+FROM customer
+UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), 2 FROM orders
+WHERE month(o_orderdate) <> 3""")
+def _publish_run(spark, d):
+    """Four runs: all orders, fewer orders, the same again, and one that is not ready."""
+    target = new_path(spark, "published")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderdate")
+    fewer = orders.where(F.month("o_orderdate") != 3)
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    changes = []
+    for rows, ready in ((orders, True), (fewer, True), (fewer, True), (orders, False)):
+        changes += publish_run({"orders": rows, "customers": customers}, target, ready)
+    out = None
+    for domain in ("customers", "orders"):
+        row = read_published(spark, target, domain).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("key").alias("keys")
+        ).select(F.lit(domain).alias("domain"), "rows", "keys", F.lit(changes.count(domain)).alias("changes"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("ST2_running_means", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id, count(value) AS games,
   round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")

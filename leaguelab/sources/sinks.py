@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -19,43 +20,77 @@ def content_hash(df: DataFrame) -> DataFrame:
     Every row is hashed on its own and the hashes are summed, so nothing is sorted or collected.
     """
     row = fingerprint(*sorted(df.columns))
-    part = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")
+    # The whole digest: four sums of 64 bits.
+    part = lambda n: F.conv(F.substring(row, 16 * n + 1, 16), 16, 10).cast("decimal(38,0)")
+    names = [f"_{n}" for n in range(4)]
     sums = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(part(1)).alias("_a"), F.sum(part(16)).alias("_b")
+        F.count(F.lit(1)).alias("rows"), *[F.sum(part(n)).alias(name) for n, name in enumerate(names)]
     )
-    return sums.select("rows", fingerprint("rows", "_a", "_b").alias("content_hash"))
+    return sums.select("rows", fingerprint("rows", *names).alias("content_hash"))
 
 
-def published_version(df_or_spark, target: str, domain: str) -> str | None:
-    """Version that readers of a domain see, or None."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+MANIFEST = "run long, domains map<string,struct<folder:string,content_hash:string>>"
+
+
+def _newest_run(spark: SparkSession, target: str):
+    """Newest row of the manifest, or None before the first run. Other faults than a missing
+    manifest are raised."""
     try:
-        row = spark.read.json(f"{target}/{domain}/current").select("version").head()
-    except AnalysisException:
-        return None
-    return row["version"] if row else None
+        runs = spark.read.schema(MANIFEST).json(f"{target}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return runs.orderBy(F.desc("run")).head()
+
+
+def publish_run(
+    frames: Mapping[str, DataFrame], target: str, ready: bool = True
+) -> list[str]:
+    """Publish the changed domains of a run together; returns their names.
+
+    Every frame is evaluated once, into a folder of its own, and hashed from what was written. Then
+    one manifest row names the folder of every domain, so readers see all of a run or nothing of
+    it; earlier rows and folders stay. A run that is not ready (see ``run_decision``) writes nothing.
+    """
+    if not ready or not frames:
+        return []
+    spark = next(iter(frames.values())).sparkSession
+    last = _newest_run(spark, target)
+    domains = {k: tuple(v) for k, v in last["domains"].items()} if last else {}
+    changed = []
+    for domain, df in frames.items():
+        folder = f"{domain}/data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{target}/{folder}")
+        written = spark.read.schema(df.schema).parquet(f"{target}/{folder}")
+        version = content_hash(written).head()["content_hash"]
+        if domains.get(domain, (None, None))[1] != version:
+            domains[domain] = (folder, version)
+            changed.append(domain)
+    if changed:
+        run = last["run"] + 1 if last else 1
+        row = spark.createDataFrame([(run, domains)], MANIFEST)
+        row.coalesce(1).write.mode("append").json(f"{target}/manifest")
+    return changed
 
 
 def publish(df: DataFrame, target: str, domain: str) -> bool:
-    """Write a new version of a domain if its content changed; returns whether it did.
+    """Publish one domain if its content changed; returns whether it did."""
+    return publish_run({domain: df}, target) == [domain]
 
-    Data go to a folder named after the content hash; the one-row pointer is written last.
-    """
-    version = content_hash(df).head()["content_hash"]
-    if published_version(df, target, domain) == version:
-        return False
-    df.write.mode("overwrite").parquet(f"{target}/{domain}/version={version}")
-    pointer = df.sparkSession.range(1).select(F.lit(version).alias("version"))
-    pointer.coalesce(1).write.mode("overwrite").json(f"{target}/{domain}/current")
-    return True
+
+def published_version(df_or_spark, target: str, domain: str) -> str | None:
+    """Content hash of what readers of a domain see, or None."""
+    last = _newest_run(getattr(df_or_spark, "sparkSession", df_or_spark), target)
+    return last["domains"][domain]["content_hash"] if last and domain in last["domains"] else None
 
 
 def read_published(spark, target: str, domain: str) -> DataFrame:
     """Current version of a domain."""
-    version = published_version(spark, target, domain)
-    if version is None:
+    last = _newest_run(spark, target)
+    if last is None or domain not in last["domains"]:
         raise ValueError(f"domain {domain} is not published")
-    return spark.read.parquet(f"{target}/{domain}/version={version}")
+    return spark.read.parquet(f"{target}/{last['domains'][domain]['folder']}")
 
 
 def run_report(

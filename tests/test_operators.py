@@ -355,6 +355,13 @@ def test_publish_only_on_change(spark, tmp_path):
     assert sinks.publish(one.repartition(3), target, "clubs") is False
     assert sinks.publish(spark.range(11), target, "clubs") is True
     assert sinks.read_published(spark, target, "clubs").count() == 11
+    # A run that is not ready is not seen; one with a new and an old domain is seen at once.
+    both = {"clubs": spark.range(5), "teams": spark.range(3)}
+    assert sinks.publish_run(both, target, ready=False) == []
+    assert sinks.published_version(spark, target, "teams") is None
+    assert sinks.publish_run(both, target) == ["clubs", "teams"]
+    assert sinks.publish_run(both, target) == []
+    assert sinks.read_published(spark, target, "clubs").count() == 5
 
 
 def test_report_rejects_reversed_time(spark):
