@@ -223,7 +223,8 @@ def exact_then_fuzzy(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame
     """For each ``name`` of ``left``: the equal name of ``right``, else the first that contains it
     or is contained in it. ``right`` has ``candidate`` and ``position``.
 
-    Keys shorter than ``n`` letters match exactly only.
+    Keys of any length match by containment; those shorter than ``n`` letters are looked up as they
+    are instead of by their pieces.
     """
     names = left.select("name").distinct().withColumn("_k", letters_key(F.col("name")))
     options = right.select("candidate", "position", letters_key(F.col("candidate")).alias("_r"))
