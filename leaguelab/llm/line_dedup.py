@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .shared import written
+from .shared import bit_map, with_bit, written
 
 LINES = "k1 long, k2 long, id long, h long, line int, quarters array<long>"
 _LAST = (1 << 63) - 1
@@ -66,27 +66,6 @@ def _sliced(batches, most: int = 1_000):
             yield batch.slice(start, most)
 
 
-def _bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Bit map (word, set) of the hashes ``key``: at most ``bits`` / 64 rows, whatever the input."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    return (
-        keys.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("_bit"))
-        .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("set"))
-    )
-
-
-def _with_bit(df: DataFrame, key: str, bit_map: DataFrame, bits: int) -> DataFrame:
-    """``df`` with _may: whether the bit of ``key`` is set."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    set_here = F.expr("shiftright(set, _bit) & 1L") == 1
-    return (
-        df.withColumns({"word": F.shiftright(at, 6), "_bit": (at % 64).cast("int")})
-        .join(F.broadcast(bit_map), "word", "left")
-        .withColumn("_may", F.coalesce(set_here, F.lit(False)))
-        .drop("word", "_bit", "set")
-    )
-
-
 def _line_rows(min_words: int):
     import xxhash
 
@@ -216,7 +195,7 @@ def near_removed(first: DataFrame, keyed: DataFrame, bits: int) -> DataFrame:
     shared = quarters.groupBy("quarter").agg(F.count("*").alias("n")).where("n > 1").select("quarter")
     shared = written(shared, "shared-quarters")
     asked = (
-        _with_bit(quarters, "quarter", written(_bits(shared, "quarter", bits), "bits"), bits)
+        with_bit(quarters, "quarter", written(bit_map(shared, "quarter", bits), "bits"), bits)
         .where("_may").drop("_may")
         .join(shared, "quarter", "left_semi")
         .groupBy("id", "h")
@@ -224,7 +203,7 @@ def near_removed(first: DataFrame, keyed: DataFrame, bits: int) -> DataFrame:
     )
     asked = written(asked, "asked-lines")
     lines = written(
-        _with_bit(keyed, "h", written(_bits(asked, "h", bits), "bits"), bits)
+        with_bit(keyed, "h", written(bit_map(asked, "h", bits), "bits"), bits)
         .where("_may").drop("_may")
         .join(asked, ["id", "h"])
         .mapInArrow(_candidate_lines, "id long, h long, line int, norm string"),
@@ -304,11 +283,11 @@ def dedup_lines(
     names = [f"c{n}" for n in range(len(docs.columns))]
     text_at = names[docs.columns.index(text_col)]
     id_at = names[docs.columns.index(id_col)]
-    wide = _with_bit(
+    wide = with_bit(
         docs.toDF(*names).withColumns(
             {"id": F.coalesce(F.col(id_at).cast("long"), F.lit(_LAST)), "h": F.xxhash64(text_at)}
         ),
-        "h", written(_bits(gone, "h", bits), "bits"), bits,
+        "h", written(bit_map(gone, "h", bits), "bits"), bits,
     )
     fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns)]
     changed = (

@@ -55,3 +55,24 @@ def in_train(id_col, parts: int, held_out: int):
 def parts_for(rows: int, per_part: int) -> int:
     """Number of parts of about ``per_part`` rows."""
     return max(1, -(-rows // per_part))
+
+
+def bit_map(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """Bit map (word, set) of the hashes ``key``: at most ``bits`` / 64 rows, whatever the input."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    return (
+        keys.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("_bit"))
+        .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("set"))
+    )
+
+
+def with_bit(df: DataFrame, key: str, found: DataFrame, bits: int) -> DataFrame:
+    """``df`` with _may: whether the bit of ``key`` is set."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    set_here = F.expr("shiftright(set, _bit) & 1L") == 1
+    return (
+        df.withColumns({"word": F.shiftright(at, 6), "_bit": (at % 64).cast("int")})
+        .join(F.broadcast(found), "word", "left")
+        .withColumn("_may", F.coalesce(set_here, F.lit(False)))
+        .drop("word", "_bit", "set")
+    )

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, parts_for, written
+from .shared import bit_map, id_and_text, parts_for, with_bit, written
 
 RUNS = "key long, c1 long, c2 long, id long, h long, start int, n int, anchor long, own boolean"
 _TYPES = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.bool_()]
@@ -339,12 +339,14 @@ def repeated_spans(
     cell: int = 16,
     key_runs: int = 2_000,
     bucket_bytes: int = 3 << 20,
+    bits: int = 1 << 22,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_bytes, spans (from, to, from, to, ... of the removed bytes), kept_sha256.
 
     ``key_runs``: a key with more different runs is refined. ``bucket_bytes``: bytes of a transform.
+    ``bits``: size of the bit maps that leave out texts which need not move.
     """
     docs = id_and_text(docs, id_col, text_col)
     keyed = docs.select(
@@ -380,7 +382,7 @@ def repeated_spans(
             .agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asked"))
         )
         runs = written(
-            _with_text(keyed, asked).mapInArrow(_run_rows(length, gram, step), RUNS), "runs"
+            _with_text(keyed, asked, bits).mapInArrow(_run_rows(length, gram, step), RUNS), "runs"
         )
     folded, kept = final
     folded = folded.select("key", "c1", "c2", "weight", "place.*")
@@ -391,7 +393,7 @@ def repeated_spans(
         .alias("asked")
     )
     found = written(
-        _with_text(keyed, asked)
+        _with_text(keyed, asked, bits)
         .mapInArrow(_run_bytes(length), "key long, c1 long, c2 long, weight long, data binary")
         .groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
         .applyInPandas(
@@ -412,17 +414,22 @@ def repeated_spans(
         )
     )
     windows = written(windows, "windows")
-    return (
+    every = with_bit(
         docs.select(
             "doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h")
-        )
-        .join(windows, ["id", "h"], "left")
-        .select("doc_id", "text", "windows")
-        .mapInArrow(_digests(length), "doc_id long, n_bytes long, spans array<int>, kept_sha256 string")
+        ),
+        "h", written(bit_map(windows, "h", bits), "bits"), bits,
     )
-
-
-def _with_text(keyed: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` with the text of its document. Rows of equal id and text give it once each, which
-    changes nothing: their runs weigh two or more as it is."""
-    return keyed.join(asked, ["id", "h"])
+    changed = every.where("_may").join(windows, ["id", "h"], "left").select("doc_id", "text", "windows")
+    none = F.lit(None).cast(windows.schema["windows"].dataType)
+    same = every.where("NOT _may").select("doc_id", "text", none.alias("windows"))
+    shape = "doc_id long, n_bytes long, spans array<int>, kept_sha256 string"
+    return changed.mapInArrow(_digests(length), shape).union(same.mapInArrow(_digests(length), shape))
+
+
+def _with_text(keyed: DataFrame, asked: DataFrame, bits: int) -> DataFrame:
+    """``asked`` with the text of its document; only texts whose bit is set are moved. Rows of equal
+    id and text give it once each, which changes nothing: their runs weigh two or more as it is."""
+    asked = written(asked, "asked-runs")
+    may = with_bit(keyed, "h", written(bit_map(asked, "h", bits), "bits"), bits).where("_may")
+    return may.drop("_may").join(asked, ["id", "h"])
