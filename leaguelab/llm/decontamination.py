@@ -6,8 +6,11 @@
    in a passage, so frequent words stay light), computed from
    partial products of the rows in each partition, gives the latent space. A space of at least as
    many dimensions as passages keeps all their angles.
-3. Every window of a document is projected into it and compared with every passage by cosine.
-   A window whose terms hold too little of the weight of any passage is not projected.
+3. Every window of a document is projected into it and compared with every passage: its part along
+   the passage, as a share of the passage's squared length, is what the window holds of it. Other
+   words of the window do not lessen it, and no term has weight 0, so a copy in any number of
+   documents holds all of its passage. A window whose terms hold too little of the weight of any
+   passage is not projected.
 4. Candidates are verified: the longest common subsequence of words between the item and the
    document around the window decides. From ``copied`` on it is a copy; from ``paraphrased`` on it
    is one if the answer, the words of the item's last sentence, is in the document too.
@@ -17,7 +20,7 @@ so what is sent to the tasks is bounded. Texts are split once per block; the num
 counts and for the search.
 
 Defined cases: letters' case, signs and white space do not count; a null or empty text is clean; an
-item without words, or of frequent words only, matches nothing; repeated and null ids of documents are answered each; of
+item without words matches nothing; repeated and null ids of documents are answered each; of
 repeated items each is compared; ties go to the smallest item id; an empty benchmark leaves all
 documents clean; an empty table gives an empty result; other columns are ignored, whatever their
 names are.
@@ -163,7 +166,7 @@ def randomized_svd(
 class Index:
     idf: np.ndarray
     latent: np.ndarray  # terms x dimensions
-    passages: np.ndarray  # passages x dimensions, of length one
+    passages: np.ndarray  # passages x dimensions, divided by their squared length
     items: list[tuple[int | None, list[int], list[int]]]  # item id, words, answer words
     item_of: np.ndarray  # passage -> position in items
     share: np.ndarray  # of each term: the largest part of a passage's squared length
@@ -173,8 +176,6 @@ def build_index(
     block: list, rows: DataFrame, terms: dict[str, int], frequency: np.ndarray, total: int, rank: int
 ) -> Index:
     idf = np.log((total + 1) / (frequency + 1)) + 0.01
-    # Terms of a fifth of all documents tell nothing about a passage.
-    idf[frequency > max(50, total // 5)] = 0.0
     latent = randomized_svd(rows, terms, idf, rank).astype(np.float32)
     items: dict[tuple, int] = {}
     vectors, item_of, share = [], [], np.zeros(len(terms))
@@ -184,8 +185,7 @@ def build_index(
         ids = np.unique([terms[w] for w in r["words"]])
         a = idf[ids]
         share[ids] = np.maximum(share[ids], a * a / (a @ a + 1e-12))
-        v = a @ latent[ids]
-        vectors.append(v / (np.linalg.norm(v) + 1e-12))
+        vectors.append(a @ latent[ids] / (a @ a))
     return Index(
         idf, latent, np.array(vectors, dtype=np.float32),
         [(i, list(w), list(a)) for i, w, a in items], np.array(item_of), share,
@@ -206,14 +206,15 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 def search_text(
-    index: Index, ids: np.ndarray, window: int, stride: int, near: float
+    index: Index, ids: np.ndarray, window: int, stride: int, near: float, least: float = 0.0
 ) -> dict[int, tuple[float, float]]:
     """Item position to (coverage, share of the answer) of the candidates of a text.
 
-    A window is some neighbouring blocks of ``stride`` words; its vector is the sum of theirs. A
-    cosine of ``near`` to a passage takes terms that hold ``near`` squared of its squared length.
+    A window is some neighbouring blocks of ``stride`` words; its vector is the sum of theirs. Its
+    candidates are the passages of which it holds ``near`` squared of the squared length, as every
+    window of a cosine of ``near`` does.
     """
-    hits = np.flatnonzero((ids >= 0) & (index.idf[ids] > 0))
+    hits = np.flatnonzero(ids >= 0)
     if not len(hits):
         return {}
     terms = ids[hits]
@@ -231,17 +232,19 @@ def search_text(
     if not len(heavy):
         return {}
     weights = index.idf[terms].astype(np.float32)
-    norms = np.sqrt(in_windows(index.idf[terms] ** 2)[heavy])
     vectors = in_windows(index.latent[terms] * weights[:, None])[heavy].astype(np.float32)
-    cosine = vectors @ index.passages.T / (norms[:, None] + 1e-12)
+    held = vectors @ index.passages.T
     best: dict[int, tuple[float, float]] = {}
-    for k, passage in zip(*np.nonzero(cosine >= near)):
+    for k, passage in zip(*np.nonzero(held >= near * near - 1e-3)):
         item = int(index.item_of[passage])
         _, item_words, answer = index.items[item]
         start, reach = int(blocks[heavy[k]]) * stride, len(item_words)
         around = ids[max(0, start - reach) : start + window + reach].tolist()
-        coverage = common_subsequence(item_words, around) / len(item_words)
         present = set(around)
+        # No subsequence is longer than the words that are there at all.
+        if sum(map(present.__contains__, item_words)) < least * len(item_words):
+            continue
+        coverage = common_subsequence(item_words, around) / len(item_words)
         share = sum(w in present for w in answer) / len(answer)
         best[item] = max(best.get(item, (0.0, 0.0)), (coverage, share))
     return best
@@ -291,7 +294,7 @@ def found_items(
                         [
                             {"item": at.items[item][0], "coverage": coverage}
                             for item, (coverage, share) in search_text(
-                                at, ids, window, stride, near
+                                at, ids, window, stride, near, min(copied, paraphrased)
                             ).items()
                             if coverage >= copied or coverage >= paraphrased and share >= answered
                         ]

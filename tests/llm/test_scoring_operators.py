@@ -192,6 +192,20 @@ def test_planted_passages_are_found(spark, block):
     assert left.count() == len(docs) - sum(bad.values())
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_a_passage_in_many_documents_is_found(spark, every):
+    rng = random.Random(8)
+    bench = [" ".join(f"t{rng.randrange(400)}" for _ in range(rng.randint(12, 40))) for _ in range(20)]
+    docs = []
+    for n, text in enumerate(corpus(rng, 330)):
+        others = " ".join(f"t{rng.randrange(400)}" for _ in range(8))
+        docs.append((n, f"{text} {others} {bench[0]} {text}" if n % every == 0 else text))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bm = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in dec.contaminated(df, bm).where("contaminated").collect()}
+    assert got == dict.fromkeys(range(0, 330, every), 0)
+
+
 def test_decontamination_without_rows(spark):
     shape = "doc_id long, text string"
     df = spark.createDataFrame([(1, "a b c")], shape)
