@@ -4,8 +4,8 @@
    every term is counted over all documents.
 2. A randomised singular value decomposition of the TF-IDF matrix of the passages (a term counts once
    in a passage, so frequent words stay light), computed from
-   partial products of the rows in each partition, gives the latent space. A space of at least as
-   many dimensions as passages keeps all their angles.
+   partial products of the rows in each partition, gives the latent space. It has at least as
+   many dimensions as there are passages, so it keeps all their angles.
 3. Every window of a document is projected into it and compared with every passage: its part along
    the passage, as a share of the passage's squared length, is what the window holds of it. Other
    words of the window do not lessen it, and no term has weight 0, so a copy in any number of
@@ -15,9 +15,10 @@
    document around the window decides. From ``copied`` on it is a copy; from ``paraphrased`` on it
    is one if the answer, the words of the item's last sentence, is in the document too.
 
-A benchmark of any size is taken in blocks of whole items, of about ``block_passages`` passages each,
-so what is sent to the tasks is bounded. Texts are split once per block; the numbers of their terms are written, for the
-counts and for the search.
+A benchmark of any size is taken in blocks of whole items, of about ``block_passages`` passages each.
+Texts are split once per block; the numbers of their terms are written, for the counts and for the
+searches. The searches take about ``rank`` passages of a block each, in a latent space of their own, so
+what is sent to the tasks is bounded and the result does not depend on the number of items.
 
 Defined cases: letters' case, signs and white space do not count; a null or empty text is clean; an
 item without words matches nothing; repeated and null ids of documents are answered each; of
@@ -215,6 +216,7 @@ def search_text(
     window of a cosine of ``near`` does.
     """
     hits = np.flatnonzero(ids >= 0)
+    hits = hits[index.share[ids[hits]] > 0]
     if not len(hits):
         return {}
     terms = ids[hits]
@@ -271,20 +273,9 @@ def found_items(
     blocks = parts_for(passages.count(), block_passages)
     # All passages of an item are in one block, so its words all have numbers there.
     key = F.xxhash64("item_id", F.concat_ws(" ", "item_words"))
-    results = []
-    for block in range(blocks):
-        rows = passages.where(F.pmod(key, F.lit(blocks)) == block)
-        held = rows.collect()
-        terms = {w: n for n, w in enumerate(sorted({w for r in held for w in r["words"]}))}
-        if not terms:
-            continue
-        numbers = written(term_numbers(docs, terms), "term-numbers")
-        frequency = document_frequencies(numbers, len(terms))
-        index = docs.sparkSession.sparkContext.broadcast(
-            build_index(held, rows, terms, frequency, numbers.count(), rank)
-        )
 
-        def search(batches, index=index):
+    def searcher(index):
+        def search(batches):
             at = index.value
             for batch in batches:
                 found = []
@@ -305,7 +296,29 @@ def found_items(
                     names=["doc_id", "h", "found"],
                 )
 
-        results.append(numbers.mapInArrow(search, f"doc_id long, h long, found {FOUND}"))
+        return search
+
+    results = []
+    for block in range(blocks):
+        rows = passages.where(F.pmod(key, F.lit(blocks)) == block)
+        held = rows.collect()
+        terms = {w: n for n, w in enumerate(sorted({w for r in held for w in r["words"]}))}
+        if not terms:
+            continue
+        numbers = written(term_numbers(docs, terms), "term-numbers")
+        frequency = document_frequencies(numbers, len(terms))
+        total = numbers.count()
+        searches = parts_for(len(held), rank)
+        of_search = F.pmod(F.xxhash64(key, F.concat_ws(" ", "words")), F.lit(searches))
+        for part in range(searches):
+            chosen = rows.where(of_search == part)
+            sought = chosen.collect()
+            if not sought:
+                continue
+            # A part that came out larger gets the dimensions that keep its angles.
+            index = build_index(sought, chosen, terms, frequency, total, max(rank, len(sought)))
+            index = docs.sparkSession.sparkContext.broadcast(index)
+            results.append(numbers.mapInArrow(searcher(index), f"doc_id long, h long, found {FOUND}"))
     result = docs.select("doc_id", "h", F.array().cast(FOUND).alias("found"))
     if len(results) == 1:
         result = results[0]

@@ -206,6 +206,21 @@ def test_a_passage_in_many_documents_is_found(spark, every):
     assert got == dict.fromkeys(range(0, 330, every), 0)
 
 
+def test_exact_copies_of_a_large_benchmark_are_found(spark):
+    rng = random.Random(9)
+    words = [f"t{n}" for n in range(6000)]
+    bench = [" ".join(rng.choices(words, k=rng.randint(12, 58))) for _ in range(1100)]
+    clean = corpus(rng, 60)
+    docs = [
+        (n, f"{clean[n % 60]} {' '.join(rng.choices(words, k=12))} {bench[n * 10]} {clean[(n + 1) % 60]}")
+        for n in range(110)
+    ]
+    df = spark.createDataFrame(docs + [(1000 + n, t) for n, t in enumerate(clean)], "doc_id long, text string")
+    bm = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in dec.contaminated(df, bm).where("contaminated").collect()}
+    assert got == {n: 10 * n for n in range(110)}
+
+
 def test_decontamination_without_rows(spark):
     shape = "doc_id long, text string"
     df = spark.createDataFrame([(1, "a b c")], shape)
