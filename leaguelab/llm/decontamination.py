@@ -11,8 +11,9 @@
    words of the window do not lessen it, and no term has weight 0, so a copy in any number of
    documents holds all of its passage. A window whose terms hold too little of the weight of any
    passage is not projected.
-4. Candidates are verified: the longest common subsequence of words between the item and the
-   document around the window decides. From ``copied`` on it is a copy; from ``paraphrased`` on it
+4. Candidates are verified: the longest common subsequence of words between the item, or the passage
+   of it that was found, and the document around the window decides; the larger coverage counts. An
+   excerpt of a long item is so found from about a passage's length on, however long the item is. From ``copied`` on it is a copy; from ``paraphrased`` on it
    is one if the answer, the words of the item's last sentence, is in the document too.
 
 A benchmark of any size is taken in blocks of whole items, of about ``block_passages`` passages each.
@@ -61,7 +62,9 @@ def passages_of(benchmark: DataFrame, id_col: str, text_col: str, size: int) ->
                 if not words:
                     continue
                 last = [s for s in SENTENCE.split(text) if words_of(s)][-1]
-                for at in range(0, max(1, len(words) - size // 2), size // 2):
+                # The last passage ends with the item, so all passages of a long item have full length.
+                last_at = max(0, len(words) - size)
+                for at in sorted({*range(0, last_at, size // 2), last_at}):
                     for column, value in zip(
                         columns, (item, words, words[at : at + size], words_of(last))
                     ):
@@ -170,6 +173,7 @@ class Index:
     passages: np.ndarray  # passages x dimensions, divided by their squared length
     items: list[tuple[int | None, list[int], list[int]]]  # item id, words, answer words
     item_of: np.ndarray  # passage -> position in items
+    words_of: list[list[int]]  # of each passage, empty if it is the whole item
     share: np.ndarray  # of each term: the largest part of a passage's squared length
 
 
@@ -179,17 +183,18 @@ def build_index(
     idf = np.log((total + 1) / (frequency + 1)) + 0.01
     latent = randomized_svd(rows, terms, idf, rank).astype(np.float32)
     items: dict[tuple, int] = {}
-    vectors, item_of, share = [], [], np.zeros(len(terms))
+    vectors, item_of, parts, share = [], [], [], np.zeros(len(terms))
     for r in block:
         numbered = [tuple(terms[w] for w in r[c]) for c in ("item_words", "answer")]
         item_of.append(items.setdefault((r["item_id"], *numbered), len(items)))
+        parts.append([terms[w] for w in r["words"]] if len(r["words"]) < len(numbered[0]) else [])
         ids = np.unique([terms[w] for w in r["words"]])
         a = idf[ids]
         share[ids] = np.maximum(share[ids], a * a / (a @ a + 1e-12))
         vectors.append(a @ latent[ids] / (a @ a))
     return Index(
         idf, latent, np.array(vectors, dtype=np.float32),
-        [(i, list(w), list(a)) for i, w, a in items], np.array(item_of), share,
+        [(i, list(w), list(a)) for i, w, a in items], np.array(item_of), parts, share,
     )
 
 
@@ -207,9 +212,10 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 def search_text(
-    index: Index, ids: np.ndarray, window: int, stride: int, near: float, least: float = 0.0
-) -> dict[int, tuple[float, float]]:
-    """Item position to (coverage, share of the answer) of the candidates of a text.
+    index: Index, ids: np.ndarray, window: int, stride: int, near: float,
+    copied: float, paraphrased: float, answered: float,
+) -> dict[int, float]:
+    """Item position to coverage of the items found in a text.
 
     A window is some neighbouring blocks of ``stride`` words; its vector is the sum of theirs. Its
     candidates are the passages of which it holds ``near`` squared of the squared length, as every
@@ -236,19 +242,25 @@ def search_text(
     weights = index.idf[terms].astype(np.float32)
     vectors = in_windows(index.latent[terms] * weights[:, None])[heavy].astype(np.float32)
     held = vectors @ index.passages.T
-    best: dict[int, tuple[float, float]] = {}
+    best: dict[int, float] = {}
+    least = min(copied, paraphrased)
     for k, passage in zip(*np.nonzero(held >= near * near - 1e-3)):
         item = int(index.item_of[passage])
         _, item_words, answer = index.items[item]
-        start, reach = int(blocks[heavy[k]]) * stride, len(item_words)
-        around = ids[max(0, start - reach) : start + window + reach].tolist()
-        present = set(around)
-        # No subsequence is longer than the words that are there at all.
-        if sum(map(present.__contains__, item_words)) < least * len(item_words):
-            continue
-        coverage = common_subsequence(item_words, around) / len(item_words)
-        share = sum(w in present for w in answer) / len(answer)
-        best[item] = max(best.get(item, (0.0, 0.0)), (coverage, share))
+        start = int(blocks[heavy[k]]) * stride
+        share = None  # of the answer, in the reach of the whole item
+        for words in (item_words, index.words_of[passage]):
+            reach = len(words)
+            around = ids[max(0, start - reach) : start + window + reach].tolist()
+            present = set(around)
+            if share is None:
+                share = sum(w in present for w in answer) / len(answer)
+            # No subsequence is longer than the words that are there at all.
+            if not words or sum(map(present.__contains__, words)) < least * len(words):
+                continue
+            coverage = common_subsequence(words, around) / len(words)
+            if coverage >= copied or coverage >= paraphrased and share >= answered:
+                best[item] = max(best.get(item, 0.0), coverage)
     return best
 
 
@@ -284,10 +296,9 @@ def found_items(
                     found.append(
                         [
                             {"item": at.items[item][0], "coverage": coverage}
-                            for item, (coverage, share) in search_text(
-                                at, ids, window, stride, near, min(copied, paraphrased)
+                            for item, coverage in search_text(
+                                at, ids, window, stride, near, copied, paraphrased, answered
                             ).items()
-                            if coverage >= copied or coverage >= paraphrased and share >= answered
                         ]
                     )
                 shape = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64())]))

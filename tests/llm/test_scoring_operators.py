@@ -221,6 +221,20 @@ def test_exact_copies_of_a_large_benchmark_are_found(spark):
     assert got == {n: 10 * n for n in range(110)}
 
 
+def test_excerpts_of_long_items_are_found(spark):
+    rng = random.Random(10)
+    item = [f"t{n}" for n in rng.sample(range(5000), 300)]
+    clean = corpus(rng, 60)
+    starts = [0, 1, 17, 40, 100, 171, 236]
+    docs = [(n, f"{clean[n]} {' '.join(item[a : a + 64])} {clean[n + 1]}") for n, a in enumerate(starts)]
+    docs += [(100 + n, f"{clean[n]} {' '.join(item[a : a + 16])}") for n, a in enumerate(starts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bm = spark.createDataFrame([(5, " ".join(item)), (6, "some other item")], "item_id long, text string")
+    got = {r.doc_id: r for r in dec.contaminated(df, bm).where("contaminated").collect()}
+    assert set(got) == set(range(len(starts)))
+    assert all((r.item_id, r.n_items) == (5, 1) and r.coverage >= 0.6 for r in got.values())
+
+
 def test_decontamination_without_rows(spark):
     shape = "doc_id long, text string"
     df = spark.createDataFrame([(1, "a b c")], shape)
