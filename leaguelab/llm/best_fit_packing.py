@@ -40,10 +40,14 @@ def token_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens; ``row`` tells documents of equal id apart."""
+    """Pieces of at most ``capacity`` tokens; ``row`` tells documents of equal id apart.
+
+    ``row`` is the number of the document's first piece, so ``row + piece`` is one piece only: a
+    partition (2^30 of them) numbers its pieces (2^33) one by one.
+    """
 
     def pieces(batches):
-        row = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             out = [[] for _ in range(6)]
@@ -55,7 +59,7 @@ def token_pieces(
                     values = (row, ids_of[n], piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))
                     for column, value in zip(out, values):
                         column.append(value)
-                row += 1
+                row += len(bounds) - 1
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(out, types)],
@@ -131,7 +135,8 @@ def pack_pieces(
     part_rows: int = 50_000,
     max_rounds: int = 4,
 ) -> DataFrame:
-    """``pieces`` (row, piece, length and any other columns) with sequence_id and offset.
+    """``pieces`` (row, piece, length and any other columns) with sequence_id and offset; ``row +
+    piece`` differs between any two pieces.
 
     ``part_rows`` bounds the pieces that one task packs. Sequence numbers are unique, not dense.
     """
@@ -141,7 +146,7 @@ def pack_pieces(
     shape = "row long, piece int, sequence_id long, offset long"
     whole = pieces.where(F.col("length") == capacity).select(
         "row", "piece",
-        F.shiftleft(F.col("row"), 20).bitwiseOR(F.col("piece").cast("long")).alias("sequence_id"),
+        (F.col("row") + F.col("piece")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
     columns = [c.split()[0] for c in shape.split(", ")]

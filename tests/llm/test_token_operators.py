@@ -102,6 +102,12 @@ def test_packed_documents(spark, rows):
     check_packing(rows, got, 64)
 
 
+def test_whole_windows_of_many_partitions_stay_apart(spark):
+    rows = [(n, f"w{n} " * 200) for n in range(80)]
+    many = docs(spark, rows).repartition(40)
+    check_packing(rows, bfp.packed_documents(many, BYTE, 2, capacity=64).collect(), 64)
+
+
 @pytest.mark.parametrize("kind", ["pairs", "uniform"])
 def test_exchange_between_parts_saves_windows(spark, kind):
     rng = np.random.default_rng(1)
