@@ -13,7 +13,7 @@ which all fingerprints of the shard search:
   level has few free bits and so a fixed greatest size.
 * ``sketch_links`` (wide radius): a shard is one smallest shingle hash out of several independent
   ones. Two documents of similarity s miss all k shards with probability (1 - s)^k. A shard of more
-  than ``shard_rows`` rows is cut into blocks, and the tree of one block goes to all the others.
+  than ``shard_rows`` rows is cut into blocks, and every two blocks meet.
 
 Equal fingerprints are one row before any of this. A shard gives a spanning forest of its links,
 never its pairs.
@@ -237,28 +237,39 @@ def band_links(fps: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame
 def sketch_links(rows: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame:
     """Edges (a, b) between fingerprints within ``radius`` bits that share a smallest hash.
 
-    ``rows``: fp, sketch. Hot shards are cut into blocks; the first block's tree goes to all of
-    them, so two rows of other blocks are linked through what they are both near to.
+    ``rows``: fp, sketch. Hot shards are cut into blocks; every two of them meet.
     """
-    dealt = written(
-        rows.select("fp", F.posexplode("sketch").alias("n", "low"))
-        .select(F.xxhash64("n", "low").alias("shard"), "fp").distinct(),
+    sized = _blocks(_sketch_shards(rows.select("fp", F.col("fp").alias("node"), "sketch")), shard_rows)
+    cells = written(_meeting(sized), "sketch-blocks")
+    return _link_shards(cells.select(F.col("cell").alias("shard"), "fp"), radius, 2 * shard_rows)
+
+
+def _sketch_shards(rows: DataFrame) -> DataFrame:
+    """shard, node, fp of the rows (node, fp, sketch), once for each smallest hash."""
+    return written(
+        rows.select("node", "fp", F.posexplode("sketch").alias("n", "low"))
+        .select(F.xxhash64("n", "low").alias("shard"), "node", "fp").distinct(),
         "sketch-shards",
     )
-    counts = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _blocks(shards: DataFrame, shard_rows: int) -> DataFrame:
+    """``shards`` of more than one row, with blocks (of about ``shard_rows``) and block."""
+    counts = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / shard_rows).cast("long")
-    sized = dealt.join(counts.select("shard", blocks.alias("blocks")), "shard").withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    return shards.join(counts.select("shard", blocks.alias("blocks")), "shard").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
     )
-    own = sized.select("shard", "block", "fp")
-    sent = sized.where("block = 0 AND blocks > 1").select(
-        "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("block"), "fp"
-    )
-    return _link_shards(
-        written(
-            own.union(sent).select(F.xxhash64("shard", "block").alias("shard"), "fp"), "sketch-blocks"
-        ),
-        radius, shard_rows,
+
+
+def _meeting(sized: DataFrame) -> DataFrame:
+    """cell, node, fp: one cell for every two blocks of a shard, or for its only block."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return (
+        sized.select("shard", "node", "fp", "blocks", "block", other)
+        .where("blocks = 1 OR block <> other")
+        .select(F.xxhash64("shard", low, high).alias("cell"), "node", "fp")
     )
 
 

@@ -111,6 +111,21 @@ def test_band_links_lose_nothing_in_hot_shards(spark, shard_rows):
     assert len({next(iter(p)) for p in pairs.values()}) == len(pairs)
 
 
+def test_sketch_links_lose_nothing_in_hot_shards(spark):
+    rng = random.Random(14)
+    values = []
+    for _ in range(60):  # pairs, all in one shard
+        v = rng.getrandbits(64)
+        values += [v, v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(32))]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v, [1, 2]) for v in signed], "fp long, sketch array<long>")
+    for shard_rows in (2, 50):
+        links = simhash_bktree.sketch_links(df, 2, shard_rows)
+        roots = {r.node: r.root for r in connected_components(links).collect()}
+        got = [roots.get(v, v) for v in signed]
+        assert all(got[n] == got[n + 1] for n in range(0, 120, 2)) and len(set(got)) == 60
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(n, n + 1) for n in range(200)] + [(500, 400), (None, 3), (7, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
