@@ -14,6 +14,9 @@ which all fingerprints of the shard search:
 * ``sketch_links`` (wide radius): a shard is one smallest shingle hash out of several independent
   ones. Two documents of similarity s miss all k shards with probability (1 - s)^k. A shard of more
   than ``shard_rows`` rows is cut into blocks, and every two blocks meet.
+  ``similar_links`` takes these only as candidates: a link needs a Jaccard similarity of the shingle
+  sets of ``least`` or more. Blocks are linked by themselves first; shards that are one component
+  then are done, so only the others have their blocks meet.
 
 Equal fingerprints are one row before any of this. A shard gives a spanning forest of its links,
 never its pairs.
@@ -273,6 +276,122 @@ def _meeting(sized: DataFrame) -> DataFrame:
     )
 
 
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more; empty sets are equal."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (small + large - common)
+
+
+def _in_tasks(cells: DataFrame, work, schema: str, parts: int) -> DataFrame:
+    """``work`` on frames of whole cells, dealt to ``parts`` groups."""
+    return (
+        cells.withColumn("_task", F.pmod(F.xxhash64("cell"), F.lit(parts)))
+        .groupBy("_task").applyInPandas(work, schema)
+    )
+
+
+def _cells_of(frame: pd.DataFrame):
+    frame = frame.sort_values(["cell", "node"], ignore_index=True)
+    cell = frame["cell"].to_numpy()
+    cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)]
+    for start, stop in zip(cuts[:-1], cuts[1:]):
+        if stop - start > 1:
+            yield frame.iloc[start:stop]
+
+
+def _verified(
+    cells: DataFrame, texts: DataFrame, width: int, radius: int, least: float, shard_rows: int
+) -> DataFrame:
+    """Links (a, b) between nodes of a cell within ``radius`` bits and of similarity ``least``."""
+
+    def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [frame.iloc[:0][["cell", "node", "fp"]]]
+        for part in _cells_of(frame):
+            values = part["fp"].to_numpy().view(np.uint64)
+            some = np.zeros(len(values), dtype=bool)
+            for at, near in BKTree(values).within(values, radius):
+                some[at] |= len(near) > 1
+            out.append(part[some][["cell", "node", "fp"]])
+        return pd.concat(out)
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [
+                np.unique(shingle_hashes(t or b"", width)).tobytes()
+                for t in batch.column("text").cast(pa.binary()).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(sets, type=pa.binary())], names=["node", "shingles"]
+            )
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for part in _cells_of(frame):
+            nodes, values = part["node"].to_numpy(), part["fp"].to_numpy().view(np.uint64)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
+            label = np.arange(len(nodes))
+            for at, near in BKTree(values).within(values, radius):
+                # Each pair once, and none within a component.
+                near = near[(near > at) & (label[near] != label[at])]
+                while len(near):
+                    other, near = near[0], near[1:]
+                    if _similar(sets[at], sets[other], least):
+                        a.append(nodes[at])
+                        b.append(nodes[other])
+                        label[label == label[other]] = label[at]
+                        near = near[label[near] != label[at]]
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    parts = parts_for(cells.count(), 4 * shard_rows)
+    found = written(_in_tasks(cells, candidates, "cell long, node long, fp long", parts), "candidates")
+    # One text of each node, before any join: copies never meet in a task.
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    wanted = once.join(found.select("node").distinct(), "node", "left_semi")
+    sets = wanted.mapInArrow(shingled, "node long, shingles binary")
+    parts = parts_for(found.count(), shard_rows)
+    return written(_in_tasks(found.join(sets, "node"), link, "a long, b long", parts), "similar-links")
+
+
+def similar_links(
+    prints: DataFrame, texts: DataFrame, width: int, radius: int, least: float = 0.8,
+    shard_rows: int = 4096,
+) -> DataFrame:
+    """Edges (a, b) between nodes of shingle similarity ``least`` that share a smallest hash.
+
+    ``prints``: node, fp, sketch (distinct); ``texts``: node, text.
+    """
+    sized = written(_blocks(_sketch_shards(prints), shard_rows), "sketch-blocks")
+    own = sized.select(F.xxhash64("shard", "block", "block").alias("cell"), "node", "fp")
+    links = _verified(written(own, "cells"), texts, width, radius, least, shard_rows)
+    hot = sized.where("blocks > 1")
+    if hot.isEmpty():
+        return links
+    # The first blocks of the hot shards join the components of the others.
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("block")
+    joined = hot.where("block <> 0").select("shard", "block", "node", "fp").union(
+        hot.where("block = 0").select("shard", first, "node", "fp")
+    ).select(F.xxhash64("shard", F.lit(0).cast("long"), "block").alias("cell"), "node", "fp")
+    links = links.union(_verified(written(joined, "cells"), texts, width, radius, least, shard_rows))
+    roots = connected_components(links)
+    rooted = hot.join(roots, "node", "left").select("shard", F.coalesce("root", "node").alias("root"))
+    open_shards = rooted.groupBy("shard").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    left = hot.join(open_shards.where("a <> b").select("shard"), "shard", "left_semi")
+    left = written(_meeting(left.where("blocks > 2 AND block <> 0")), "cells")
+    if left.isEmpty():
+        return links
+    return links.union(_verified(left, texts, width, radius, least, shard_rows))
+
+
+def _similar_texts(texts: DataFrame, width: int, radius: int) -> DataFrame:
+    """Edges between the texts (node, text), by the hash of the text."""
+    prints = fingerprints(texts, width, True, "node", "text").distinct()
+    prints = written(prints.withColumnRenamed("doc_id", "node"), "fingerprints")
+    return similar_links(prints, texts, width, radius)
+
+
 def _grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
     """``prints`` (doc_id, fp, ...) with component_id, the smallest id of the component."""
     roots = connected_components(links)
@@ -298,20 +417,25 @@ def simhash_components(
 
 
 def near_duplicate_groups(
-    docs: DataFrame, width: int = 5, radius: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, radius: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, component_id of every document; for shingle similarities of about 0.8 and more.
+    """doc_id, component_id of every document; links are shingle similarities of 0.8 and more.
 
-    A Jaccard similarity of 0.8 is an angle of 0.476 between the shingle sets and about 9.7
-    differing bits of 64; five smallest hashes miss such a pair once in 3,000.
+    A Jaccard similarity of 0.8 is an angle of 0.476 between the shingle sets, and about 9.7 differing
+    bits of 64 with a deviation of under three, so 20 bits miss few such pairs; five smallest
+    hashes miss one in 3,000.
     """
-    prints = written(fingerprints(docs, width, True, id_col, text_col), "fingerprints")
-    links = sketch_links(prints.select("fp", "sketch"), radius)
-    return _grouped(prints.select("doc_id", "fp"), links).select("doc_id", "component_id")
+    texts = id_and_text(docs, id_col, text_col).select(
+        "doc_id", F.xxhash64("text").alias("node"), "text"
+    )
+    links = _similar_texts(texts.select("node", "text"), width, radius)
+    return _grouped(texts.select("doc_id", F.col("node").alias("fp")), links).select(
+        "doc_id", "component_id"
+    )
 
 
 def one_of_each_group(
-    docs: DataFrame, width: int = 5, radius: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, radius: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row of the smallest id (then
     of the smallest hash of the text) stays, with all columns."""
@@ -322,17 +446,11 @@ def one_of_each_group(
             "_h": F.xxhash64(F.col(text_col).cast("string")),
         }
     )
-    # The two keys travel as one id through the fingerprints.
-    prints = written(
-        fingerprints(keyed.select(F.col("_h").alias("doc_id"), text_col), width, True, "doc_id", text_col)
-        .distinct(),
-        "fingerprints",
-    )
-    links = sketch_links(prints.select("fp", "sketch"), radius)
-    roots = connected_components(links)
-    grouped = prints.select(F.col("doc_id").alias("_h"), "fp").join(
-        roots.withColumnRenamed("node", "fp"), "fp", "left"
-    ).select("_h", F.coalesce("root", "fp").alias("root"))
+    texts = keyed.select(F.col("_h").alias("node"), F.col(text_col).cast("string").alias("text"))
+    roots = connected_components(_similar_texts(texts, width, radius))
+    grouped = texts.select(F.col("node").alias("_h")).distinct().join(
+        roots.withColumnRenamed("node", "_h"), "_h", "left"
+    ).select("_h", F.coalesce("root", "_h").alias("root"))
     kept = (
         keyed.select("_id", "_h").join(grouped, "_h")
         .groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("kept")).select("kept.*")

@@ -126,6 +126,28 @@ def test_sketch_links_lose_nothing_in_hot_shards(spark):
         assert all(got[n] == got[n + 1] for n in range(0, 120, 2)) and len(set(got)) == 60
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 6])
+def test_similar_links_against_brute_force(spark, shard_rows):
+    rng = random.Random(15)
+    words = [f"w{n}" for n in range(3000)]
+    rows = []
+    for n in range(60):
+        text = rng.choices(words, k=150)
+        rows += [(2 * n, " ".join(text))]
+        for at in rng.sample(range(0, 150, 10), rng.randint(1, 6)):  # similarities of 0.55 to 0.95
+            text[at] = "changed"
+        rows += [(2 * n + 1, " ".join(text))]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    want = {n for n in range(60) if len(sets[2 * n] & sets[2 * n + 1]) >= 0.8 * len(sets[2 * n] | sets[2 * n + 1])}
+    assert 10 < len(want) < 50
+    texts = frame(spark, rows).selectExpr("doc_id node", "text")
+    prints = simhash_bktree.fingerprints(texts, 5, True, "node").withColumnRenamed("doc_id", "node")
+    if shard_rows < 4096:  # all in one hot shard
+        prints = prints.selectExpr("node", "fp", "array(1L) sketch")
+    got = {(r.a, r.b) for r in simhash_bktree.similar_links(prints, texts, 5, 20, 0.8, shard_rows).collect()}
+    assert {(min(x), max(x)) for x in got} == {(2 * n, 2 * n + 1) for n in want}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(n, n + 1) for n in range(200)] + [(500, 400), (None, 3), (7, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
