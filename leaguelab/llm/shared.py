@@ -46,6 +46,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def sliced(batches, most: int = 1_000):
+    """Arrow batches of at most ``most`` rows, so that the Python objects of a batch stay few."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def in_train(id_col, parts: int, held_out: int):
     """Whether crc32 of the id as text, modulo ``parts``, is not ``held_out``."""
     key = F.coalesce(id_col.cast("string"), F.lit(""))
