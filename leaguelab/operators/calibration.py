@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import safe_rating
 from ..functions.classes import CLASSES
-from .ordering import top_k, with_position
+from .lookups import lookup
+from .medians import weighted_medians
+from .ordering import top_k
 
 PRIOR_APPEARANCES = 4  # fixed value: weight of the class mean in every rating
 MIN_TRANSITIONS = 8  # fixed value: observations an edge needs before it is used
@@ -27,19 +29,36 @@ EDGES = len(CLASSES) - 1
 
 
 def season_rows(history: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row per player-season: observed classes and, for a single class, its totals."""
+    """One row per player-season: observed classes and, for a single class, its totals.
+
+    Both sources are one union, so a player's rows meet in one shuffle by player.
+    """
     known = F.when(F.col("class_ord").between(0, EDGES), F.col("class_ord"))
-    seen = history.groupBy("player_id", "season_start", "season_end").agg(
-        F.coalesce(F.min(known) != F.max(known), F.lit(False)).alias("multi_class")
-    )
-    groups = totals.groupBy("player_id", "season_start").agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.min("class_ord").alias("class_ord"),
-        F.sum("points").alias("points"),
-        F.sum("appearances").alias("appearances"),
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = {c: totals.schema[c].dataType for c in ("class_ord", "points", "appearances")}
+    both = history.select(
+        "player_id", "season_start", "season_end", known.alias("_known"),
+        *[none(t).alias(f"_{c}") for c, t in kinds.items()], F.lit(0).alias("_group"),
+    ).union(
+        totals.select(
+            "player_id", "season_start", none(history.schema["season_end"].dataType), none("int"),
+            *[F.col(c) for c in kinds], F.lit(1),
+        )
     )
-    return seen.join(groups, ["player_id", "season_start"], "left").withColumn(
-        "groups", F.coalesce("groups", F.lit(0))
+    return (
+        both.repartition("player_id")
+        .groupBy("player_id", "season_start")
+        .agg(
+            F.max("season_end").alias("season_end"),
+            F.coalesce(F.min("_known") != F.max("_known"), F.lit(False)).alias("multi_class"),
+            F.sum("_group").cast("bigint").alias("groups"),
+            F.min("_class_ord").alias("class_ord"),
+            F.sum("_points").alias("points"),
+            F.sum("_appearances").alias("appearances"),
+            F.min("_group").alias("_seen"),
+        )
+        .where(F.col("_seen") == 0)
+        .drop("_seen")
     )
 
 
@@ -60,13 +79,16 @@ def class_season_means(totals: DataFrame) -> DataFrame:
 
 def stabilize(seasons: DataFrame, means: DataFrame) -> DataFrame:
     """Season rating of single-class seasons, pulled to the class mean by four appearances."""
-    single = seasons.where(F.col("groups") == 1)
-    return single.join(
-        means.select("class_ord", "season_start", "mean"), ["class_ord", "season_start"]
-    ).withColumn(
-        "stable",
-        (F.col("points") + PRIOR_APPEARANCES * F.col("mean"))
-        / (F.col("appearances") + PRIOR_APPEARANCES),
+    keys = ["class_ord", "season_start"]
+    found = lookup(means, keys, F.struct("mean"))
+    single = seasons.where(F.col("groups") == 1).withColumn("_m", found(*keys))
+    return single.where(F.col("_m").isNotNull()).select(
+        *seasons.columns,
+        F.col("_m.mean").alias("mean"),
+        (
+            (F.col("points") + PRIOR_APPEARANCES * F.col("_m.mean"))
+            / (F.col("appearances") + PRIOR_APPEARANCES)
+        ).alias("stable"),
     )
 
 
@@ -138,15 +160,15 @@ def for_cutoffs(df: DataFrame, cutoffs: DataFrame, end: str = "season_end") -> D
     return df.withColumn("cutoff", F.explode(years)).where(F.col("cutoff") >= F.col(end))
 
 
-def cap_weights(df: DataFrame, by: Sequence[str], weight: str = "raw_weight") -> DataFrame:
-    """Cap weights at twice the lower median of their group.
+def weight_caps(df: DataFrame, by: Sequence[str], weight: str = "raw_weight") -> DataFrame:
+    """Lower median of the weights of each group, and twice that.
 
     Works on counts per distinct weight, so no group of rows meets in one task.
     """
     counts = df.groupBy(*by, weight).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
     upto = group.orderBy(weight).rowsBetween(Window.unboundedPreceding, 0)
-    medians = (
+    return (
         counts.withColumn("_upto", F.sum("_n").over(upto))
         .withColumn("_all", F.sum("_n").over(group))
         .where(F.col("_upto") >= F.floor((F.col("_all") - 1) / 2) + 1)
@@ -154,47 +176,32 @@ def cap_weights(df: DataFrame, by: Sequence[str], weight: str = "raw_weight") ->
         .agg(F.min(weight).alias("weight_median"))
         .withColumn("weight_cap", F.col("weight_median") * 2)
     )
-    return df.join(medians, list(by)).withColumn("weight", F.least(weight, "weight_cap"))
 
 
-def weighted_median(
-    df: DataFrame, by: Sequence[str], value: str, weight: str, ties: Sequence[str | Column]
-) -> DataFrame:
-    """Lower weighted median: the first row whose running weight reaches half of the total."""
-    ranked = with_position(df, by, [value, *ties], {"_run": F.col(weight)}, "_pos")
-    return (
-        ranked.where(F.col("_run") * 2 >= F.col("_run_total"))
-        .groupBy(*by)
-        .agg(
-            F.min_by(value, "_pos").alias("median"),
-            F.max("_run_total").alias("total_weight"),
-        )
+def cap_weights(df: DataFrame, by: Sequence[str], weight: str = "raw_weight") -> DataFrame:
+    """Cap weights at twice the lower median of their group. Rows stay where they are."""
+    caps = lookup(weight_caps(df, by, weight), by, F.struct("weight_median", "weight_cap"))
+    return df.withColumn("_cap", caps(*by)).select(
+        *df.columns, "_cap.*", F.least(weight, "_cap.weight_cap").alias("weight")
     )
 
 
+def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+    """Lower weighted median: the first value whose running weight reaches half of the total."""
+    return weighted_medians(df, by, value, weight).select(*by, "median", "total_weight")
+
+
 def calibrate_classes(observations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Offset of each class edge (per cutoff if ``by`` has it), with its diagnostics.
 
-    ``published`` edges have at least eight observations; only those may convert ratings.
+    ``published`` edges have at least eight observations; only those may convert ratings. Weights are
+    capped at twice their lower median; no row moves by cutoff or edge.
     """
-    keys = [*by, "edge"]
-    used = observations.where(F.col("reason").isNull()).drop("reason")
-    capped = cap_weights(used, keys)
-    ranked = with_position(
-        capped, keys, ["value", "player_id", "older_start"], {"_run": F.col("weight")}, "_pos"
+    used = observations.where(F.col("reason").isNull())
+    facts = weighted_medians(used, [*by, "edge"], "value", "raw_weight", cap=True)
+    return facts.withColumnRenamed("median", "offset").withColumn(
+        "published", F.col("observations") >= MIN_TRANSITIONS
     )
-    reached = F.when(F.col("_run") * 2 >= F.col("_run_total"), F.col("_pos"))
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.min_by("value", reached).alias("offset"),
-        F.max("_run_total").alias("total_weight"),
-        F.sum("raw_weight").alias("raw_total_weight"),
-        F.max("weight_median").alias("weight_median"),
-        F.max("weight_cap").alias("weight_cap"),
-        F.count_if(F.col("weight") < F.col("raw_weight")).alias("capped"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    ).withColumn("published", F.col("observations") >= MIN_TRANSITIONS)
 
 
 def edge_row(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -228,27 +235,31 @@ def convert_rating(rating: Column, source: Column, target: Column) -> Column:
     )
 
 
+def with_mean_before(targets: DataFrame, means: DataFrame, name: str) -> DataFrame:
+    """``targets`` with the mean of the newest season of ``target_ord`` that ended by ``cutoff``.
+
+    The seasons of a class are one lookup value; class-season means are one row per class and season.
+    """
+    usable = means.where(safe_rating(F.col("mean")).isNotNull())
+    by_class = usable.groupBy("class_ord").agg(F.collect_list(F.struct("season_end", "mean")).alias("_all"))
+    seasons = lookup(by_class, ["class_ord"], F.col("_all"))
+    ended = F.filter("_all", lambda s: s["season_end"] <= F.col("cutoff"))
+    return targets.withColumn("_all", seasons("target_ord")).withColumn(
+        name, F.array_max(ended)["mean"]
+    ).drop("_all")
+
+
 def target_mean(targets: DataFrame, means: DataFrame) -> DataFrame:
     """Mean of the newest class season that ended before each ``(cutoff, target_ord)``.
 
-    Falls back to the neutral rating; ``mean_available`` tells which. Class-season means are one
-    row per class and season.
+    Falls back to the neutral rating; ``mean_available`` tells which.
     """
-    usable = means.where(safe_rating(F.col("mean")).isNotNull()).select(
-        F.col("class_ord").alias("target_ord"), F.col("season_end").alias("_end"), "mean"
-    )
-    keys = targets.select("cutoff", "target_ord").distinct()
-    found = (
-        keys.join(usable, "target_ord")
-        .where(F.col("_end") <= F.col("cutoff"))
-        .groupBy("cutoff", "target_ord")
-        .agg(F.max_by("mean", F.struct("_end", "mean")).alias("mean"))
-    )
-    return keys.join(found, ["cutoff", "target_ord"], "left").select(
+    keys = with_mean_before(targets.select("cutoff", "target_ord").distinct(), means, "_mean")
+    return keys.select(
         "cutoff",
         "target_ord",
-        F.coalesce("mean", F.lit(NEUTRAL_RATING)).alias("target_mean"),
-        F.col("mean").isNotNull().alias("mean_available"),
+        F.coalesce("_mean", F.lit(NEUTRAL_RATING)).alias("target_mean"),
+        F.col("_mean").isNotNull().alias("mean_available"),
     )
 
 
@@ -265,6 +276,31 @@ def last_two_before(seasons: DataFrame, targets: DataFrame) -> DataFrame:
     return top_k(joined, ["player_id", "cutoff"], order, 2, "back")
 
 
+def _careers(targets: DataFrame, seasons: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row per player: _wanted targets, _past seasons and class _groups as arrays.
+
+    Three tagged sources, one shuffle by player. A player has few seasons and few targets.
+    """
+    item = {
+        "_wanted": F.struct("cutoff", "target_ord"),
+        "_past": F.struct("season_end", "season_start"),
+        "_groups": F.struct("season_start", "class_ord", "points", "appearances"),
+    }
+    sources = dict(zip(item, (targets, seasons, totals)))
+    kinds = {n: sources[n].select(item[n].alias("x")).schema["x"].dataType for n in item}
+    rows = [
+        sources[n].select(
+            "player_id", *[(item[m] if m == n else F.lit(None).cast(kinds[m])).alias(m) for m in item]
+        )
+        for n in item
+    ]
+    collected = rows[0].union(rows[1]).union(rows[2]).groupBy("player_id").agg(
+        F.collect_set("_wanted").alias("_wanted"), F.collect_set("_past").alias("_past"),
+        F.collect_list("_groups").alias("_groups"),
+    )
+    return collected.where(F.size("_wanted") > 0)
+
+
 def historical_prior(
     targets: DataFrame,
     seasons: DataFrame,
@@ -276,73 +312,74 @@ def historical_prior(
 
     Every class group of the last two seasons is converted to the target class and weighted by
     appearances; the class mean counts as four more appearances; the seasons weigh 0.7 and 0.3.
-    ``edges`` is ``edge_row(.., ["cutoff"])``.
+    ``edges`` is ``edge_row(.., ["cutoff"])``. Class means and edges are looked up in place; a
+    player's rows meet once, in arrays.
     """
     keys = ["player_id", "cutoff", "target_ord"]
-    wanted = targets.select(*keys).distinct()
-    class_means = target_mean(wanted, means)
-    window = last_two_before(seasons, wanted)
-    converted = convert_rating(
-        F.col("points") / F.col("appearances"), F.col("class_ord"), F.col("target_ord")
+    names = [f"edge_{i}" for i in range(EDGES)]
+    offsets = lookup(edges, ["cutoff"], F.struct(*names))
+    wanted = (
+        _careers(targets, seasons, totals)
+        .withColumn("_t", F.explode("_wanted"))
+        .select("player_id", "_t.*", "_past", "_groups")
     )
+    wanted = with_mean_before(wanted, means, "_mean").withColumn("_edges", offsets("cutoff"))
+    ended = F.filter("_past", lambda s: s["season_end"] <= F.col("cutoff"))
+    own = F.filter("_groups", lambda g: g["season_start"] == F.col("_s.season_start"))
+    # From here on all rows of a player are in one partition: the groupings need no shuffle.
     groups = (
-        wanted.join(window, ["player_id", "cutoff"])
-        .join(totals.drop("season_end"), ["player_id", "season_start"])
-        .join(edges, "cutoff", "left")
-        .withColumn("_c", converted)
+        wanted.select(*keys, "_mean", "_edges", "_groups", F.posexplode_outer(
+            F.slice(F.sort_array(ended, asc=False), 1, 2)).alias("_back", "_s"))
+        .select(*keys, "_mean", "_edges", "_back", "_s", F.explode_outer(own).alias("_g"))
+        .select(*keys, F.coalesce("_mean", F.lit(NEUTRAL_RATING)).alias("target_mean"),
+                F.col("_mean").isNotNull().alias("mean_available"), "_back", "_s.*",
+                F.col("_g.class_ord"), F.col("_g.points"), F.col("_g.appearances"), "_edges.*")
+        .withColumn("_c", convert_rating(
+            F.col("points") / F.col("appearances"), F.col("class_ord"), F.col("target_ord")))
     )
     # A group whose conversion falls below zero makes the whole season unusable.
-    per_season = groups.groupBy(*keys, "season_start", "season_end", "back").agg(
+    per_season = groups.groupBy(
+        *keys, "target_mean", "mean_available", "_back", "season_start", "season_end"
+    ).agg(
         F.sum(F.col("_c.rating") * F.col("appearances")).alias("_weighted"),
         F.sum("appearances").alias("_app"),
         F.bool_and("_c.calibrated").alias("_cal"),
         F.bool_and(F.col("_c.rating") >= 0).alias("_ok"),
         F.collect_set("class_ord").alias("_classes"),
     )
-    per_season = per_season.where("_ok").join(class_means, ["cutoff", "target_ord"])
-    rated = per_season.withColumn(
-        "_rating",
-        safe_rating(
-            (F.col("_weighted") + PRIOR_APPEARANCES * F.col("target_mean"))
-            / (F.col("_app") + PRIOR_APPEARANCES)
-        ),
-    ).where(F.col("_rating").isNotNull())
-    newest, older = SEASON_WEIGHTS
-    out = rated.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(F.col("back") == 1, F.col("_rating"))).alias("_r1"),
-        F.max(F.when(F.col("back") == 2, F.col("_rating"))).alias("_r2"),
-        F.bool_and("_cal").alias("class_calibrated"),
-        F.min("_app").alias("_min_app"),
-        F.max("season_start").alias("newest_source"),
-        F.max("season_end").alias("newest_source_end"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_classes")))).alias(
-            "source_classes"
-        ),
+    rating = (F.col("_weighted") + PRIOR_APPEARANCES * F.col("target_mean")) / (F.col("_app") + PRIOR_APPEARANCES)
+    rated = per_season.withColumn("_rating", safe_rating(F.when(F.col("_ok"), rating)))
+    used = lambda c: F.when(F.col("_rating").isNotNull(), F.col(c))
+    at = lambda back: F.max(F.when(F.col("_back") == back, F.col("_rating")))
+    out = rated.groupBy(*keys, "target_mean", "mean_available").agg(
+        F.count("_rating").alias("_n"),
+        at(0).alias("_r1"),
+        at(1).alias("_r2"),
+        F.coalesce(F.bool_and(used("_cal")), F.lit(False)).alias("class_calibrated"),
+        F.min(used("_app")).alias("_min_app"),
+        F.max(used("season_start")).alias("newest_source"),
+        F.max(used("season_end")).alias("newest_source_end"),
+        F.flatten(F.collect_list(used("_classes"))).alias("_classes"),
     )
-    rating = F.when(
+    newest, older = SEASON_WEIGHTS
+    prior = F.when(
         F.col("_n") == 2, newest * F.col("_r1") + older * F.col("_r2")
     ).otherwise(F.coalesce("_r1", "_r2"))
     solid = (F.col("_n") == 2) & (F.col("_min_app") >= PRIOR_APPEARANCES)
     confidence = F.when(
         F.col("class_calibrated"), F.when(solid, "medium").otherwise("provisional")
     ).otherwise("very-low")
-    out = out.withColumn("_rating", rating).withColumn("_confidence", confidence)
-    return (
-        wanted.join(class_means, ["cutoff", "target_ord"])
-        .join(out, keys, "left")
-        .select(
-            *keys,
-            F.coalesce("_rating", "target_mean").alias("prior"),
-            F.coalesce("_n", F.lit(0)).alias("prior_seasons"),
-            F.coalesce("class_calibrated", F.lit(False)).alias("class_calibrated"),
-            F.coalesce("_confidence", F.lit("very-low")).alias("confidence"),
-            "newest_source",
-            "newest_source_end",
-            F.coalesce("source_classes", F.array().cast("array<int>")).alias("source_classes"),
-            "target_mean",
-            "mean_available",
-        )
+    return out.select(
+        *keys,
+        F.coalesce(prior, "target_mean").alias("prior"),
+        F.col("_n").alias("prior_seasons"),
+        "class_calibrated",
+        confidence.alias("confidence"),
+        "newest_source",
+        "newest_source_end",
+        F.array_sort(F.array_distinct("_classes")).alias("source_classes"),
+        "target_mean",
+        "mean_available",
     )
 
 

@@ -173,11 +173,9 @@ def _median(spark, d):
     from .roles import table
 
     rows = table(spark, d, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), "l_extendedprice",
-        F.col("l_quantity").cast("bigint").alias("w"), "l_orderkey", "l_partkey", "l_suppkey",
+        F.col("l_returnflag").alias("flag"), "l_extendedprice", F.col("l_quantity").cast("bigint").alias("w")
     )
-    ties = ["l_orderkey", "l_partkey", "l_suppkey"]
-    return K.weighted_median(rows, ["flag"], "l_extendedprice", "w", ties)
+    return K.weighted_median(rows, ["flag"], "l_extendedprice", "w")
 
 
 _ALL_EDGES = with_ctes(SEGMENTS_SQL, SEASON_ROWS_SQL, EDGES_SQL)

@@ -174,7 +174,7 @@ def test_weight_cap_and_weighted_median(spark):
     )
     capped = K.cap_weights(df, ["edge"])
     assert [r[0] for r in rows(capped, "weight")] == [1, 1, 2, 2]
-    assert K.weighted_median(capped, ["edge"], "value", "weight", ["id"]).head()["median"] == 3.0
+    assert K.weighted_median(capped, ["edge"], "value", "weight").head()["median"] == 3.0
 
 
 # --- history --------------------------------------------------------------------------------------
