@@ -98,7 +98,6 @@ def rank_all_time(table: DataFrame, mode: str = "points", query: str | None = No
         "seasons": [F.col("seasons").desc(), F.col("total_points").desc()],
     }
     ranked = with_position(table, [], [*orders[mode], F.col("player_id")], name="global_rank")
-    ranked = ranked.drop("global_rank_count")
     if query:
         ranked = ranked.where(F.lower("name").contains(query.lower()))
     return ranked

@@ -191,7 +191,7 @@ def _use_up(left: DataFrame, right: DataFrame, by: Sequence[str], ok_l: Column,
 
     def queue(df: DataFrame, ok: Column) -> DataFrame:
         return with_position(
-            df.where(ok), keys, ["title", "n_rows"], {"_upto": F.col("n")}, "_pos"
+            df.where(ok), keys, ["title", "n_rows"], {"_upto": F.col("n")}, "_pos", totals=True
         )
 
     a, b = queue(left, ok_l), queue(right, ok_r)

@@ -55,7 +55,7 @@ def class_team_rank(table: DataFrame) -> DataFrame:
     """
     keyed = table.withColumn("class", league_class_loose(F.col("league")))
     order = [F.col("points").desc(), F.col("diff").desc(), F.col("league"), F.col("row_no")]
-    return with_position(keyed, ["class"], order, name="class_rank").withColumnRenamed(
+    return with_position(keyed, ["class"], order, name="class_rank", totals=True).withColumnRenamed(
         "class_rank_count", "class_size"
     )
 

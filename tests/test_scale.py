@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leaguelab import plans
 from leaguelab.operators.lookups import lookup
+from leaguelab.operators.ordering import with_position
 from leaguelab.operators.medians import bin_of, weighted_medians
 
 plans.load_all()
@@ -130,3 +131,41 @@ def test_lookup_values_null_keys_and_bound(spark):
     assert [r["v"] for r in empty] == [None] * 6
     with pytest.raises(Exception, match="more than 500 rows"):
         rows.withColumn("v", lookup(small, ["a", "b"], F.col("v"), max_rows=500)("a", "b")).collect()
+
+
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+def test_positions_and_running_sums_equal_brute_force(spark, by):
+    rng = random.Random(11)
+    # One group holds half of the rows; groups begin and end inside tasks, and some keys are NULL.
+    rows = [
+        (rng.choice([None, 1, 2, 3]) if rng.random() < 0.5 else 7, rng.choice([None, "a", "b"]), i, rng.choice([None, 0, 1, 5]))
+        for i in range(3000)
+    ]
+    df = spark.createDataFrame(rows, "g int, h string, i int, v int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = with_position(df, by, [F.col("i").desc()], {"s": F.col("v")}, "p", totals=True).collect()
+        plain = with_position(df, by, [F.col("i").desc()], name="p").collect()
+    finally:
+        for key in ("shuffle.partitions", "adaptive.coalescePartitions.enabled", "execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(f"spark.sql.{key}")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    groups = {}
+    for g, h, i, v in sorted(rows, key=lambda r: -r[2]):
+        groups.setdefault(tuple({"g": g, "h": h}[c] for c in by), []).append((g, h, i, v))
+    want = {}
+    for members in groups.values():
+        run, total = 0, sum(r[3] or 0 for r in members)
+        for n, (g, h, i, v) in enumerate(members, 1):
+            run += v or 0
+            want[i] = (g, h, i, v, n, run, len(members), total)
+    assert {r["i"]: tuple(r) for r in found} == want
+    assert {r["i"]: r["p"] for r in plain} == {i: w[4] for i, w in want.items()}
+
+
+def test_positions_of_nothing(spark):
+    df = spark.createDataFrame([], "g int, i int")
+    assert with_position(df, ["g"], ["i"], {"s": F.col("i")}, totals=True).collect() == []
+    assert with_position(df, [], ["i"]).collect() == []
