@@ -19,6 +19,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _RUN, _TWO = re.compile(r"(\s{2,})"), re.compile(r"\s\s")
 # Signs that often end a word.
 _ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+MEMO_BYTES, _ENTRY_BYTES = 120 << 20, 200
 # From here on, lower-casing and composing may not be exchanged.
 _MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
@@ -26,27 +27,36 @@ _MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 class WordEncoder:
     """Encodes whole texts to packed little-endian unsigned 32-bit ids.
 
-    Special token strings inside a text are ordinary text. ``memo_words`` bounds the memory: when
-    so many words are looked up, they become the older of two generations.
+    Texts that hold the string of a special token go to the library as a whole, which decides what it
+    is. ``memo_bytes`` bounds the memory: when the words that are looked up take so much, they become
+    the older of two generations.
     """
 
-    def __init__(self, path: str, memo_words: int = 600_000):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         # Spark runs a worker on each core; a thread pool in each would only wait.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
+        # Case is left open, as some tokenizers lower-case a text before they look for them.
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.special_starts = {s[0] for s in added} | {s[0].swapcase() for s in added}
         # Either white space is dropped, or one blank belongs to the word after it.
         self.blank_kept = "Removed" not in str(spec["pre_tokenizer"])
-        self.memo_words = memo_words
+        # A word and its ids are two small objects and an entry of a table.
+        self.memo_words = memo_bytes // _ENTRY_BYTES
         self.young: dict[str, dict] = {"": {}, " ": {}}
         self.old: dict[str, dict] = {"": {}, " ": {}}
         self.lower_first = not self.blank_kept and "Lowercase" in str(spec["normalizer"])
         self.tails: dict[str, bytes] = {}
 
+    def _has_special(self, text: str) -> bool:
+        # Most texts have not even the first character of one.
+        return any(c in text for c in self.special_starts) and bool(self.special.search(text))
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
@@ -116,7 +126,7 @@ class WordEncoder:
         runs, unknown = [], {"": set(), " ": set()}
         for text in texts:
             of_text = []
-            if not _ODD.search(text):
+            if not _ODD.search(text) and not self._has_special(text):
                 for prefix, words in self._chunks(text):
                     ids = list(map(self.young[prefix].get, words))
                     if None in ids:
@@ -144,7 +154,7 @@ class WordEncoder:
         return out
 
 
-def slices(texts: list[str], most: int = 2_000_000):
+def slices(texts: list[str], most: int = 500_000):
     """``(from, to)`` ranges of about ``most`` characters."""
     start = size = 0
     for n, text in enumerate(texts):
@@ -159,19 +169,20 @@ def slices(texts: list[str], most: int = 2_000_000):
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, memo_words: int = 600_000) -> WordEncoder:
-    """The encoder of this Python worker; its memo outlives a task."""
-    key = (path, memo_words)
+def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> WordEncoder:
+    """The encoder of this Python worker; its memo outlives a task. A worker keeps one."""
+    key = (path, memo_bytes)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, memo_words)
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(path, memo_bytes)
     return _ENCODERS[key]
 
 
-def encoded(texts: list[str | None], path: str, end_id: int):
+def encoded(texts: list[str | None], path: str, end_id: int, memo_bytes: int = MEMO_BYTES):
     """``(position, ids)`` of each text with ``end_id`` appended; null counts as empty."""
     texts = [t or "" for t in texts]
     end = int(end_id).to_bytes(4, "little")
-    codec = encoder(path)
+    codec = encoder(path, memo_bytes)
     for start, stop in slices(texts):
         for n, ids in enumerate(codec.encode(texts[start:stop]), start):
             yield n, ids + end
