@@ -46,8 +46,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 1,024 tokens."""
-    return packed_documents(docs, BYTE_TOKENIZER, END_ID)
+    """Pieces of all documents, packed into sequences of 1,024 tokens.
+
+    The Python workers are those of the stages before, so the words looked up get half the memory."""
+    return packed_documents(docs, BYTE_TOKENIZER, END_ID, memo_bytes=60 << 20)
 
 
 STAGES = [
