@@ -77,6 +77,10 @@ def _parse(spark, d):
 SELECT {_IDS}, strftime(starts_at, '%d.%m.%Y') || ' 20:00' AS date_text, home, away, home_score,
   away_score FROM matches WHERE played""")
 def _cup(spark, d):
+    return _cup_lines(spark, d)
+
+
+def _cup_lines(spark, d):
     m = matches(spark, d)
     score = F.concat_ws(
         " : ", F.col("home_score").cast("string"), F.col("away_score").cast("string")
@@ -88,6 +92,22 @@ def _cup(spark, d):
     return M.parse_cup_lines(m.select(*_ID, line.alias("line"))).drop("line")
 
 
+@query("X9_cup_lines_of_clubs", _M + f"""
+, c AS (SELECT replace(lower(n_name), '_', '') AS k FROM nation WHERE n_regionkey = 3),
+own AS (SELECT DISTINCT n_name FROM nation, c WHERE k = replace(lower(n_name), '_', '')
+  OR length(k) >= 6 AND contains(replace(lower(n_name), '_', ''), k)
+  OR length(n_name) >= 9 AND contains(k, replace(lower(n_name), '_', '')))
+SELECT {_IDS}, strftime(starts_at, '%d.%m.%Y') || ' 20:00' AS date_text, home, away, home_score,
+  away_score FROM matches
+WHERE played AND (home IN (SELECT n_name FROM own) OR away IN (SELECT n_name FROM own))""")
+def _cup_of_clubs(spark, d):
+    """Every line of the clubs of one region; the lines of all other clubs are left out."""
+    clubs = table(spark, d, "nation").where("n_regionkey = 3").select(F.initcap("n_name").alias("club"))
+    return M.cup_lines_of_clubs(_cup_lines(spark, d), clubs).select(
+        *_ID, "date_text", "home", "away", "home_score", "away_score"
+    )
+
+
 @query("S2_match_lines", """
 SELECT doc_id, CAST(line_no - 1 AS INTEGER) AS line_no, md5(line) AS line FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

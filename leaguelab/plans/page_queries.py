@@ -8,10 +8,17 @@ from ..operators.rankings import ranking_long
 from ..lineage import new_path
 from ..sources import pages as P
 from ..sources.sinks import content_hash, publish_run, read_published, run_report
-from ..sources.snapshots import import_history, league_lines, parse_snapshot
+from ..sources.snapshots import (
+    import_history,
+    league_lines,
+    parse_snapshot,
+    read_history,
+    replace_seasons,
+    write_history,
+)
 from .gate_queries import _RESULTS_SQL, _results
 from .registry import query
-from .roles import table, with_ctes
+from .roles import SEGMENTS_SQL, segments, table, with_ctes
 
 
 @query("S1_parse_snapshot", """
@@ -134,6 +141,35 @@ def _sections(spark, d):
     return P.carry_sections(_section_rows(spark, d)).withColumn("cells", F.array_join("cells", "|"))
 
 
+@query("S7_initial_section", with_ctes(_SECTIONS_SQL) + """
+, s AS (SELECT table_id, title, CASE WHEN table_id % 3 = 0 THEN '' ELSE 'Gruppe ' || table_id % 3 END AS x FROM t)
+SELECT table_id, title, 0 AS row_no, x || '|1.1.|' || table_id || '|A|9:7' AS cells FROM s
+UNION ALL SELECT table_id, title, 1, 'Runde/Info|Datum|Heim|Gast|Ergebnis' FROM s
+UNION ALL SELECT table_id, title, 2, x || '|2.1.|' || table_id || '|B|8:8' FROM s
+UNION ALL SELECT table_id, title, 4, 'Achtelfinale|3.1.|C|' || table_id || '|7:9' FROM s""")
+def _outer_sections(spark, d):
+    """The section that stands before the table holds for its first rows."""
+    k, key = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    row = lambda n, *cells: F.struct(
+        F.lit(n).alias("row_no"), F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells]).alias("cells")
+    )
+    rows = F.array(
+        row(0, "1.1.", key, "A", "9:7"),
+        row(1, "Datum", "Heim", "Gast", "Ergebnis"),
+        F.when(k % 5 != 0, row(2, "2.1.", key, "B", "8:8")),
+        row(3, "Achtelfinale", ""),
+        F.when(k % 5 != 0, row(4, "3.1.", "C", key, "7:9")),
+        F.when(k % 2 == 0, row(5, "Liga Nord")),
+    )
+    group = F.col("o_orderkey") % 3
+    tables = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("table_id"), F.col("o_orderpriority").alias("title"),
+        F.when(group > 0, F.concat(F.lit("Gruppe "), group.cast("string"))).alias("before"),
+        F.explode(F.array_compact(rows)).alias("r"),
+    ).select("table_id", "title", "before", "r.*")
+    return P.carry_sections(tables, section_col="before").withColumn("cells", F.array_join("cells", "|"))
+
+
 @query("S8_classify_tables", """
 SELECT o_orderkey AS table_id, CAST(4 - CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END
   + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) + 1 AS rows
@@ -298,6 +334,22 @@ def _running(spark, d):
     )
 
 
+@query("S4_seasons_written_and_read", with_ctes(SEGMENTS_SQL) + """
+, newest AS (SELECT max(season_start) AS y FROM segments)
+SELECT player_id, season_start, class_ord, club_no, rank, appearances,
+  points + CASE WHEN season_start = y THEN 1 ELSE 0 END AS points
+FROM segments, newest WHERE season_start >= y - 1""")
+def _history_folders(spark, d):
+    """All segments written by season, the newest season replaced, the two newest read back."""
+    columns = ["player_id", "season_start", "class_ord", "club_no", "rank", "appearances", "points"]
+    rows, path = segments(spark, d).select(*columns), new_path(spark, "history")
+    write_history(rows, path)
+    newest = read_history(spark, path).agg(F.max("season_start")).first()[0]
+    changed = rows.where(F.col("season_start") == newest).withColumn("points", F.col("points") + 1)
+    replace_seasons(changed, path)
+    return read_history(spark, path, [newest, newest - 1]).select(*columns)
+
+
 @query("S4_import_history", """
 SELECT CAST(o_custkey AS VARCHAR) AS player_id, CAST(i AS INTEGER) AS position,
   CAST(year(o_orderdate) + i AS INTEGER) AS season_start, o_orderkey AS points

@@ -204,10 +204,11 @@ def attach_headings(elements: DataFrame, wanted: Column) -> DataFrame:
     )
 
 
-def carry_sections(rows: DataFrame, title: str = "title") -> DataFrame:
+def carry_sections(rows: DataFrame, title: str = "title", section_col: str | None = None) -> DataFrame:
     """Turn in-table section rows into a first column that is carried down.
 
-    ``rows``: table_id, row_no, cells and the table's ``title``. A one-cell row with a competition
+    ``rows``: table_id, row_no, cells and the table's ``title``. ``section_col`` names the section that
+    stands outside the table (NULL = none); it holds until the first section row. A one-cell row with a competition
     word renames the table. Header rows get the label 'Runde/Info', tables with two rows or less
     are dropped.
     """
@@ -242,7 +243,8 @@ def carry_sections(rows: DataFrame, title: str = "title") -> DataFrame:
     data = ~F.col("_title") & ~F.col("_section") & (
         (size > 2) | ((size == 2) & F.col("_score"))
     )
-    first = F.when(F.col("_head"), F.lit(added)).otherwise(F.coalesce("_name", F.lit("")))
+    outside = F.col(section_col) if section_col else F.lit(None).cast("string")
+    first = F.when(F.col("_head"), F.lit(added)).otherwise(F.coalesce("_name", outside, F.lit("")))
     kept = carried.where(data)
     counted = kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("table_id")))
     return counted.where(F.col("_n") > 2).select(

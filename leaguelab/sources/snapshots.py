@@ -87,17 +87,26 @@ def league_lines(snapshots: DataFrame) -> DataFrame:
     return match_lines(rounds)
 
 
-def write_history(segments: DataFrame, path: str) -> None:
-    """Write history segments, one folder per season start, clustered by player."""
-    (
+def _by_season(segments: DataFrame):
+    # A season is spread by player, so one that holds most rows is not one task.
+    return (
         segments.repartition("season_start", "player_id")
         .sortWithinPartitions("season_start", "player_id")
         .write.mode("overwrite")
         .partitionBy("season_start")
-        .parquet(path)
     )
 
 
+def write_history(segments: DataFrame, path: str) -> None:
+    """Write history segments, one folder per season start, clustered by player."""
+    _by_season(segments).option("partitionOverwriteMode", "static").parquet(path)
+
+
+def replace_seasons(segments: DataFrame, path: str) -> None:
+    """Replace the seasons that ``segments`` holds; the folders of all other seasons stay."""
+    _by_season(segments).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def read_history(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """Read history segments; ``seasons`` prunes the folders that are read."""
     out = spark.read.parquet(path)

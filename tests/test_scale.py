@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaguelab import plans
+from leaguelab.operators import matches as M
 from leaguelab.operators.lookups import lookup
 from leaguelab.operators.ordering import with_position
 from leaguelab.operators.medians import bin_of, weighted_medians
@@ -169,3 +170,19 @@ def test_positions_of_nothing(spark):
     df = spark.createDataFrame([], "g int, i int")
     assert with_position(df, ["g"], ["i"], {"s": F.col("i")}, totals=True).collect() == []
     assert with_position(df, [], ["i"]).collect() == []
+
+
+def test_history_of_two_seasons_is_read_from_their_folders(spark):
+    df = plans.QUERIES["S4_seasons_written_and_read"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [season_start#" in plan and "IN (" in plan.split("PartitionFilters:")[1][:80]
+    assert df.select("season_start").distinct().count() == 2
+
+
+def test_cup_lines_of_clubs(spark):
+    rows = [(1, "TSV Hamburg 2", "Kiel"), (2, "Kiel", "Bremen"), (3, "Lübeck", "TSV Hamburg"), (4, "A", "B"),
+            (5, "TSV Hamburg", "TSV Hamburg 2"), (5, "TSV Hamburg", "TSV Hamburg 2")]
+    clubs = spark.createDataFrame([("TSV Hamburg e.V.",), ("tsv hamburg",)], "club string")
+    parsed = spark.createDataFrame(rows, "n int, home string, away string")
+    assert sorted(r["n"] for r in M.cup_lines_of_clubs(parsed, clubs).collect()) == [1, 3, 5, 5]
+    assert M.cup_lines_of_clubs(parsed, clubs.limit(0)).collect() == []
