@@ -15,8 +15,11 @@ import re
 import numpy as np
 
 # Characters that Python counts as white space and the tokenizers do not.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 _RUN, _TWO = re.compile(r"(\s{2,})"), re.compile(r"\s\s")
+# All ways in which the white spaces of most texts meet, and all other white spaces.
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+_OTHER_BLANKS = [c for c in map(chr, range(0x10000)) if c not in " \n" and re.match(r"\s", c)]
 # Signs that often end a word.
 _ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 MEMO_BYTES, _ENTRY_BYTES = 120 << 20, 200
@@ -24,6 +27,13 @@ MEMO_BYTES, _ENTRY_BYTES = 120 << 20, 200
 _MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
 
+def _has_run(text: str) -> bool:
+    """Whether two white spaces meet. Substrings are found faster than a class of characters."""
+    if not any(c in text for c in _OTHER_BLANKS):
+        return any(pair in text for pair in _PAIRS)
+    return _TWO.search(text) is not None
+
+
 class WordEncoder:
     """Encodes whole texts to packed little-endian unsigned 32-bit ids.
 
@@ -102,7 +112,7 @@ class WordEncoder:
                 text = text.lower()
             return [("", text.split())]
         out: list[tuple[str, list[str]]] = []
-        parts = _RUN.split(text) if _TWO.search(text) else [text]
+        parts = _RUN.split(text) if _has_run(text) else [text]
         for at in range(0, len(parts), 2):
             part = parts[at]
             if at:
@@ -126,7 +136,7 @@ class WordEncoder:
         runs, unknown = [], {"": set(), " ": set()}
         for text in texts:
             of_text = []
-            if not _ODD.search(text) and not self._has_special(text):
+            if not any(c in text for c in _ODD) and not self._has_special(text):
                 for prefix, words in self._chunks(text):
                     ids = list(map(self.young[prefix].get, words))
                     if None in ids:
