@@ -33,7 +33,7 @@ def test_position_on_a_hot_group(spark, parts):
     data = [(("hot" if i % 10 else f"g{i % 4}"), rng.choice([1, 1, 1, 2]), i) for i in range(3000)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "g string, v int, id int").repartition(parts)
-    out = with_position(df, ["g"], [F.col("v").desc(), "id"], {"run": F.col("v")})
+    out = with_position(df, ["g"], [F.col("v").desc(), "id"], {"run": F.col("v")}, totals=True)
     expected = []
     for g in {r[0] for r in data}:
         members = sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))
