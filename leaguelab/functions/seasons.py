@@ -19,7 +19,7 @@ _AT_END = r"(\d{4}(?:/\d{2}|[/\-]\d{4}))\s*$"
 
 def clean(c: Column) -> Column:
     """Trim ordinary and no-break white space on both sides."""
-    return F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r\u00a0"))
 
 
 def _group(c: Column, pattern: str, index: int) -> Column:

@@ -22,12 +22,16 @@ def _arrow(build: Callable[[], Callable[[str], str | None]], c: Column) -> Colum
     """Arrow UDF of a text function that ``build`` returns.
 
     ``build`` must be self-contained (own imports, no module globals): its result is then shipped
-    by value and executors need no copy of this package.
+    by value and executors need no copy of this package. Equal texts of a batch are converted once.
     """
     convert = build()
 
     def apply(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: convert(v) if isinstance(v, str) else None)
+        import numpy as np
+
+        codes, texts = values.factorize()
+        out = np.array([*map(convert, texts), None], dtype=object)
+        return pd.Series(out[codes])
 
     apply.__annotations__ = {"values": pd.Series, "return": pd.Series}
     return F.pandas_udf(apply, StringType())(c)

@@ -25,18 +25,33 @@ from ..functions.text import (
 from .identity import club_match
 from .ordering import dedupe_first, keep_one, top_k
 
-# Line grammar of fixture texts. NBSP counts as white space.
 _W = r"[\s\u00a0]"
-_LINE = (
-    rf"^(?:[^\s\u00a0]+\.{_W}+)?(\d{{1,2}}\.{_W}*\d{{1,2}}\.\d{{2,4}})"
-    rf"(?:{_W}+(\d{{1,2}}:\d{{2}}))?{_W}+(.+?){_W}*$"
-)
-_SCORE_END = rf"{_W}+(?:---|\d+{_W}*:{_W}*\d+|:){_W}*$"
-_SIDES = rf"^(.+?){_W}+-{_W}+(.+?){_W}*$"
-_CUP_LINE = (
-    rf"(\d{{2}}\.\d{{2}}\.\d{{4}}(?:{_W}+\d{{2}}:\d{{2}})?){_W}+(.+?){_W}+-{_W}+(.+?)"
-    rf"{_W}+(\d+){_W}*:{_W}*(\d+)"
-)
+
+
+def _words(text: Column) -> tuple[Column, Column]:
+    """Words of a cleaned text, plain and with the white space before them (NBSP included)."""
+    return F.split(text, f"{_W}+"), F.regexp_extract_all(text, F.lit(rf"{_W}*[^\s\u00a0]+"), F.lit(0))
+
+
+def _between(words: Column, start: Column, stop: Column) -> Column:
+    """Text of the words ``start`` to ``stop`` (from 0, without ``stop``) as it stands in the line."""
+    return clean(F.array_join(F.slice(words, start + 1, F.when(stop >= start, stop - start)), ""))
+
+
+def _once(rows: DataFrame, keep: list[str], **read: Column) -> DataFrame:
+    """``rows`` with the columns of ``read``, computed once: a later filter on them is not pushed
+    into the steps that read the words, where it would repeat each of them."""
+    values = F.struct(*[c.alias(name) for name, c in read.items()])
+    return rows.select(*keep, F.explode(F.array(values)).alias("_read")).select(
+        *keep, *[F.col("_read")[name].alias(name) for name in read]
+    )
+
+
+def _dash(plain: Column, start: Column, stop: Column) -> Column:
+    """Place of the first lone dash with a word before and behind it, between two places."""
+    inner = F.slice(plain, start + 2, F.greatest(stop - start - 2, F.lit(0)))
+    place = F.array_position(inner, "-").cast("int")
+    return F.when(place > 0, start + place)
 
 
 def _part(c: Column, pattern: str, index: int) -> Column:
@@ -51,29 +66,58 @@ def match_lines(texts: DataFrame, text: str = "text") -> DataFrame:
     ).where(clean(F.col("line")) != "")
 
 
+def _word(i: Column | int) -> Column:
+    return F.get("_p", F.lit(i) if isinstance(i, int) else i)
+
+
+def _fixture_head(rows: DataFrame) -> DataFrame:
+    """``rows`` of words with the text of the date, the time and the place behind both.
+
+    A date is one word or two ('6. 9.2025'); one abbreviation may stand before it.
+    """
+
+    def date_words(i: int) -> Column:
+        two = _word(i).rlike(r"^\d\d?\.$") & _word(i + 1).rlike(r"^\d\d?\.\d{2,4}$")
+        return F.when(_word(i).rlike(r"^\d\d?\.\d\d?\.\d{2,4}$"), 1).when(two, 2)
+
+    first, second = date_words(0), F.when(_word(0).rlike(r".\.$"), date_words(1))
+    rows = rows.withColumn("_at", F.when(second.isNotNull(), 1).when(first.isNotNull(), 0))
+    rows = rows.withColumn("_n", F.coalesce(second, first))
+    behind = F.col("_at") + F.col("_n")
+    timed = _word(behind).rlike(r"^\d\d?:\d\d$")
+    return rows.withColumns({
+        "_day": F.array_join(F.slice("_p", F.col("_at") + 1, F.col("_n")), ""),
+        "_time": F.when(timed, _word(behind)),
+        "_from": behind + F.coalesce(timed.cast("int"), F.lit(0)),
+    })
+
+
+def _score_words() -> Column:
+    """How many words at the end are the score: '3:1', also spaced, or the signs of an open one."""
+    last, second, third = (_word(F.size("_p") - n) for n in (1, 2, 3))
+    number, left, right = r"^\d+$", r"^\d+:$", r"^:\d+$"
+    one = last.isin("---", ":") | last.rlike(r"^\d+:\d+$")
+    two = second.rlike(left) & last.rlike(number) | second.rlike(number) & last.rlike(right)
+    three = third.rlike(number) & (second == ":") & last.rlike(number)
+    return F.when(one, 1).when(two, 2).when(three, 3).otherwise(0)
+
+
 def parse_fixtures(lines: DataFrame, line: str = "line") -> DataFrame:
     """Strict fixture lines, classified in the order bye, missing_time, invalid_time, game.
 
     ``error`` is set for a line that cannot be read; filter on it for the quarantine.
     """
-    # One pass over the line: date, time and teams come out of a single match.
-    cut = "\x01"
-    parts = F.split(F.regexp_replace(clean(F.col(line)), _LINE, f"$1{cut}$2{cut}$3"), cut)
-    rows = lines.withColumn("_p", parts)
-    time = F.nullif(F.get("_p", F.lit(1)), F.lit(""))
-    teams = F.regexp_replace(F.get("_p", F.lit(2)), _SCORE_END, "")
-    sides = F.split(F.regexp_replace(teams, _SIDES, f"$1{cut}$2"), cut)
-    wall = german_date(F.when(time.isNotNull(), F.concat_ws(" ", F.get("_p", F.lit(0)), time)))["ts"]
-    rows = rows.select(
-        *lines.columns,
-        time.alias("_time"),
-        sides.alias("_s"),
-        berlin_to_utc(wall).alias("_utc"),
-    )
-    side = lambda i: F.when(
-        F.size("_s") == 2, F.nullif(clean(F.get("_s", F.lit(i))), F.lit(""))
-    )
-    rows = rows.withColumn("home", side(0)).withColumn("away", side(1)).drop("_s")
+    plain, spaced = _words(clean(F.col(line)))
+    rows = lines.select(*lines.columns, plain.alias("_p"), spaced.alias("_w"))
+    rows = _fixture_head(rows).withColumn("_end", F.size("_p") - _score_words())
+    rows = rows.withColumn("_cut", _dash(F.col("_p"), F.col("_from"), F.col("_end")))
+    rows = _once(
+        rows, lines.columns,
+        _time=F.col("_time"),
+        _date=F.when(F.col("_time").isNotNull(), F.concat_ws(" ", "_day", "_time")),
+        home=_between(F.col("_w"), F.col("_from"), F.col("_cut")),
+        away=_between(F.col("_w"), F.col("_cut") + 1, F.col("_end")),
+    ).withColumn("_utc", berlin_to_utc(german_date(F.col("_date"))["ts"]))
     rows = rows.withColumn("home_key", team_key(F.col("home"))).withColumn(
         "away_key", team_key(F.col("away"))
     )
@@ -90,7 +134,7 @@ def parse_fixtures(lines: DataFrame, line: str = "line") -> DataFrame:
         rows.withColumn("classification", kind)
         .withColumn("starts_at_utc", F.when(F.col("classification") == "game", F.col("_utc")))
         .withColumn("error", F.when(~readable, "unreadable fixture line"))
-        .drop("_time", "_utc")
+        .drop("_time", "_date", "_utc")
     )
 
 
@@ -272,15 +316,36 @@ def coalesce_score(texts: Sequence[Column], homes: Sequence[Column], aways: Sequ
 
 
 def parse_cup_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Cup lines with a mandatory date and score, which may stand anywhere in the line."""
-    text = F.col(line)
-    return lines.where(text.rlike(_CUP_LINE)).select(
-        *lines.columns,
-        clean(F.regexp_extract(text, _CUP_LINE, 1)).alias("date_text"),
-        clean(F.regexp_extract(text, _CUP_LINE, 2)).alias("home"),
-        clean(F.regexp_extract(text, _CUP_LINE, 3)).alias("away"),
-        F.regexp_extract(text, _CUP_LINE, 4).try_cast("bigint").alias("home_score"),
-        F.regexp_extract(text, _CUP_LINE, 5).try_cast("bigint").alias("away_score"),
+    """Cup lines with a mandatory date and score, which may stand anywhere in the line.
+
+    The first word that ends in a date opens the sides, perhaps after a time; the first lone dash
+    divides them, and the first score behind the second side closes them.
+    """
+    date, score = r"\d\d\.\d\d\.\d{4}$", rf"{_W}(\d+){_W}*:{_W}*(\d+)"
+    plain, spaced = _words(clean(F.col(line)))
+    rows = lines.select(*lines.columns, plain.alias("_p"), spaced.alias("_w"))
+    found = F.array_position(F.transform("_p", lambda w: w.rlike(date)), True).cast("int")
+    rows = rows.withColumn("_at", F.when(found > 0, found - 1))
+    size, plain = F.size("_p"), F.col("_p")
+    timed = F.when(_word(F.col("_at") + 1).rlike(r"^\d\d:\d\d$"), F.col("_at") + 2)
+    # A time without a side behind it is the side itself.
+    rows = rows.withColumn("_timed", F.when(_dash(plain, timed, size).isNotNull(), timed))
+    rows = rows.withColumn("_from", F.coalesce("_timed", F.col("_at") + 1))
+    rows = rows.withColumn("_cut", _dash(plain, F.col("_from"), size))
+    time = F.when(F.col("_timed").isNotNull(), F.get("_w", F.col("_at") + 1))
+    rows = _once(
+        rows, lines.columns,
+        date_text=F.concat(
+            F.regexp_extract(_word(F.col("_at")), date, 0), F.coalesce(time, F.lit(""))
+        ),
+        home=_between(F.col("_w"), F.col("_from"), F.col("_cut")),
+        _rest=_between(F.col("_w"), F.col("_cut") + 1, size),
+    )
+    return rows.where(F.col("_rest").rlike(score)).select(
+        *lines.columns, "date_text", "home",
+        clean(F.get(F.split("_rest", score, 2), F.lit(0))).alias("away"),
+        F.regexp_extract("_rest", score, 1).try_cast("bigint").alias("home_score"),
+        F.regexp_extract("_rest", score, 2).try_cast("bigint").alias("away_score"),
     )
 
 
