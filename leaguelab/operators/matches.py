@@ -157,14 +157,14 @@ def parse_matches(lines: DataFrame, line: str = "line") -> DataFrame:
     date_text = (
         rf"(?:[A-Za-z]{{2}}\.{_W}+)?(\d{{1,2}}\.{_W}*\d{{1,2}}\.\d{{4}}(?:{_W}+\d{{1,2}}:\d{{2}})?)"
     )
-    out = rows.select(
-        *lines.columns,
-        F.coalesce(_part(left, date_text, 1), F.lit("")).alias("date_text"),
-        clean(F.coalesce(timed, dated, left)).alias("home"),
-        clean(F.coalesce(_part(right, scored, 1), _part(right, unscored, 1), right)).alias("away"),
-        home_score.alias("home_score"),
-        _part(right, scored, 3).try_cast("bigint").alias("away_score"),
-        home_score.isNotNull().alias("played"),
+    out = _once(
+        rows, lines.columns,
+        date_text=F.coalesce(_part(left, date_text, 1), F.lit("")),
+        home=clean(F.coalesce(timed, dated, left)),
+        away=clean(F.coalesce(_part(right, scored, 1), _part(right, unscored, 1), right)),
+        home_score=home_score,
+        away_score=_part(right, scored, 3).try_cast("bigint"),
+        played=home_score.isNotNull(),
     )
     return out.where(
         (F.col("home") != "")
