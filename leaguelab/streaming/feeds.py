@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.events import CONTENT, STATE, merge_state
+from ..operators.ordering import keep_one
 
 EVENT_SCHEMA = (
     "uid string, season string, league string, round_name string, team_id string, team_name string, "
@@ -53,7 +54,8 @@ def state_merger(path: str) -> Callable[[DataFrame, int], None]:
     snapshot may come as any number of files in any number of batches: its rows so far are kept, and
     when more arrive its version is merged again from the version before it. So a repeated batch
     changes nothing, and all files together give the state of one whole merge. Snapshots older than
-    the newest applied one are dropped. Two versions are kept, one to merge again from.
+    the newest applied one are dropped. Of rows that share their uid within a snapshot, the smallest
+    by all columns in schema order counts (NULL is smallest). Two versions are kept, one to merge again from.
     """
     inbox = f"{path}/inbox"
 
@@ -73,7 +75,8 @@ def state_merger(path: str) -> Callable[[DataFrame, int], None]:
         )
         for version in arrived:
             before = [v for v in versions if v < version]
-            events = held.where(at == version).drop("batch").dropDuplicates(["uid"])
+            events = held.where(at == version).drop("batch")
+            events = keep_one(events, ["uid"], F.struct(*events.columns))
             season = events.agg(F.max("season")).head()[0]
             now = F.timestamp_micros(F.lit(version))
             if before:

@@ -243,6 +243,57 @@ def test_colon_score_is_pending(spark):
     assert rows(parsed.where("is_home"), "result") == [("Won",), ("pending",)]
 
 
+def test_fixture_lines_are_read_by_words(spark):
+    """Weekday, split dates, no-break spaces, spaced and open scores, dashes inside names."""
+    data = [
+        (0, "Mo.  6. 9.2025 20:00  SC\u00a0 Berg   -  A-B Tal   3 : 1 "),
+        (1, "06.09.25 9:30 A - B - C ---"),
+        (2, "Mo. 6.9.2025 A - B :"),
+        (3, "Mo. 6. 9.2025 25:00 A - B 3: 1"),
+        (4, "6.9.2025 20:00 A - Spielfrei"),
+        (5, "6.9.2025 20:00 - B 3:1"),
+        (6, "6.9.2025 20:00 A - "),
+        (7, "Spielplan A - B"),
+        (8, ""),
+        (9, None),
+        (10, "6. 9.10.2025 20:00 A 5 - B 4 3:1"),
+    ]
+    df = spark.createDataFrame(data, "n int, line string")
+    got = matches.parse_fixtures(df)
+    assert rows(got.where("error IS NULL"), "n", "home", "away", "classification") == [
+        (0, "SC\u00a0 Berg", "A-B Tal", "game"), (1, "A", "B - C", "game"),
+        (2, "A", "B", "missing_time"), (3, "A", "B", "invalid_time"), (4, "A", "Spielfrei", "bye"),
+        (10, "A 5", "B 4", "game"),
+    ]
+    assert sorted(r.n for r in got.where("error IS NOT NULL").collect()) == [5, 6, 7, 8, 9]
+
+
+def test_cup_lines_are_read_by_words(spark):
+    data = [
+        (0, "Pokal: 06.09.2025 20:00 A - B\u00a0C 3 : 1 n.V."), (1, "am 06.09.2025 A-B - C - D 3:1"),
+        (2, "06.09.2025 A - B ---"), (3, "6.9.2025 A - B 3:1"), (4, "06.09.2025 20:00 - B 3:1"),
+        (5, "06.09.2025 - 3:1"), (6, None),
+    ]
+    df = spark.createDataFrame(data, "n int, line string")
+    got = matches.parse_cup_lines(df)
+    assert rows(got, "n", "date_text", "home", "away", "home_score", "away_score") == [
+        (0, "06.09.2025 20:00", "A", "B\u00a0C", 3, 1), (1, "06.09.2025", "A-B", "C - D", 3, 1),
+        (4, "06.09.2025", "20:00", "B", 3, 1),
+    ]
+
+
+def test_filtered_match_lines_are_read_once(spark):
+    """A filter on what was read is not repeated in the steps below it."""
+    df = spark.createDataFrame([("Mo. 1. 9.2025 20:00 A - B 9:7",)], "line string")
+    for read in (matches.parse_matches, matches.parse_fixtures, matches.parse_cup_lines):
+        plan = read(df).where("home <> 'x' AND away <> 'y'")
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Generate explode") == 1
+        below = text.split("Generate explode")[1].split("\n", 1)[1]
+        assert not any("Filter" in x and "array_join" in x for x in below.split("\n"))
+        assert len(text) < 40_000
+
+
 def test_containment_join_is_exact(spark):
     """Against all pairs, with texts that share their pieces."""
     rng = random.Random(3)
@@ -439,6 +490,20 @@ def test_streamed_state_equals_batches(spark, tmp_path, files):
     assert got() == sorted([(m, "CONFIRMED", 0) for m in many] + want)
 
 
+def test_uid_twice_in_a_snapshot_has_a_stated_row(spark, tmp_path):
+    from leaguelab.streaming.feeds import EVENT_SCHEMA, latest_state, state_merger
+
+    at = datetime.datetime(2001, 1, 1, 1)
+    data = [
+        ("u", "s", "l", "r", "club-1-team-1", "n", o, "h", "a", True, None, None, None, "CONFIRMED", "f", at)
+        for o in ("z", "b", "k")
+    ]
+    for n, order in enumerate((data, data[::-1])):
+        batch = spark.createDataFrame(order, EVENT_SCHEMA).repartition(3)
+        state_merger(str(tmp_path / str(n)))(batch, 0)
+        assert rows(latest_state(spark, str(tmp_path / str(n))), "uid", "opponent") == [("u", "b")]
+
+
 def test_damaged_state_is_an_error(spark, tmp_path):
     from leaguelab.streaming.feeds import latest_state
 
