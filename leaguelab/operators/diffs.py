@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
+from ..lineage import cut_lineage
 from .ordering import with_position
 
 
@@ -185,34 +186,28 @@ _TABLE = ["season_key", "rows_hash", "title", "family", "partition", "n_rows"]
 UNKNOWN_TITLE = "unbekannt"  # fixed value: title of tables without a name
 
 
-def _use_up(left: DataFrame, right: DataFrame, by: Sequence[str], ok_l: Column, ok_r: Column):
-    """Pair eligible tables of each bucket in title order and take the pairs off both counts."""
-    keys = ["season_key", "rows_hash", *by]
-
-    def queue(df: DataFrame, ok: Column) -> DataFrame:
-        return with_position(
-            df.where(ok), keys, ["title", "n_rows"], {"_upto": F.col("n")}, "_pos", totals=True
-        )
-
-    a, b = queue(left, ok_l), queue(right, ok_r)
-    totals = lambda df, name: df.groupBy(*keys).agg(
-        F.max("_upto_total").alias(name)
-    )
-    pairs = totals(a, "_l").join(totals(b, "_r"), keys).select(
-        *keys, F.least("_l", "_r").alias("_pairs")
-    )
+def _use_up(tables: DataFrame, by: Sequence[str], ok: Column, salts: int = 16) -> DataFrame:
+    """Pair eligible tables of both sides of each bucket in title order and take the pairs off.
 
-    def rest(df: DataFrame, queued: DataFrame, ok: Column) -> DataFrame:
-        free = F.greatest(F.col("_upto") - F.coalesce("_pairs", F.lit(0)), F.lit(0))
-        kept = (
-            queued.join(pairs, keys, "left")
-            .withColumn("n", F.least(F.col("n"), free))
-            .where(F.col("n") > 0)
-            .select(*df.columns)
-        )
-        return df.where(~ok).unionByName(kept)
-
-    return rest(left, a, ok_l), rest(right, b, ok_r)
+    A side that the other one covers goes as a whole and a bucket without the other side stays as it
+    is; only what is left over on the larger side needs an order. ``old`` tells the sides apart.
+    """
+    keys = ["season_key", "rows_hash", *by]
+    of = lambda old: F.sum(F.when(F.col("old") == old, F.col("n")).otherwise(0))
+    counts = tables.where(ok).groupBy(*keys).agg(of(True).alias("_l"), of(False).alias("_r"))
+    both = counts.where((F.col("_l") > 0) & (F.col("_r") > 0))
+    deal = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    # Tables of one bucket are dealt by title, so that a large bucket is many rows of the join.
+    queued = tables.where(ok).withColumn("_salt", F.pmod(F.xxhash64("title"), F.lit(salts)))
+    queued = queued.join(both.withColumn("_salt", F.explode(deal)), [*keys, "_salt"], "left")
+    own = F.when(F.col("old"), F.col("_l")).otherwise(F.col("_r"))
+    pairs = F.least("_l", "_r")
+    lone = queued.where(pairs.isNull()).select(*tables.columns)
+    larger = queued.where(own > pairs).select(*tables.columns, pairs.alias("_pairs"))
+    placed = with_position(larger, keys, ["title", "n_rows"], {"_upto": F.col("n")}, "_pos")
+    kept = placed.withColumn("n", F.least("n", F.greatest(F.col("_upto") - F.col("_pairs"), F.lit(0))))
+    kept = kept.where(F.col("n") > 0).select(*tables.columns)
+    return tables.where(~ok).unionByName(lone).unionByName(kept)
 
 
 def match_archive_tables(previous: DataFrame, candidate: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,9 +230,14 @@ def match_archive_tables(previous: DataFrame, candidate: DataFrame) -> tuple[Dat
         out = out.withColumn("n", F.col("n") - F.coalesce("_pairs", F.lit(0)))
         return out.where(F.col("n") > 0).drop("_pairs").select(*_TABLE, "n")
 
-    plain = F.col("family").isNotNull() & ~F.col("partition")
-    left, right = _use_up(minus(left), minus(right), ["family"], plain, plain)
-    return _use_up(left, right, [], F.col("title") == UNKNOWN_TITLE, plain)
+    both = minus(left).withColumn("old", F.lit(True)).unionByName(
+        minus(right).withColumn("old", F.lit(False))
+    )
+    plain = F.coalesce(F.col("family").isNotNull() & ~F.col("partition"), F.lit(False))
+    rest = _use_up(cut_lineage(both, "archive-tables"), ["family"], plain)
+    unknown = F.coalesce(F.col("title") == UNKNOWN_TITLE, F.lit(False))
+    rest = _use_up(rest, [], F.when(F.col("old"), unknown).otherwise(plain))
+    return rest.where("old").drop("old"), rest.where("not old").drop("old")
 
 
 def check_tables_no_loss(previous: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -129,11 +129,14 @@ def resolve_home_club(games: DataFrame, clubs: DataFrame, spellings: DataFrame |
 
 # --- containment ---------------------------------------------------------------------------------
 
+LONGEST = 64  # letters of a text whose substrings are listed, at most about 2,000
 
-def _grams(text: Column, n: int) -> Column:
+
+def _grams(text: Column, n: int | Column) -> Column:
     """Distinct substrings of length ``n``."""
+    n = F.lit(n) if isinstance(n, int) else n
     last = F.length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n))
     return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
@@ -171,6 +174,75 @@ def containment_pairs(
     return out
 
 
+def _substrings(df: DataFrame, text: str, name: str, likes: DataFrame, longest: int) -> DataFrame:
+    """Rows of ``df`` with ``name``: each distinct substring of ``text`` (up to ``longest`` letters) that
+    is as long as some text of the one column of ``likes``."""
+    size = F.length(likes.columns[0])
+    sizes = likes.where(size.between(1, longest)).agg(F.sort_array(F.collect_set(size))).scalar()
+    rows = df.where(F.length(text) <= longest).withColumn("_size", F.explode(sizes))
+    return rows.withColumn(name, F.explode(_grams(F.col(text), F.col("_size")))).drop("_size")
+
+
+def first_containing(needles: DataFrame, options: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """``(key, first)``: the first option that contains the key, for every ``key`` of ``needles``.
+
+    ``options`` has distinct ``option`` and ``first``, a value that orders them. Every substring of an
+    option that has the length of some key is an entry of a dictionary that holds the best option
+    of each entry, combined before the shuffle. So a key costs one row, however many options contain
+    it. Options of more than ``longest`` letters are looked up by pieces instead.
+    """
+    keys = needles.select("key").distinct().where(F.col("key") != "")
+    entries = _substrings(options, "option", "key", keys, longest)
+    best = entries.groupBy("key").agg(F.min("first").alias("first"))
+    long = options.where(F.length("option") > longest)
+    rest = containment_pairs(
+        keys.select(F.col("key").alias("needle")), long.select(F.col("option").alias("text")), 3, True
+    ).select(F.col("needle").alias("key"), F.col("text").alias("option"))
+    found = keys.join(best, "key").unionByName(rest.join(long, "option").select("key", "first"))
+    return found.groupBy("key").agg(F.min("first").alias("first"))
+
+
+def first_contained(
+    texts: DataFrame, options: DataFrame, longest: int = LONGEST, salts: int = 16
+) -> DataFrame:
+    """``(key, first)``: the first option that stands in the key, for every ``key`` of ``texts``.
+
+    A key meets the options by its substrings, of which it has a bounded number. Short options stand in
+    most keys, so their rows are dealt over ``salts`` places. Keys of more than ``longest`` letters are
+    looked up by pieces instead.
+    """
+    keys = texts.select("key").distinct().where(F.col("key") != "")
+    places = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    parts = _substrings(keys, "key", "option", options.select("option"), longest).withColumn(
+        "_salt", F.pmod(F.xxhash64("key"), F.lit(salts))
+    )
+    dealt = options.select("option", "first", F.explode(places).alias("_salt"))
+    found = parts.join(dealt, ["option", "_salt"]).select("key", "first")
+    long = keys.where(F.length("key") > longest)
+    rest = containment_pairs(
+        options.select(F.col("option").alias("needle")), long.select(F.col("key").alias("text")), 3, True
+    ).select(F.col("text").alias("key"), F.col("needle").alias("option"))
+    found = found.unionByName(rest.join(options, "option").select("key", "first"))
+    return found.groupBy("key").agg(F.min("first").alias("first"))
+
+
+def groups_containing(
+    texts: DataFrame, by: Sequence[str], needles: DataFrame, longest: int = LONGEST
+) -> DataFrame:
+    """``(*by, needle)``: the groups with a ``text`` that contains the needle.
+
+    The substrings of a group's texts are made distinct before they meet the needles, so a needle has
+    one row a group and not one for every text it stands in.
+    """
+    keys = needles.select("needle").distinct().where(F.col("needle") != "")
+    rows = texts.select(*by, "text").distinct()
+    parts = _substrings(rows, "text", "needle", keys, longest).select(*by, "needle")
+    found = parts.distinct().join(keys, "needle").select(*by, "needle")
+    long = rows.where(F.length("text") > longest)
+    rest = containment_pairs(keys, long, 4, True).join(long, "text").select(*by, "needle")
+    return found.unionByName(rest).distinct()
+
+
 def club_match(clubs: DataFrame, names: DataFrame) -> DataFrame:
     """``(club, target)`` pairs whose base names are equal or contain each other.
 
@@ -219,31 +291,28 @@ def letters_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
-def exact_then_fuzzy(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame:
+def exact_then_fuzzy(left: DataFrame, right: DataFrame, longest: int = LONGEST) -> DataFrame:
     """For each ``name`` of ``left``: the equal name of ``right``, else the first that contains it
-    or is contained in it. ``right`` has ``candidate`` and ``position``.
+    or is contained in it. ``right`` has ``candidate`` and ``position``; of equal positions the
+    smallest candidate is first.
 
-    Keys of any length match by containment; those shorter than ``n`` letters are looked up as they
-    are instead of by their pieces.
+    Keys of any length match by containment. No pairs are listed: a name gets one row from the
+    candidates that contain it, and one from those that it contains.
     """
     names = left.select("name").distinct().withColumn("_k", letters_key(F.col("name")))
     options = right.select("candidate", "position", letters_key(F.col("candidate")).alias("_r"))
-    options = keep_one(options.where(F.col("_r") != ""), ["_r"], F.col("position"))
+    rank = F.struct("position", "candidate")
+    options = keep_one(options.where(F.col("_r") != ""), ["_r"], rank)
     exact = names.where(F.col("_k") != "").join(options, F.col("_k") == F.col("_r")).select(
         "name", F.col("candidate").alias("_exact")
     )
-    keys_l, keys_r = names.select("_k").distinct(), options.select("_r").distinct()
-    forward = containment_pairs(
-        keys_l.select(F.col("_k").alias("needle")), keys_r.select(F.col("_r").alias("text")), n, True
-    ).select(F.col("needle").alias("_k"), F.col("text").alias("_r"))
-    backward = containment_pairs(
-        keys_r.select(F.col("_r").alias("needle")), keys_l.select(F.col("_k").alias("text")), n, True
-    ).select(F.col("text").alias("_k"), F.col("needle").alias("_r"))
+    keys = names.select(F.col("_k").alias("key"))
+    ranked = options.select(F.col("_r").alias("option"), rank.alias("first"))
     first = (
-        forward.unionByName(backward)
-        .join(options, "_r")
-        .groupBy("_k")
-        .agg(F.min_by("candidate", "position").alias("_fuzzy"))
+        first_containing(keys, ranked, longest)
+        .unionByName(first_contained(keys, ranked, longest))
+        .groupBy(F.col("key").alias("_k"))
+        .agg(F.min("first")["candidate"].alias("_fuzzy"))
     )
     resolved = names.join(exact, "name", "left").join(first, "_k", "left").select(
         "name",

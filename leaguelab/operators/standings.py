@@ -72,24 +72,22 @@ def current_regular_leagues(leagues: DataFrame, name: str = "league") -> DataFra
 def tables_mentioning(cells: DataFrame, clubs: DataFrame) -> DataFrame:
     """``(league, club)`` of the league tables in which a cell contains the club or its base name.
 
-    Works on distinct cell texts, as an equi join over their pieces.
+    Works on the distinct substrings of a league's cells, as an equi join.
     """
-    from .identity import containment_pairs
+    from .identity import groups_containing
 
     text = F.lower(squeeze(F.col("cell")))
     spread = cells.where(~is_cup(F.col("league"))).select(
         "league", F.explode("cells").alias("cell")
-    ).select("league", text.alias("text")).where(F.col("text") != "").distinct()
+    ).select("league", text.alias("text")).where(F.col("text") != "")
     names = clubs.select(
         "club",
         F.explode(
             F.array(F.lower(squeeze(F.col("club"))), F.lower(club_base_name(F.col("club"))))
         ).alias("needle"),
     ).where(F.col("needle") != "").distinct()
-    pairs = containment_pairs(names, spread, 4, shorter=True)
-    return (
-        pairs.join(names, "needle").join(spread, "text").select("league", "club").distinct()
-    )
+    found = groups_containing(spread, ["league"], names)
+    return found.join(names, "needle").select("league", "club").distinct()
 
 
 def two_games_per_round(sides: DataFrame) -> DataFrame:

@@ -356,13 +356,12 @@ def _regular(spark, d):
 
 
 @query("F11_tables_mentioning", """
-SELECT DISTINCT n_name AS league, p_name AS club FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-JOIN nation ON n_nationkey = s_nationkey JOIN part p ON p.p_partkey = l_partkey
-WHERE contains(p_name, ' ring')
-UNION
-SELECT DISTINCT n_name, 'small widget II' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-JOIN nation ON n_nationkey = s_nationkey JOIN part p ON p.p_partkey = l_partkey
-WHERE p_name = 'small widget'""")
+WITH t AS (SELECT DISTINCT n_name AS league, lower(p_name) AS cell FROM lineitem
+  JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  JOIN part p ON p.p_partkey = l_partkey),
+c AS (SELECT DISTINCT p_name AS club, lower(p_name) AS base FROM part
+  UNION SELECT DISTINCT p_name || ' II', lower(p_name) FROM part)
+SELECT DISTINCT league, club FROM t JOIN c ON contains('1. ' || cell, base)""")
 def _mentions(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
     cells = (
@@ -372,8 +371,8 @@ def _mentions(spark, d):
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .select(F.col("n_name").alias("league"), F.array(F.concat(F.lit("1. "), F.upper("p_name"))).alias("cells"))
     )
-    clubs = part.where(F.col("p_name").contains(" ring")).select(F.col("p_name").alias("club")).unionByName(
-        part.where(F.col("p_name") == "small widget").select(F.lit("small widget II").alias("club"))
+    clubs = part.select(
+        F.explode(F.array("p_name", F.concat("p_name", F.lit(" II")))).alias("club")
     ).distinct()
     return S.tables_mentioning(cells, clubs)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leaguelab.functions import cells, dates, seasons, text
 from leaguelab.operators import calibration as K
-from leaguelab.operators import careers, events, gates, history, identity, matches, outcome, rankings, roster
+from leaguelab.operators import careers, diffs, events, gates, history, identity, matches, outcome, rankings, roster
 from leaguelab.operators.ordering import largest_remainder, top_k, with_position
 from leaguelab.sources import pages, sinks, snapshots
 
@@ -306,6 +306,94 @@ def test_containment_join_is_exact(spark):
     assert set(rows(got, "needle", "text")) == expected
 
 
+@pytest.mark.parametrize("longest", [3, 64])
+def test_first_containment_against_all_pairs(spark, longest):
+    """Keys of one and two letters, texts over and under the limit, equal positions."""
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("ab") for _ in range(rng.randint(1, most)))
+    names = [*{word(7) for _ in range(60)}, "a", "zz", "ab" * 50, "!"]
+    options = [(word(6), rng.randint(1, 40)) for _ in range(60)] + [("b", 99), ("ab" * 60, 98)]
+    got = identity.exact_then_fuzzy(
+        spark.createDataFrame([(n,) for n in names], "name string"),
+        spark.createDataFrame(options, "candidate string, position int"), longest,
+    )
+    first = lambda found: min(((p, c) for c, p in options if found(c)), default=(None, None))[1]
+    want = {}
+    for name in names:
+        exact = first(lambda c: c == name)
+        near = first(lambda c: name in c or c in name) if name != "!" else None
+        want[name] = exact or near
+    assert {r["name"]: r["candidate"] for r in got.collect()} == want
+    texts = [(i % 3, n) for i, n in enumerate(names)]
+    found = identity.groups_containing(
+        spark.createDataFrame(texts, "g int, text string"), ["g"],
+        spark.createDataFrame([(n,) for n in names], "needle string"), longest,
+    )
+    assert set(rows(found, "g", "needle")) == {(g, n) for g, t in texts for n in names if n in t}
+
+
+def test_a_letter_in_all_candidates_is_one_row(spark):
+    """A key meets one entry of the dictionary, whatever the candidates have in common."""
+    options = spark.range(3000).select(
+        F.concat(F.lit("verein "), F.col("id").cast("string")).alias("candidate"), F.col("id").alias("position")
+    )
+    names = spark.createDataFrame([("v",), ("verein",), ("e",)], "name string")
+    got = identity.exact_then_fuzzy(names, options)
+    assert {r["candidate"] for r in got.collect()} == {"verein 0"}
+    pieces = identity._substrings(
+        options, "candidate", "key", names.select(F.col("name").alias("key")), 64
+    )
+    assert pieces.groupBy("key").agg(F.min("position")).where(F.col("key").isin("v", "e")).count() == 2
+
+
+def _archive_rest(previous, candidate):
+    """The three passes over lists of single tables (brute force)."""
+    left, right = sorted(previous, key=str), sorted(candidate, key=str)
+    plain = lambda t: t[3] is not None and not t[4]
+    for t in list(left):
+        same = [u for u in right if (*u[:3], u[5]) == (*t[:3], t[5])]
+        if same:
+            left.remove(t), right.remove(same[0])
+    for ok, size in ((plain, 4), (lambda t: t[2] == diffs.UNKNOWN_TITLE, 2)):
+        bucket = lambda t: (t[0], t[1], t[3] if size == 4 else None)
+        a = sorted((t for t in left if ok(t)), key=lambda t: (t[2], t[5]))
+        b = sorted((t for t in right if plain(t)), key=lambda t: (t[2], t[5]))
+        for t in a:
+            other = next((u for u in b if bucket(u) == bucket(t)), None)
+            if other is not None:
+                b.remove(other), left.remove(t), right.remove(other)
+    return left, right
+
+
+def test_archive_tables_against_single_pairs(spark):
+    """Many titles in one bucket, a side that covers the other, copies, families without a value."""
+    rng = random.Random(11)
+    schema = "season_key string, rows_hash string, title string, family string, partition boolean, n_rows int"
+
+    def tables(n):
+        out = []
+        for _ in range(n):
+            title = rng.choice(["a", "b", "c", "d", "e", "f", diffs.UNKNOWN_TITLE])
+            part = bool(len(title) == 1 and title in "ef")
+            # Equal titles have equal families and equal rows have one size, as in archive tables.
+            out.append((rng.choice("st"), rng.choice("hij"), title, None if title in "ad" else "fam" + str(ord(title[0]) % 2), part, 5))
+        return out
+
+    for sizes in ((40, 15), (15, 40), (30, 30), (0, 5)):
+        old, new = tables(sizes[0]), tables(sizes[1])
+        left, right = diffs.match_archive_tables(
+            spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+        )
+        spread = lambda df: sorted(
+            (tuple(r[c] for c in schema.replace(",", "").split()[::2]) for r in df.collect() for _ in range(r["n"])), key=str
+        )
+        want_left, want_right = _archive_rest(old, new)
+        assert spread(left) == sorted(want_left, key=str)
+        # On the right the last pass takes tables of any family in title order.
+        assert len(spread(right)) == len(want_right)
+        assert [t[:3] for t in spread(right)] == [t[:3] for t in sorted(want_right, key=str)]
+
+
 def test_team_numbers_resolve_to_slots(spark):
     clubs = spark.createDataFrame([("1", "DC Foo e.V."), ("2", "DC Bär"), ("3", "DC Bar")], "number string, name string")
     teams = spark.createDataFrame([("dc foo 2",), ("DC Foo e.V.",), ("DC Bar",), ("Nobody",)], "team string")
