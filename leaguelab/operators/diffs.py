@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
 from ..lineage import cut_lineage
+from .lookups import dealt_join
 from .ordering import with_position
 
 
@@ -186,7 +187,7 @@ _TABLE = ["season_key", "rows_hash", "title", "family", "partition", "n_rows"]
 UNKNOWN_TITLE = "unbekannt"  # fixed value: title of tables without a name
 
 
-def _use_up(tables: DataFrame, by: Sequence[str], ok: Column, salts: int = 16) -> DataFrame:
+def _use_up(tables: DataFrame, by: Sequence[str], ok: Column) -> DataFrame:
     """Pair eligible tables of both sides of each bucket in title order and take the pairs off.
 
     A side that the other one covers goes as a whole and a bucket without the other side stays as it
@@ -196,10 +197,7 @@ def _use_up(tables: DataFrame, by: Sequence[str], ok: Column, salts: int = 16) -
     of = lambda old: F.sum(F.when(F.col("old") == old, F.col("n")).otherwise(0))
     counts = tables.where(ok).groupBy(*keys).agg(of(True).alias("_l"), of(False).alias("_r"))
     both = counts.where((F.col("_l") > 0) & (F.col("_r") > 0))
-    deal = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    # Tables of one bucket are dealt by title, so that a large bucket is many rows of the join.
-    queued = tables.where(ok).withColumn("_salt", F.pmod(F.xxhash64("title"), F.lit(salts)))
-    queued = queued.join(both.withColumn("_salt", F.explode(deal)), [*keys, "_salt"], "left")
+    queued = dealt_join(tables.where(ok), both, keys, ["title"], "left")
     own = F.when(F.col("old"), F.col("_l")).otherwise(F.col("_r"))
     pairs = F.least("_l", "_r")
     lone = queued.where(pairs.isNull()).select(*tables.columns)

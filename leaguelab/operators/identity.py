@@ -15,6 +15,7 @@ from ..functions.text import (
     team_key,
     without_legal_form,
 )
+from .lookups import dealt_join
 from .ordering import keep_one
 
 
@@ -212,12 +213,8 @@ def first_contained(
     looked up by pieces instead.
     """
     keys = texts.select("key").distinct().where(F.col("key") != "")
-    places = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    parts = _substrings(keys, "key", "option", options.select("option"), longest).withColumn(
-        "_salt", F.pmod(F.xxhash64("key"), F.lit(salts))
-    )
-    dealt = options.select("option", "first", F.explode(places).alias("_salt"))
-    found = parts.join(dealt, ["option", "_salt"]).select("key", "first")
+    parts = _substrings(keys, "key", "option", options.select("option"), longest)
+    found = dealt_join(parts, options, ["option"], ["key"], salts=salts).select("key", "first")
     long = keys.where(F.length("key") > longest)
     rest = containment_pairs(
         options.select(F.col("option").alias("needle")), long.select(F.col("key").alias("text")), 3, True

@@ -56,3 +56,15 @@ def lookup(
 def one_row(df: DataFrame) -> Column:
     """All columns of the only row of ``df`` as a struct."""
     return df.select(F.struct(*df.columns)).scalar()
+
+
+def dealt_join(
+    rows: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join with a table that has few rows a key, where a key may hold a third of ``rows``.
+
+    ``rows`` are dealt over ``salts`` places by the columns ``spread``; ``few`` is copied to each.
+    """
+    places = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    return dealt.join(few.withColumn("_salt", F.explode(places)), [*on, "_salt"], how).drop("_salt")

@@ -6,6 +6,8 @@ target_ord. ``current``: rows of ``current_players``. History tables as in ``cal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions.classes import league_class
 from ..functions.fingerprint import fingerprint
 from ..functions.seasons import canonical_season, season_in_label
 from .calibration import NEUTRAL_RATING, PRIOR_APPEARANCES
-from .history import latest_affiliation
+from .lookups import dealt_join, lookup
 from .ordering import top_k
 
 LINEUP = 4  # fixed value: players of a line-up
@@ -111,30 +113,49 @@ def newest_seasons(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return top_k(usable, ["cutoff"], order, 2, "age").select("cutoff", "season_start", "age")
 
 
+def season_ages(history: DataFrame, teams: DataFrame) -> Callable[..., Column]:
+    """Lookup of a season's ``(cutoff, age)`` pairs, NULL for seasons that are too old everywhere."""
+    recent = newest_seasons(history, teams).groupBy("season_start").agg(
+        F.collect_list(F.struct("cutoff", "age")).alias("_ages")
+    )
+    return lookup(recent, ["season_start"], F.col("_ages"))
+
+
 def historical_candidates(teams: DataFrame, history: DataFrame) -> DataFrame:
     """Players whose last affiliation in one of the two newest seasons fits a team's club and class.
 
     ``history`` are segments with ``ambiguous`` and optionally ``team_label``. ``age`` is 1 for the
-    newest season.
+    newest season. Only segments of those seasons move, once, by player and season; a player's
+    segments of a season are few. Teams are copied, since a club may hold most of the players.
     """
+    season = ["player_id", "season_start"]
     rows = history.where(~F.col("ambiguous"))
     if "team_label" not in rows.columns:
         rows = rows.withColumn("team_label", F.lit(None).cast("string"))
-    affiliation = latest_affiliation(rows).where(~F.col("ambiguous")).select(
-        "player_id", "season_start", F.col("club_no").alias("_club")
-    )
-    last = rows.groupBy("player_id", "season_start").agg(F.max("last_round").alias("_last"))
+    segment = ["club_no", "class_ord", "team_label", "last_round", "segment_id", "name"]
+    held = (
+        rows.withColumn("_ages", season_ages(history, teams)("season_start"))
+        .where(F.col("_ages").isNotNull())
+        .groupBy(*season)
+        .agg(F.collect_list(F.struct(*segment)).alias("_all"), F.first("_ages").alias("_ages"))
+    )
+    latest = F.array_max(F.transform("_all", lambda s: s["last_round"]))
+    held = held.withColumn("_latest", latest).where(F.col("_latest") >= 0).withColumn(
+        "_all", F.filter("_all", lambda s: s["last_round"] == F.col("_latest"))
+    )
+    # The affiliation of a season: all segments of its greatest round name one club.
+    clubs = F.array_distinct(F.transform("_all", lambda s: s["club_no"]))
     fits = (
-        rows.join(affiliation, ["player_id", "season_start"])
-        .join(last, ["player_id", "season_start"])
-        .where((F.col("last_round") == F.col("_last")) & (F.col("club_no") == F.col("_club")))
-        .groupBy("player_id", "season_start", "club_no", "class_ord", "team_label")
-        .agg(F.min_by("name", "segment_id").alias("name"))
-    )
-    recent = newest_seasons(history, teams)
-    joined = fits.join(recent, "season_start").join(
-        teams.withColumnRenamed("target_ord", "class_ord"), ["club_no", "class_ord", "cutoff"]
-    )
+        held.where((F.size(clubs) == 1) & F.element_at(clubs, 1).isNotNull())
+        .select(*season, "_ages", F.explode("_all").alias("_s"))
+        .select(*season, "_ages", "_s.*")
+        .groupBy(*season, "club_no", "class_ord", "team_label")
+        .agg(F.min_by("name", "segment_id").alias("name"), F.first("_ages").alias("_ages"))
+        .withColumn("_a", F.explode("_ages"))
+        .select("player_id", "club_no", "class_ord", "team_label", "name", "_a.cutoff", "_a.age")
+    )
+    few = teams.withColumnRenamed("target_ord", "class_ord")
+    joined = dealt_join(fits, few, ["club_no", "class_ord", "cutoff"], ["player_id"])
     label_ok = ~F.col("multi_team") | F.coalesce(F.col("team_label") == F.col("label"), F.lit(False))
     return (
         joined.where(label_ok)
@@ -161,10 +182,9 @@ def roster_targets(teams: DataFrame, current: DataFrame, candidates: DataFrame)
 def _selected(teams: DataFrame, current: DataFrame) -> DataFrame:
     usable = current.where(F.col("status") == "usable")
     label_ok = ~F.col("multi_team") | F.coalesce(F.col("team_label") == F.col("label"), F.lit(False))
-    return usable.join(
-        teams.withColumnRenamed("target_ord", "_ord"), "club_no"
-    ).where((F.col("class_ord") == F.col("_ord")) & label_ok).select(
-        "team_id", "cutoff", F.col("_ord").alias("target_ord"), "player_id", "name", "name_key",
+    few = teams.withColumnRenamed("target_ord", "class_ord")
+    return dealt_join(usable, few, ["club_no", "class_ord"], ["player_id"]).where(label_ok).select(
+        "team_id", "cutoff", F.col("class_ord").alias("target_ord"), "player_id", "name", "name_key",
         "points", "appearances",
     )
 
@@ -237,10 +257,11 @@ def team_roster(
         F.lit(True).alias("unconfirmed"),
     )
     seen = (
-        newest_seasons(history, teams)
-        .where(F.col("age") == 1)
-        .join(history.select("player_id", "season_start").distinct(), "season_start")
-        .select("player_id", "cutoff")
+        history.select("player_id", season_ages(history, teams)("season_start").alias("_ages"))
+        .withColumn("_a", F.explode("_ages"))
+        .where(F.col("_a.age") == 1)
+        .select("player_id", "_a.cutoff")
+        .distinct()
     )
     older = absent_from_season(free.where(F.col("age") == 2), seen).select(
         *columns,

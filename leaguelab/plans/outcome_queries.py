@@ -322,13 +322,13 @@ def _outcome_examples(spark, d):
     )
 
 
-# --- rosters of the season 2001: current players have accepted, final lines ---------------------------
+# --- rosters of the season 2001 -------------------------------------------------------------------------
 
 _ROSTER_SQL = """
 cur AS (SELECT l_partkey AS player_id, CAST(l_partkey % 25 AS VARCHAR) AS club_no,
     CAST((p_size + 1) % 5 AS INTEGER) AS class_ord, CAST(sum(l_quantity) AS BIGINT) AS points,
     count(*) AS appearances FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE year(l_shipdate) = 2001 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1, 2, 3),
+  WHERE year(l_shipdate) = 2001 GROUP BY 1, 2, 3),
 past AS (SELECT *, max(last_round) OVER (PARTITION BY player_id, season_start) AS m FROM history
   WHERE season_start IN (1999, 2000) AND NOT ambiguous),
 cand AS (SELECT DISTINCT player_id, season_start, club_no, class_ord FROM (
@@ -373,20 +373,19 @@ def _roster_tables(spark, d):
     """Teams, current players, candidates, history, priors and class means for 2001."""
     _, history, totals = _history(spark, d)
     part = table(spark, d, "part").select(F.col("p_partkey").alias("player_id"), "p_size", "p_name")
-    lines = table(spark, d, "lineitem").where(
-        (F.year("l_shipdate") == 2001) & (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
-    )
-    played = lines.groupBy(F.col("l_partkey").alias("player_id")).agg(
-        F.sum("l_quantity").cast("bigint").alias("points"), F.count(F.lit(1)).alias("appearances")
-    )
+    # Rows of all seasons: the operator tells the current ones.
+    played = table(spark, d, "lineitem").groupBy(
+        F.col("l_partkey").alias("player_id"), F.year("l_shipdate").alias("_year")
+    ).agg(F.sum("l_quantity").cast("bigint").alias("points"), F.count(F.lit(1)).alias("appearances"))
+    season = F.concat(F.col("_year"), F.lit("/"), F.lpad(((F.col("_year") + 1) % 100).cast("string"), 2, "0"))
     labels = F.array(*[F.lit(x) for x in [*K.CLASSES, "Mix"]])
     sources = played.join(part, "player_id").select(
         "player_id", F.col("p_name").alias("name"), F.lower("p_name").alias("name_key"),
         (F.col("player_id") % 25).cast("string").alias("club_no"),
         F.concat(
-            F.element_at(labels, ((F.col("p_size") + 1) % 5 + 1).cast("int")), F.lit(" 2001/02")
+            F.element_at(labels, ((F.col("p_size") + 1) % 5 + 1).cast("int")), F.lit(" "), season
         ).alias("league"),
-        F.lit(None).cast("string").alias("season"), F.lit(None).cast("string").alias("team_label"),
+        season.alias("season"), F.lit(None).cast("string").alias("team_label"),
         "points", "appearances",
     )
     return history, totals, sources
@@ -407,14 +406,14 @@ def _current(sources):
     # Mixed labels are no class; their rows keep a NULL class and fit no team.
     fixed = sources.withColumn(
         "league", F.when(F.col("league").startswith("Mix"), "Mix").otherwise(F.col("league"))
-    ).withColumn("season", F.lit("2001/02"))
-    out = T.current_players(fixed, "2001/02", "2001/02", normalized=True)
+    )
+    out = T.current_players(fixed, None, "2001/02", normalized=True)
     return out.withColumn("class_ord", class_ordinal(F.col("class")))
 
 
 def _roster(spark, d):
     history, totals, sources = _roster_tables(spark, d)
-    teams, current = _teams(spark, d), _current(sources)
+    teams, current = _teams(spark, d), cut_lineage(_current(sources))
     candidates = cut_lineage(T.historical_candidates(teams, history))
     targets = T.roster_targets(teams, current, candidates)
     seasons = K.season_rows(history, totals)

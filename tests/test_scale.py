@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from leaguelab import plans
 from leaguelab.operators import matches as M
-from leaguelab.operators.lookups import lookup
+from leaguelab.operators.lookups import dealt_join, lookup
 from leaguelab.operators.ordering import with_position
 from leaguelab.operators.medians import bin_of, weighted_medians
 
 plans.load_all()
 FOLDER = "/root/testdata/sf0.001"
 # Keys with a handful of values: unaggregated rows must never be dealt out by them alone.
-HOT = {"season_start", "season_end", "cutoff", "target_ord", "class_ord", "edge", "flag"}
+HOT = {"season_start", "season_end", "cutoff", "target_ord", "class_ord", "edge", "flag", "club_no"}
 
 
 def hot_exchanges(plan: str) -> list[str]:
@@ -45,7 +45,8 @@ def hot_exchanges(plan: str) -> list[str]:
 @pytest.mark.parametrize(
     "name",
     ["M2_stabilize", "M3_class_calibration", "M4_convert_rating", "M5_target_mean", "M6_historical_prior",
-     "M18_backtest", "A19_backtest_metrics", "W12_capped_weights", "W13_weighted_median"],
+     "M18_backtest", "A19_backtest_metrics", "W12_capped_weights", "W13_weighted_median",
+     "M9_team_roster", "J13_J14_roster_vetoes"],
 )
 def test_no_row_is_dealt_by_season_cutoff_class_or_edge(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -134,6 +135,17 @@ def test_lookup_values_null_keys_and_bound(spark):
         rows.withColumn("v", lookup(small, ["a", "b"], F.col("v"), max_rows=500)("a", "b")).collect()
 
 
+def test_dealt_join_equals_the_plain_join(spark):
+    """A hot key, a key without a partner, NULL keys, several rows a key on the small side."""
+    rows = spark.range(500).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 5).alias("k"), "id"
+    )
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (9, "e")], "k long, v string")
+    for how in ("inner", "left"):
+        got = dealt_join(rows, few, ["k"], ["id"], how).select("k", "id", "v").collect()
+        assert sorted(got, key=str) == sorted(rows.join(few, "k", how).select("k", "id", "v").collect(), key=str)
+
+
 @pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
 def test_positions_and_running_sums_equal_brute_force(spark, by):
     rng = random.Random(11)
