@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..lineage import new_path
+from ..lineage import cut_lineage, new_path
 from ..operators import diffs as D
 from ..operators import events as E
 from ..operators.identity import resolve_teams
@@ -221,15 +221,22 @@ def _fixtures(spark, d):
 
 def _event_teams(spark, d):
     nation = table(spark, d, "nation")
-    clubs = nation.where(F.col("n_nationkey") % 5 != 0).select(
-        F.col("n_nationkey").cast("string").alias("number"),
-        # A trailing number would read as a team number, so the club carries it as part of its name.
-        F.col("n_name").alias("name"),
+    key = F.col("n_nationkey")
+    clubs = nation.select(
+        key.cast("string").alias("number"),
+        # Every fifth club has a name that no team bears, so its teams stay unresolved. A trailing
+        # number would read as a team number, so the club carries it as part of its name.
+        F.when(key % 5 == 0, F.concat(F.lit("Umland "), "n_name")).otherwise(F.col("n_name")).alias("name"),
     )
     names = nation.select(F.col("n_name").alias("team"))
     return resolve_teams(names, clubs)
 
 
+def _event_sources(spark, d):
+    """Fixtures and resolved teams, written once for all states and events made of them."""
+    return cut_lineage(_fixtures(spark, d), "fixtures"), cut_lineage(_event_teams(spark, d), "teams")
+
+
 @query("C1_team_events", with_ctes(_FIXTURES_SQL) + """
 SELECT CAST(o_orderkey AS VARCHAR) AS round_name, 'club-' || tk || '-team-1' AS team_id, team_name,
   opponent, is_home, strftime(starts_at, '%Y-%m-%d') AS day FROM known""")
@@ -240,11 +247,10 @@ def _events(spark, d):
     )
 
 
-def _previous_state(spark, d):
+def _previous_state(fixtures, teams):
     """State before the run: everything but the unspecified orders; urgent ones are cancelled."""
-    fixtures = _fixtures(spark, d)
     kept = fixtures.where(F.col("priority") != "4-NOT SPECIFIED")
-    events = E.team_events(kept, _event_teams(spark, d))
+    events = E.team_events(kept, teams)
     urgent = fixtures.where(F.col("priority") == "1-URGENT").select("round_name").withColumn("_u", F.lit(True))
     marked = events.join(urgent, "round_name", "left").withColumn(
         "status", F.when(F.col("_u"), E.CANCELLED).otherwise(F.col("status"))
@@ -256,18 +262,18 @@ def _previous_state(spark, d):
     )
 
 
-def _run_events(spark, d):
+def _run_events(fixtures, teams):
     """Events of the run: urgent and low orders are gone, high ones moved by a day."""
-    fixtures = _fixtures(spark, d).where(~F.col("priority").isin("1-URGENT", "5-LOW"))
+    fixtures = fixtures.where(~F.col("priority").isin("1-URGENT", "5-LOW"))
     moved = F.when(
         F.col("priority") == "2-HIGH", F.col("starts_at") + F.expr("INTERVAL '1' DAY")
     ).otherwise(F.col("starts_at"))
-    return E.team_events(fixtures.withColumn("starts_at", moved), _event_teams(spark, d))
+    return E.team_events(fixtures.withColumn("starts_at", moved), teams)
 
 
-def _merged(spark, d):
+def _merged(fixtures, teams):
     return E.merge_state(
-        _previous_state(spark, d), _run_events(spark, d), F.lit("2000-2001"), F.lit("now")
+        _previous_state(fixtures, teams), _run_events(fixtures, teams), F.lit("2000-2001"), F.lit("now")
     )
 
 
@@ -281,14 +287,13 @@ SELECT CAST(o_orderkey AS VARCHAR) AS round_name, 'club-' || tk || '-team-1' AS
 
 @query("C2_merge_state", with_ctes(_FIXTURES_SQL) + _MERGED_SQL)
 def _merge(spark, d):
-    return _merged(spark, d).select("round_name", "team_id", "status", "sequence", "last_modified")
+    return _merged(*_event_sources(spark, d)).select("round_name", "team_id", "status", "sequence", "last_modified")
 
 
 @query("C2_merge_state_twice", with_ctes(_FIXTURES_SQL) + _MERGED_SQL)
 def _merge_twice(spark, d):
-    again = E.merge_state(
-        _merged(spark, d), _run_events(spark, d), F.lit("2000-2001"), F.lit("later")
-    )
+    sources = _event_sources(spark, d)
+    again = E.merge_state(_merged(*sources), _run_events(*sources), F.lit("2000-2001"), F.lit("later"))
     return again.select("round_name", "team_id", "status", "sequence", "last_modified")
 
 
@@ -307,23 +312,24 @@ WHERE pr NOT IN ('1-URGENT', '5-LOW') AND starts_at + to_days(CASE WHEN pr = '2-
   >= TIMESTAMP '1999-01-01'""")
 def _future(spark, d):
     now = F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00"))
-    return E.future_events(_merged(spark, d), now).select("round_name", "team_name")
+    return E.future_events(_merged(*_event_sources(spark, d)), now).select("round_name", "team_name")
 
 
 @query("A22_event_index", with_ctes(_FIXTURES_SQL) + """
 SELECT 'club-' || tk || '-team-1' AS team_id, max(team_name) AS name, count(*) AS events,
   CAST(sum(CASE WHEN pr = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM known GROUP BY 1""")
 def _index(spark, d):
-    teams = E.feed_teams(_fixtures(spark, d), _event_teams(spark, d))
-    return E.event_index(_merged(spark, d), teams)
+    sources = _event_sources(spark, d)
+    return E.event_index(_merged(*sources), E.feed_teams(*sources))
 
 
 @query("Q16_check_state", with_ctes(_FIXTURES_SQL) + """
 SELECT CAST(o_orderkey AS VARCHAR) AS round_name, 'club-' || tk || '-team-1' AS team_id,
   CAST(1 AS INTEGER) AS failed FROM known WHERE pr IN ('3-MEDIUM', '5-LOW')""")
 def _check_state(spark, d):
-    state = _previous_state(spark, d)
-    kind = _fixtures(spark, d).select("round_name", "priority")
+    fixtures, teams = _event_sources(spark, d)
+    state = cut_lineage(_previous_state(fixtures, teams), "state")
+    kind = fixtures.select("round_name", "priority")
     broken = (
         state.join(kind, "round_name")
         .withColumn("opponent", F.when(F.col("priority") == "3-MEDIUM", "?").otherwise(F.col("opponent")))
@@ -340,9 +346,10 @@ def _check_state(spark, d):
 SELECT 'club-' || tk || '-team-1' AS team_id, CASE WHEN tk % 4 = 1 THEN 'event count'
   ELSE 'no feed' END AS reason FROM known WHERE tk % 4 IN (1, 2) GROUP BY 1, 2""")
 def _check_index(spark, d):
-    teams = E.feed_teams(_fixtures(spark, d), _event_teams(spark, d))
-    state = _merged(spark, d)
-    number = F.split_part("team_id", F.lit("-"), F.lit(2)).cast("int") % 4
+    sources = _event_sources(spark, d)
+    teams = E.feed_teams(*sources)
+    state = cut_lineage(_merged(*sources), "state")
+    number = F.split_part("team_id", F.lit("-"), F.lit(2)).try_cast("int") % 4
     index = E.event_index(state, teams).withColumn(
         "events", F.when(number == 1, F.col("events") + 1).otherwise(F.col("events"))
     )
