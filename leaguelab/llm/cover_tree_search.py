@@ -12,14 +12,15 @@ for the points q, p and covering radii R of the two nodes, and a pair is dropped
 the worst k-th score of the queries under q.
 
 Two rounds: every query first searches one shard of its own centre, which gives it a k-th score;
-then each group searches all shards of all centres whose bound reaches its worst k-th score. Shards
-and queries meet by an equi join on the centres that are left; a shard meets all queries that ask
-for it at once, in blocks of bounded size, so its tree is built once for each block. The top level
-itself only saves work: no row is ever left out, and recall is 1.
+then each group searches all shards of all centres whose bound reaches its worst k-th score. Queries
+of one centre form blocks of bounded size, and the pairs of block and shard are the bounds' result: a
+shard's vectors go to the blocks that ask for it and to no others. The top level itself only saves
+work: no row is ever left out, and recall is 1.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor do
-vectors whose length is not the most common one (the smaller of equally common ones); a query never
-finds rows of its own id; ties go to smaller ids; fewer than k other rows give fewer results; rows
+vectors whose length is not the most common one of the data (the smaller of equally common ones); if
+norms allow inner products of 2**53 or more, which doubles do not hold exactly, the search raises
+ValueError before it starts; a query never finds rows of its own id; ties go to smaller ids; fewer than k other rows give fewer results; rows
 of repeated ids are candidates each, and a repeated query id is one query, the one of its smallest
 vector; null ids are neither queries nor candidates; an empty table gives an empty result; other
 columns are ignored, whatever their names are.
@@ -27,17 +28,19 @@ columns are ignored, whatever their names are.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parts_for, written
+from .shared import written
 
 # Norms and bounds are floating point; this slack keeps them on the safe side.
 _SLACK = 1e-6
+MAX_PRODUCT = 2.0**53  # doubles hold whole numbers below this
 
 
 @dataclass
@@ -168,19 +171,31 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
             waiting.extend((kid, p) for kid in q_kids)
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v (array of longs) of the rows that take part."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")))
+def quantised(
+    df: DataFrame, id_col: str, vector_col: str, scale: int, width: int | None = None
+) -> tuple[DataFrame, int, float]:
+    """id, v (array of longs) of the rows that take part, their width and a bound of their norms.
+
+    The width is the most common one, unless it is given.
+    """
+    scaled = F.transform(F.col(vector_col), lambda x: F.lit(float(scale)) * x.cast("double"))
     fine = F.forall(
         F.col(vector_col),
         lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")),
     )
     rows = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(fine).select(
-        F.col(id_col).cast("long").alias("id"), v.cast("array<long>").alias("v")
+        F.col(id_col).cast("long").alias("id"),
+        F.transform(scaled, lambda x: F.floor(x)).cast("array<long>").alias("v"),
+        F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
     )
     rows = written(rows, "vectors")
-    width = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    return rows.where(F.size("v") == (width["w"] if width else 0))
+    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.max("norm").alias("norm"))
+    if width is not None:
+        widths = widths.where(F.col("w") == width)
+    most = widths.orderBy(F.desc("n"), "w").first()
+    width, norm = (most["w"], most["norm"]) if most else (width or 0, 0.0)
+    # A floor moves a component by less than one.
+    return rows.where(F.size("v") == width).select("id", "v"), width, norm + math.sqrt(width)
 
 
 def _centers(rows: DataFrame, count: int, sample: int) -> np.ndarray:
@@ -222,6 +237,19 @@ def _sharded(rows: DataFrame, size: int, name: str) -> DataFrame:
     )
 
 
+def _block(group: Column, group_rows: int, block_rows: int) -> Column:
+    """Block of a group: as many groups of one centre as hold about ``block_rows`` queries."""
+    part, per_block = F.pmod(group, F.lit(1 << 32)), max(1, block_rows // group_rows)
+    return group - part + F.floor(part / per_block)
+
+
+def wanted_pairs(near: DataFrame, shard_of: DataFrame, own: DataFrame) -> DataFrame:
+    """``(block, shard)`` of the shards that some group of a block has to search, its first one left
+    out. Only these copies of a shard's vectors are made."""
+    pairs = near.select("block", "center").distinct().join(shard_of, "center").select("block", "shard")
+    return pairs.join(own.withColumnRenamed("first", "shard"), ["block", "shard"], "left_anti")
+
+
 def _searched(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """Best k of each query of a pair, over the rows of a shard. Both sides hold ``pair``."""
 
@@ -267,13 +295,15 @@ def top_k(
     ``sample`` bounds the rows the centres are chosen from; ``shard_rows`` and ``block_rows`` bound the
     rows and the queries that a task holds, ``group_rows`` the queries that are pruned together.
     """
-    data = quantised(df, id_col, vector_col, scale)
+    data, width, data_norm = quantised(df, id_col, vector_col, scale)
+    asked, _, asked_norm = quantised(queries, id_col, vector_col, scale, width)
+    if data_norm * asked_norm >= MAX_PRODUCT:
+        raise ValueError(f"inner products of {data_norm * asked_norm:g} and more are not exact")
     middle = _centers(data, centers, sample)
     if not len(middle):
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     data = written(_sharded(_assigned(data, middle), shard_rows, "shard"), "data-shards")
-    asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.where(F.size("v") == middle.shape[1])
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     asked = written(_sharded(_assigned(asked, middle), group_rows, "group"), "query-groups")
     # Round one: a shard of the own centre (any, if the centre has none).
     shards = data.groupBy("center").agg(F.min("shard").alias("shard"), F.max("far").alias("radius"))
@@ -281,13 +311,9 @@ def top_k(
     any_shard = min(s for s, _ in shards.values())
     own = F.create_map(*[F.lit(x) for c, (s, _) in shards.items() for x in (c, s)])
     first = F.coalesce(own[F.col("center")], F.lit(any_shard))
-    # A block of queries and a shard meet in one task.
-    blocks = parts_for(asked.count(), block_rows)
-    asked = asked.withColumns(
-        {"block": F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)), "first": first}
-    )
+    # A block, some groups of one centre, and a shard meet in one task.
+    asked = asked.withColumns({"block": _block(F.col("group"), group_rows, block_rows), "first": first})
     pair = F.struct("block", "shard").alias("pair")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     lowest = -(1 << 62)
     firsts = asked.select(F.col("first").alias("shard"), "block").distinct()
     seen = written(
@@ -329,11 +355,14 @@ def top_k(
         "near-centres",
     )
     shard_of = data.select("center", "shard").distinct()
+    near = near.withColumn("block", _block(F.col("group"), group_rows, block_rows))
+    own_shard = asked.select("block", "first").distinct()
+    wanted = wanted_pairs(near, shard_of, own_shard)
     more = _searched(
-        asked.select("group", "block", "first", "id", "v", "kth")
+        asked.select("group", "first", "id", "v", "kth")
         .join(near, "group").join(shard_of, "center").where("shard <> first")
         .select(pair, "id", "v", "kth"),
-        data.select("shard", "id", "v", every_block).select(pair, "id", "v"), k,
+        data.join(wanted, "shard").select(pair, "id", "v"), k,
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -135,6 +135,37 @@ def test_search_small_tables(spark):
     assert [tuple(r) for r in cts.top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 128 * 256 + 128 * 512)]
 
 
+def test_search_takes_the_width_of_the_data(spark):
+    """Most queries have another width than the data: the others still find all their rows."""
+    shape = "vec_id long, embedding array<double>"
+    rows = [(n, [float(n), 1.0]) for n in range(10)] + [(n, [1.0, 2.0, 3.0]) for n in range(10, 13)]
+    df = spark.createDataFrame(rows, shape)
+    got = cts.top_k(df, df.where("vec_id IN (0, 10, 11)"), k=20, scale=1).collect()
+    assert sorted((r["vec_id"], r["score"]) for r in got) == [(n, 1) for n in range(1, 10)]
+
+
+def test_search_raises_beyond_exact_products(spark):
+    shape = "vec_id long, embedding array<double>"
+    for big in (1e30, 1e200, 2.0**26):
+        df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0]), (2, [0.0, 0.5])], shape)
+        with pytest.raises(ValueError, match="exact"):
+            cts.top_k(df, df)
+    df = spark.createDataFrame([(0, [2.0**17, 1.0]), (1, [2.0**17, 2.0])], shape)
+    assert sorted(r["score"] for r in cts.top_k(df, df).collect()) == [2**50 + 2 * 2**16] * 2
+
+
+def test_shards_go_to_the_blocks_that_ask(spark):
+    """Two far clusters: no block of one asks for the other's shards, and a block is asked for once."""
+    near = spark.createDataFrame([(b, c) for b in range(6) for c in [b % 2] * 3], "block long, center int")
+    shard_of = spark.createDataFrame([(s % 2, s) for s in range(10)], "center int, shard long")
+    own = spark.createDataFrame([(b, b % 2) for b in range(6)], "block long, first long")
+    got = sorted(tuple(r) for r in cts.wanted_pairs(near, shard_of, own).collect())
+    assert got == [(b, s) for b in range(6) for s in range(10) if s % 2 == b % 2 and s != b % 2]
+    groups = spark.range(8).select((F.col("id") + (1 << 32) * 3).alias("g"))
+    blocks = [r[0] - (3 << 32) for r in groups.select(cts._block(F.col("g"), 2, 6)).collect()]
+    assert blocks == [0, 0, 0, 1, 1, 1, 2, 2]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6))
 def test_dual_trees_prune_nothing_needed(seed):
