@@ -13,7 +13,7 @@ the worst k-th score of the queries under q.
 
 Two rounds: every query first searches one shard of its own centre, which gives it a k-th score;
 then each group searches all shards of all centres whose bound reaches its worst k-th score. Queries
-of one centre form blocks of bounded size, and the pairs of block and shard are the bounds' result: a
+of one centre (of some, if they have few) form blocks of bounded size, and the pairs of block and shard are the bounds' result: a
 shard's vectors go to the blocks that ask for it and to no others. The top level itself only saves
 work: no row is ever left out, and recall is 1.
 
@@ -237,17 +237,33 @@ def _sharded(rows: DataFrame, size: int, name: str) -> DataFrame:
     )
 
 
-def _block(group: Column, group_rows: int, block_rows: int) -> Column:
-    """Block of a group: as many groups of one centre as hold about ``block_rows`` queries."""
+def shared_blocks(counts: dict[int, int], block_rows: int) -> dict[int, int]:
+    """Block of each centre with fewer than ``block_rows`` queries: such centres share blocks."""
+    blocks, held, block = {}, 0, 0
+    for center, n in sorted(counts.items()):
+        if n < block_rows:
+            if held + n > block_rows:
+                held, block = 0, block + 1
+            blocks[center], held = -1 - block, held + n
+    return blocks
+
+
+def _block(group: Column, shared: dict[int, int], group_rows: int, block_rows: int) -> Column:
+    """Block of a group: as many groups of one centre as hold about ``block_rows`` queries, or the
+    block that its centre shares."""
     part, per_block = F.pmod(group, F.lit(1 << 32)), max(1, block_rows // group_rows)
-    return group - part + F.floor(part / per_block)
+    own = group - part + F.floor(part / per_block)
+    if not shared:
+        return own
+    places = F.create_map(*[F.lit(x).cast("long") for pair in shared.items() for x in pair])
+    return F.coalesce(places[F.shiftright(group, 32)], own)
 
 
-def wanted_pairs(near: DataFrame, shard_of: DataFrame, own: DataFrame) -> DataFrame:
-    """``(block, shard)`` of the shards that some group of a block has to search, its first one left
-    out. Only these copies of a shard's vectors are made."""
-    pairs = near.select("block", "center").distinct().join(shard_of, "center").select("block", "shard")
-    return pairs.join(own.withColumnRenamed("first", "shard"), ["block", "shard"], "left_anti")
+def wanted_pairs(near: DataFrame, shard_of: DataFrame) -> DataFrame:
+    """``(block, shard)`` of the shards that some group of a block has to search, beside its first
+    one. Only these copies of a shard's vectors are made."""
+    pairs = near.select("block", "first", "center").distinct().join(shard_of, "center")
+    return pairs.where("shard <> first").select("block", "shard").distinct()
 
 
 def _searched(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -311,8 +327,10 @@ def top_k(
     any_shard = min(s for s, _ in shards.values())
     own = F.create_map(*[F.lit(x) for c, (s, _) in shards.items() for x in (c, s)])
     first = F.coalesce(own[F.col("center")], F.lit(any_shard))
-    # A block, some groups of one centre, and a shard meet in one task.
-    asked = asked.withColumns({"block": _block(F.col("group"), group_rows, block_rows), "first": first})
+    # A block, whole groups of one centre or all of some small ones, and a shard meet in one task.
+    counts = {r["center"]: r["n"] for r in asked.groupBy("center").agg(F.count("*").alias("n")).collect()}
+    block = _block(F.col("group"), shared_blocks(counts, block_rows), group_rows, block_rows)
+    asked = asked.withColumns({"block": block, "first": first})
     pair = F.struct("block", "shard").alias("pair")
     lowest = -(1 << 62)
     firsts = asked.select(F.col("first").alias("shard"), "block").distinct()
@@ -343,23 +361,21 @@ def top_k(
         for m in range(len(middle))
     ]
     norm = F.array(*[F.lit(float(x)) for x in norms])[F.col("center")]
-    groups = asked.groupBy("group", "center").agg(F.max("far").alias("far"), F.min("kth").alias("kth"))
+    groups = asked.groupBy("group", "center", "block", "first").agg(F.max("far").alias("far"), F.min("kth").alias("kth"))
     bound = (
         F.col("c.product") + norm * F.col("c.radius") + F.col("c.norm") * F.col("far")
         + F.col("far") * F.col("c.radius")
     )
     near = written(
-        groups.select("group", "center", "far", "kth", F.explode(F.array(*rows)[F.col("center")]).alias("c"))
+        groups.select("group", "center", "block", "first", "far", "kth", F.explode(F.array(*rows)[F.col("center")]).alias("c"))
         .where(bound + F.abs(bound) * _SLACK + 1e-3 >= F.col("kth"))
-        .select("group", F.col("c.center").alias("center")),
+        .select("group", "block", "first", F.col("c.center").alias("center")),
         "near-centres",
     )
     shard_of = data.select("center", "shard").distinct()
-    near = near.withColumn("block", _block(F.col("group"), group_rows, block_rows))
-    own_shard = asked.select("block", "first").distinct()
-    wanted = wanted_pairs(near, shard_of, own_shard)
+    wanted = wanted_pairs(near, shard_of)
     more = _searched(
-        asked.select("group", "first", "id", "v", "kth")
+        asked.select("group", "id", "v", "kth")
         .join(near, "group").join(shard_of, "center").where("shard <> first")
         .select(pair, "id", "v", "kth"),
         data.join(wanted, "shard").select(pair, "id", "v"), k,

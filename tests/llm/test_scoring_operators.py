@@ -155,15 +155,24 @@ def test_search_raises_beyond_exact_products(spark):
 
 
 def test_shards_go_to_the_blocks_that_ask(spark):
-    """Two far clusters: no block of one asks for the other's shards, and a block is asked for once."""
-    near = spark.createDataFrame([(b, c) for b in range(6) for c in [b % 2] * 3], "block long, center int")
+    """Two far clusters: no block of one asks for the other's shards, and a pair is asked for once."""
+    near = spark.createDataFrame(
+        [(b, b % 2, c) for b in range(6) for c in [b % 2] * 3], "block long, first long, center int"
+    )
     shard_of = spark.createDataFrame([(s % 2, s) for s in range(10)], "center int, shard long")
-    own = spark.createDataFrame([(b, b % 2) for b in range(6)], "block long, first long")
-    got = sorted(tuple(r) for r in cts.wanted_pairs(near, shard_of, own).collect())
+    got = sorted(tuple(r) for r in cts.wanted_pairs(near, shard_of).collect())
     assert got == [(b, s) for b in range(6) for s in range(10) if s % 2 == b % 2 and s != b % 2]
+    # A block of two centres asks for the first shard of each for the queries of the other.
+    mixed = spark.createDataFrame([(7, 0, 1), (7, 1, 0)], "block long, first long, center int")
+    assert sorted(r["shard"] for r in cts.wanted_pairs(mixed, shard_of).collect()) == list(range(10))
+
+
+def test_blocks_of_queries(spark):
+    assert cts.shared_blocks({0: 5, 1: 40, 2: 3, 3: 4, 4: 10}, 10) == {0: -1, 2: -1, 3: -2}
     groups = spark.range(8).select((F.col("id") + (1 << 32) * 3).alias("g"))
-    blocks = [r[0] - (3 << 32) for r in groups.select(cts._block(F.col("g"), 2, 6)).collect()]
-    assert blocks == [0, 0, 0, 1, 1, 1, 2, 2]
+    own = [r[0] - (3 << 32) for r in groups.select(cts._block(F.col("g"), {2: -1}, 2, 6)).collect()]
+    assert own == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert {r[0] for r in groups.select(cts._block(F.col("g"), {3: -2}, 2, 6)).collect()} == {-2}
 
 
 @settings(max_examples=40, deadline=None)
