@@ -17,6 +17,7 @@ their own; an empty table gives an empty result; other columns are ignored, what
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 
 import numpy as np
@@ -134,12 +135,14 @@ def pack_pieces(
     pieces: DataFrame,
     capacity: int = 1024,
     part_rows: int = 50_000,
-    max_rounds: int = 4,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """``pieces`` (row, piece, length and any other columns) with sequence_id and offset; ``row +
     piece`` differs between any two pieces.
 
-    ``part_rows`` bounds the pieces that one task packs. Sequence numbers are unique, not dense.
+    ``part_rows`` bounds the pieces that one task packs. Sequence numbers are unique, not dense. Rounds
+    go on until all parts are certified, one part is left or an exchange saves nothing; each saves a
+    window at least. ``max_rounds`` ends them earlier.
     """
     spark = pieces.sparkSession
     pieces = pieces.withColumn("_key", F.xxhash64("row", "piece"))
@@ -157,11 +160,11 @@ def pack_pieces(
     counts = {r["length"]: r["n"] for r in waiting.groupBy("length").agg(F.count("*").alias("n")).collect()}
     bound = dual_feasible_bound(_counts_of(counts, capacity), capacity)
     count, kept_windows, before = sum(counts.values()), 0, None
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         if not count:
             break
         parts = parts_for(count, part_rows)
-        last_turn = turn == max_rounds - 1 or parts == 1
+        last_turn = turn + 1 == max_rounds or parts == 1
 
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True])
@@ -189,7 +192,7 @@ def pack_pieces(
 
         # Negative numbers, so that they never meet those of whole windows.
         number = -(
-            (F.lit(turn).cast("long") * (1 << 58)) + F.col("part") * (1 << 24) + F.col("window") + 1
+            F.lit(turn << 50) + F.col("part") * (1 << 24) + F.col("window") + 1
         )
         packed = written(
             waiting.withColumn("_part", F.pmod(F.xxhash64("_key", F.lit(turn)), F.lit(parts)))

@@ -115,9 +115,10 @@ def test_exchange_between_parts_saves_windows(spark, kind):
     pieces = spark.createDataFrame(rows, bfp.PIECES)
     bound = bfp.dual_feasible_bound(np.bincount(lengths, minlength=101), 100)
     alone = bfp.pack_pieces(pieces, 100, part_rows=60, max_rounds=1)
+    four = bfp.pack_pieces(pieces, 100, part_rows=60, max_rounds=4)
     shared = bfp.pack_pieces(pieces, 100, part_rows=60)
-    counts = [x.select("sequence_id").distinct().count() for x in (alone, shared)]
-    assert bound <= counts[1] <= counts[0]
+    counts = [x.select("sequence_id").distinct().count() for x in (alone, shared, four)]
+    assert bound <= counts[1] <= counts[2] <= counts[0]
     if kind == "pairs":
         assert counts[1] < counts[0]
     assert shared.count() == 3000
