@@ -8,6 +8,8 @@ word that is not in the memo.
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import os
 import re
@@ -23,6 +25,8 @@ _OTHER_BLANKS = [c for c in map(chr, range(0x10000)) if c not in " \n" and re.ma
 # Signs that often end a word.
 _ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 MEMO_BYTES, _ENTRY_BYTES = 120 << 20, 200
+# One piece of the byte-level pattern, in letters that no version of Unicode treats otherwise.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 # From here on, lower-casing and composing may not be exchanged.
 _MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
@@ -34,6 +38,16 @@ def _has_run(text: str) -> bool:
     return _TWO.search(text) is not None
 
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in seen else next(rest)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Encodes whole texts to packed little-endian unsigned 32-bit ids.
 
@@ -62,6 +76,12 @@ class WordEncoder:
         self.old: dict[str, dict] = {"": {}, " ": {}}
         self.lower_first = not self.blank_kept and "Lowercase" in str(spec["normalizer"])
         self.tails: dict[str, bytes] = {}
+        # The plain byte-level form cuts no word of letters and has nothing else to do for it.
+        cut = spec["pre_tokenizer"]
+        self.plain = (
+            spec["normalizer"] is None and cut["type"] == "ByteLevel" and cut["use_regex"]
+            and not cut["add_prefix_space"] and spec["model"]["type"] == "BPE"
+        )
 
     def _has_special(self, text: str) -> bool:
         # Most texts have not even the first character of one.
@@ -71,33 +91,50 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _letters(self, prefix: str, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, from the library's merges alone; all bytes are mapped at once."""
+        lines = "".join([f"{prefix}{w}\n" for w in words]).encode()
+        pieces = codecs.charmap_decode(lines, "strict", _BYTE_LETTERS)[0].split(_BYTE_LETTERS[10])
+        merged = self.tokenizer.model.tokenize
+        ids, ends = [], [0]
+        for piece in pieces[:-1]:
+            ids += [t.id for t in merged(piece)]
+            ends.append(4 * len(ids))
+        packed = np.asarray(ids, dtype="<u4").tobytes()
+        return [packed[a:b] for a, b in itertools.pairwise(ends)]
+
     def _fill(self, prefix: str, words: set) -> None:
-        """Put words that are not among the young there."""
-        young, old = self.young[prefix], self.old[prefix]
+        """Put words among the young."""
+        young = self.young[prefix]
         if len(young) > self.memo_words:
-            old = self.old[prefix] = young
-            young = self.young[prefix] = {}
-        stems, fresh = {}, set()
-        for w in words:
-            if w in old:
-                young[w] = old[w]
-                continue
+            self.old[prefix], self.young[prefix] = young, {}
+            young = self.young[prefix]
+        old = self.old[prefix]
+        missing = words.difference(young)
+        new = missing.difference(old)
+        for w in missing - new:
+            young[w] = old[w]
+        stems, fresh = [], set()
+        for w in new:
             stem = w.rstrip(_ENDS)
             if len(stem) < len(w) and stem[-1:].isalnum() and stem[-1] != "\u0130":
                 # A letter or digit and the signs after it are never in one piece. (The one letter
                 # that ends in a sign when it is lower-cased is left out.)
-                stems[w] = stem
+                stems.append((w, stem))
                 if stem in old:
                     young[stem] = old[stem]
                 elif stem not in young:
                     fresh.add(stem)
             else:
                 fresh.add(w)
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            young.update(zip(some, self._raw([prefix + w for w in some])))
-        for w, stem in stems.items():
+        of_letters = list(filter(_LETTERS.fullmatch, fresh)) if self.plain else []
+        others = list(fresh.difference(of_letters))
+        for some in _by_number(of_letters):
+            young.update(zip(some, self._letters(prefix, some)))
+        for some in _by_number(others):
+            # A line end takes the place of the prefix.
+            young.update(zip(some, self._raw([w if w[:1] == "\n" else prefix + w for w in some])))
+        for w, stem in stems:
             tail = w[len(stem) :]
             if tail not in self.tails:
                 if len(self.tails) > 10_000:
@@ -121,49 +158,42 @@ class WordEncoder:
                 cut = len(run) - bool(part)
                 out.append(("", [run[:cut]]))
                 part = run[cut:] + part
-            for n, line in enumerate(part.split("\n")):
-                if n:
-                    out.append(("", ["\n"]))
-                words = line.split(" ")
-                if words[0]:
-                    out.append(("", words[:1]))
-                if len(words) > 1:
-                    out.append((" ", words[1:]))
+            # The first word of a line comes with the line end before it, the others with a blank.
+            words = part.replace("\n", " \n").split(" ")
+            if words[0]:
+                out.append(("", words[:1]))
+            if len(words) > 1:
+                out.append((" ", words[1:]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Call with slices of bounded size."""
-        runs, unknown = [], {"": set(), " ": set()}
+        runs, words_of = [], {"": set(), " ": set()}
         for text in texts:
             of_text = []
             if not any(c in text for c in _ODD) and not self._has_special(text):
-                for prefix, words in self._chunks(text):
-                    ids = list(map(self.young[prefix].get, words))
-                    if None in ids:
-                        unknown[prefix].update(w for w, x in zip(words, ids) if x is None)
-                    of_text.append((prefix, words, ids))
+                of_text = self._chunks(text)
+                for prefix, words in of_text:
+                    words_of[prefix].update(words)
             runs.append(of_text)
-        # A full memo is renewed here; the words of these texts are then looked up again.
-        full = {p: len(self.young[p]) > self.memo_words for p in unknown}
-        for prefix, words in unknown.items():
-            if full[prefix]:
-                words = {w for of_text in runs for p, ws, _ in of_text if p == prefix for w in ws}
+        for prefix, words in words_of.items():
             self._fill(prefix, words)
+        ids_of = {prefix: young.__getitem__ for prefix, young in self.young.items()}
         out = []
         for text, of_text in zip(texts, runs):
-            if not of_text:
+            if of_text:
+                out.append(b"".join([b"".join(map(ids_of[prefix], words)) for prefix, words in of_text]))
+            else:
                 out.append(self._raw([text])[0])
-                continue
-            done = []
-            for prefix, words, ids in of_text:
-                if None in ids:
-                    of = self.young[prefix]
-                    ids = [of[w] if x is None else x for w, x in zip(words, ids)]
-                done.append(b"".join(ids))
-            out.append(b"".join(done))
         return out
 
 
+def _by_number(words: list[str], most: int = 4096):
+    """Parts of at most ``most`` words."""
+    for at in range(0, len(words), most):
+        yield words[at : at + most]
+
+
 def slices(texts: list[str], most: int = 500_000):
     """``(from, to)`` ranges of about ``most`` characters."""
     start = size = 0

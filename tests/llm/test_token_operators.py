@@ -34,6 +34,20 @@ def test_words_give_the_ids_of_whole_texts(path, texts):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("end", ["", "\n", "\n\n", " ", ", it's 42."])
+def test_words_of_letters_need_the_merges_only(end):
+    own, library = WordEncoder(BYTE), ENCODERS[BYTE][1]
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha()]
+    words = [a + b for a, b in zip(letters, reversed(letters))]
+    text = "first " + " ".join(words) + "\nline of ñandú,\n\nübrig" + end
+    cut, raw = [], own._raw
+    own._raw = lambda some: cut.extend(some) or raw(some)
+    got = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
+    # Only what the pattern may cut, or what stands behind a line end, goes through the whole library.
+    assert {"\nline", "\nübrig"} <= set(cut) and len(cut) < 20 < len(words)
+
+
 def ids_of(path, text):
     return np.array([*ENCODERS[path][1].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
