@@ -27,6 +27,15 @@ _ENDS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 MEMO_BYTES, _ENTRY_BYTES = 120 << 20, 200
 # One piece of the byte-level pattern, in letters that no version of Unicode treats otherwise.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+# The normalizer and the cut of the public word tokenizer, as its file states them.
+_LOWERED = str({"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]})
+_BY_LETTERS = str({
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed", "invert": True,
+})
 # From here on, lower-casing and composing may not be exchanged.
 _MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
@@ -76,12 +85,16 @@ class WordEncoder:
         self.old: dict[str, dict] = {"": {}, " ": {}}
         self.lower_first = not self.blank_kept and "Lowercase" in str(spec["normalizer"])
         self.tails: dict[str, bytes] = {}
-        # The plain byte-level form cuts no word of letters and has nothing else to do for it.
-        cut = spec["pre_tokenizer"]
-        self.plain = (
-            spec["normalizer"] is None and cut["type"] == "ByteLevel" and cut["use_regex"]
-            and not cut["add_prefix_space"] and spec["model"]["type"] == "BPE"
-        )
+        # These two forms cut no word of letters and have nothing else to do for it, if it is in lower
+        # case where they lower it.
+        cut, by_words = spec["pre_tokenizer"], str(spec["normalizer"]) == _LOWERED
+        parts = [cut] if cut["type"] == "ByteLevel" else cut.get("pretokenizers", [])
+        plain = spec["model"]["type"] == "BPE" and not any(x.get("add_prefix_space") for x in parts)
+        self.of_letters = None
+        if plain and spec["normalizer"] is None and len(parts) == 1 and cut.get("use_regex"):
+            self.of_letters = _LETTERS.fullmatch
+        elif plain and by_words and len(parts) == 2 and str(parts[0]) == _BY_LETTERS and not parts[1].get("use_regex", True):
+            self.of_letters = lambda w: w.islower() and _LETTERS.fullmatch(w)
 
     def _has_special(self, text: str) -> bool:
         # Most texts have not even the first character of one.
@@ -127,7 +140,7 @@ class WordEncoder:
                     fresh.add(stem)
             else:
                 fresh.add(w)
-        of_letters = list(filter(_LETTERS.fullmatch, fresh)) if self.plain else []
+        of_letters = list(filter(self.of_letters, fresh)) if self.of_letters else []
         others = list(fresh.difference(of_letters))
         for some in _by_number(of_letters):
             young.update(zip(some, self._letters(prefix, some)))

@@ -48,6 +48,19 @@ def test_words_of_letters_need_the_merges_only(end):
     assert {"\nline", "\nübrig"} <= set(cut) and len(cut) < 20 < len(words)
 
 
+def test_lower_case_words_need_the_merges_only():
+    own, library = WordEncoder(WORD), ENCODERS[WORD][1]
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha() and c != 0x130]
+    text = " ".join(a + b for a, b in zip(letters, reversed(letters)))
+    cut, raw = [], own._raw
+    own._raw = lambda some: cut.extend(some) or raw(some)
+    for t in (text, text + " a\u0301 \u0130I"):  # the marks keep the capitals for the library
+        got = np.frombuffer(own.encode([t])[0], "<u4").tolist()
+        assert got == library.encode(t, add_special_tokens=False).ids
+        if t is text:
+            assert len(cut) < 40 < len(letters)
+
+
 def ids_of(path, text):
     return np.array([*ENCODERS[path][1].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
