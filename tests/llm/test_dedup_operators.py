@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -270,6 +273,72 @@ def test_intervals_find_repeats(texts, length, data):
         assert got == {s for s in range(len(r) - length + 1) if counts[r[s : s + length]] > 1}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abé", max_size=60), max_size=6), st.integers(4, 20))
+def test_runs_of_many_texts_at_once(texts, length):
+    data = [t.encode() for t in texts]
+    sizes = np.array([len(b) for b in data], dtype=np.int64)
+    got = [x.tolist() for x in suffix_dedup.window_runs(b"".join(data), sizes, length, 4)]
+    begins, want = np.cumsum(sizes) - sizes, []
+    for t, b in enumerate(data):
+        low = []
+        hashes = suffix_dedup.gram_hashes(b, 4).view(np.int64).tolist() if len(b) >= length else []
+        for s in range(len(b) - length + 1):
+            low.append(min(hashes[s : s + length - 3], key=lambda x: x % (1 << 64)))
+        for key, run in itertools.groupby(enumerate(low), key=lambda x: x[1]):
+            run = [s for s, _ in run]
+            own = hashes[run[0] : run[-1] + length - 3].count(key) > 1
+            want.append((key, t, int(begins[t]) + run[0], len(run), own))
+    assert list(zip(*got)) == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5)), min_size=1, max_size=40), st.integers(2, 9), st.booleans())
+def test_entries_sorted_within_classes(rows, slab, wide):
+    classes = np.array(sorted(c for c, _ in rows), dtype=np.int32)
+    after = np.array([a for _, a in rows], dtype=np.int32) << (28 if wide else 0)
+    with mock.patch.object(suffix_dedup, "_SLAB", slab):
+        got = suffix_dedup._sorted_within(classes, after)
+    assert got.tolist() == sorted(range(len(rows)), key=lambda i: (classes[i], after[i], i))
+
+
+def test_bucket_in_parts_of_whole_keys():
+    rng = np.random.default_rng(3)
+    rows, key_of = [], {}
+    for key in range(12):
+        data = bytes(rng.integers(97, 123, 60_000, dtype=np.uint8))
+        for c1, part in enumerate((data, data[: 100 + key], data[50:] + b"!")):
+            rows.append((key, 10 * key + c1, 0, 1, part))
+            key_of[part] = key
+    bucket = pd.DataFrame(rows, columns=["key", "c1", "c2", "weight", "data"]).sample(frac=1, random_state=1)
+    parts = []
+
+    def seen(runs, weights, length, do=suffix_dedup.repeated_windows):
+        parts.append(runs)
+        return do(runs, weights, length)
+
+    with mock.patch.object(suffix_dedup, "repeated_windows", seen):
+        found = suffix_dedup._bucket_repeats(40)(bucket).set_index("c1")["found"].to_dict()
+    # A part may go over its size by one key.
+    assert len(parts) > 1 and all(sum(map(len, p)) < suffix_dedup._PART + 130_000 for p in parts)
+    keys = [{key_of[r] for r in p} for p in parts]
+    assert sum(map(len, keys)) == len(set().union(*keys)) == 12
+    for key in range(12):
+        assert found[10 * key] == [[0, 59_961]]
+        assert found[10 * key + 1] == [[0, 61 + key]]
+        assert found[10 * key + 2] == [[0, 59_911]]
+
+
+def test_ended_strings_are_sorted_no_further():
+    # Equal ends of strings stay one class, whatever follows them in the text.
+    text = np.frombuffer(b"abcabcabc\0xbcabcabc\0yabc\0", dtype=np.uint8)
+    ends = np.flatnonzero(text == 0)
+    left = (ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))).astype(np.int32)
+    order, first = suffix_dedup.suffix_order(text, left, 16)
+    strings = [text[s : s + n].tobytes() for s, n in enumerate(left.tolist())]
+    assert [strings[s] for s in order] == sorted(strings)
+    assert first[text == 0].tolist() == [0, 0, 0] and len({int(first[s]) for s in (6, 16, 21)}) == 1
+
+
 @pytest.mark.parametrize("key_runs", [2000, 2])
 def test_repeats_against_brute_force(spark, key_runs):
     rng = random.Random(2)
