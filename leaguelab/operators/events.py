@@ -28,11 +28,11 @@ def event_fingerprint() -> Column:
     return fingerprint(*CONTENT)
 
 
-def team_events(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
+def team_events(fixtures: DataFrame, teams: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One confirmed event per resolved team of each fixture.
 
-    ``fixtures``: season, league, round_name, home, away, starts_at, location, location_warning.
-    ``teams``: team, team_id of resolved teams only.
+    ``fixtures``: season, league, round_name, home, away, starts_at, location, location_warning, and
+    the columns of ``keep``, which the events have too. ``teams``: team, team_id of resolved teams only.
     """
     side = lambda team, other, home: F.struct(
         F.col(team).alias("team_name"), F.col(other).alias("opponent"), F.lit(home).alias("is_home")
@@ -42,7 +42,7 @@ def team_events(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     )
     rows = rows.select(
         "season", "league", "round_name", "_s.*", F.col("home").alias("home_team"),
-        F.col("away").alias("away_team"), "starts_at", "location", "location_warning",
+        F.col("away").alias("away_team"), "starts_at", "location", "location_warning", *keep,
     )
     known = teams.where(F.col("team_id").rlike(r"^club-[0-9]+-team-[0-9]+$")).select(
         F.col("team").alias("team_name"), "team_id"
@@ -50,7 +50,7 @@ def team_events(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     events = rows.join(known, "team_name").withColumn("status", F.lit(CONFIRMED))
     uid = event_uid(F.col("season"), F.col("league"), F.col("round_name"), F.col("team_id"))
     return events.withColumn("uid", uid).withColumn("fingerprint", event_fingerprint()).select(
-        *CONTENT, "fingerprint"
+        *CONTENT, "fingerprint", *keep
     )
 
 
@@ -126,28 +126,38 @@ def event_index(state: DataFrame, teams: DataFrame) -> DataFrame:
     )
 
 
-def check_state(state: DataFrame) -> DataFrame:
-    """Rows that break the state contract, with their reasons.
+def check_state(state: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows that break the state contract, with their reasons and the columns of ``keep``.
 
-    The uid and the fingerprint are recomputed; uids are unique and one season is used.
+    The uid and the fingerprint are recomputed; uids are unique and one season is used. What a row
+    itself breaks is found where it is, so only that moves, by uid. Rows meet the counts of their uids
+    by a merge: both grow with the state, and Spark takes written hashes for smaller than they are.
     """
     uid = event_uid(F.col("season"), F.col("league"), F.col("round_name"), F.col("team_id"))
-    twice = state.groupBy("uid").agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    own = {
+        "uid": F.col("uid") == uid,
+        "fingerprint": F.col("fingerprint") == event_fingerprint(),
+        "status": F.col("status").isin(CONFIRMED, CANCELLED),
+        "sequence": F.col("sequence") >= 0,
+    }
+    rows = state.select(
+        "uid", "team_id", *keep,
+        *[F.coalesce(ok, F.lit(False)).alias(f"_{name}") for name, ok in own.items()],
+    )
+    twice = state.groupBy("uid").agg((F.count(F.lit(1)) > 1).alias("_twice")).where("_twice")
     seasons = state.agg(F.count_distinct("season")).scalar()
-    checked = state.join(twice, "uid").withColumn("_seasons", seasons)
+    checked = rows.join(twice.hint("merge"), "uid", "left").withColumn("_seasons", seasons)
     checks = [
-        (F.col("uid") == uid, "uid"),
-        (F.col("fingerprint") == event_fingerprint(), "fingerprint"),
-        (~F.col("_twice"), "duplicate uid"),
+        (F.col("_uid"), "uid"),
+        (F.col("_fingerprint"), "fingerprint"),
+        (F.col("_twice").isNull(), "duplicate uid"),
         (F.col("_seasons") == 1, "several seasons"),
-        (F.col("status").isin(CONFIRMED, CANCELLED), "status"),
-        (F.col("sequence") >= 0, "sequence"),
+        (F.col("_status"), "status"),
+        (F.col("_sequence"), "sequence"),
     ]
-    failed = F.array_compact(
-        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for ok, text in checks])
-    )
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(text)) for ok, text in checks]))
     return checked.withColumn("reasons", failed).where(F.size("reasons") > 0).select(
-        "uid", "team_id", "reasons"
+        "uid", "team_id", *keep, "reasons"
     )
 
 

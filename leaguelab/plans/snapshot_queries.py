@@ -247,18 +247,17 @@ def _events(spark, d):
     )
 
 
-def _previous_state(fixtures, teams):
+def _previous_state(fixtures, teams, keep=()):
     """State before the run: everything but the unspecified orders; urgent ones are cancelled."""
     kept = fixtures.where(F.col("priority") != "4-NOT SPECIFIED")
-    events = E.team_events(kept, teams)
-    urgent = fixtures.where(F.col("priority") == "1-URGENT").select("round_name").withColumn("_u", F.lit(True))
-    marked = events.join(urgent, "round_name", "left").withColumn(
-        "status", F.when(F.col("_u"), E.CANCELLED).otherwise(F.col("status"))
+    events = E.team_events(kept, teams, ["priority"])
+    marked = events.withColumn(
+        "status", F.when(F.col("priority") == "1-URGENT", E.CANCELLED).otherwise(F.col("status"))
     )
     return (
         marked.withColumn("fingerprint", E.event_fingerprint())
         .withColumn("sequence", F.lit(2)).withColumn("last_modified", F.lit("old"))
-        .select(*E.STATE)
+        .select(*E.STATE, *keep)
     )
 
 
@@ -327,17 +326,14 @@ def _index(spark, d):
 SELECT CAST(o_orderkey AS VARCHAR) AS round_name, 'club-' || tk || '-team-1' AS team_id,
   CAST(1 AS INTEGER) AS failed FROM known WHERE pr IN ('3-MEDIUM', '5-LOW')""")
 def _check_state(spark, d):
-    fixtures, teams = _event_sources(spark, d)
-    state = cut_lineage(_previous_state(fixtures, teams), "state")
-    kind = fixtures.select("round_name", "priority")
+    state = cut_lineage(_previous_state(*_event_sources(spark, d), ["priority"]), "state")
     broken = (
-        state.join(kind, "round_name")
+        state
         .withColumn("opponent", F.when(F.col("priority") == "3-MEDIUM", "?").otherwise(F.col("opponent")))
         .withColumn("sequence", F.when(F.col("priority") == "5-LOW", -1).otherwise(F.col("sequence")))
         .select(*E.STATE)
     )
-    rounds = state.select("uid", "round_name")
-    return E.check_state(broken).join(rounds, "uid").select(
+    return E.check_state(broken, ["round_name"]).select(
         "round_name", "team_id", F.size("reasons").alias("failed")
     )
 

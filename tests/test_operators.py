@@ -643,3 +643,27 @@ def test_league_class_labels(spark, label, want):
 
     df = spark.createDataFrame([(label,)], "t string")
     assert df.select(league_class(F.col("t"))).first()[0] == want
+
+
+def test_check_state_reports_every_row_with_its_reasons(spark):
+    """Also rows that share a uid and rows without one; columns asked for stay."""
+    sources = spark.createDataFrame(
+        [(f"r{n}", "A", "B") for n in range(4)], "round_name string, home string, away string"
+    ).select(
+        F.lit("s").alias("season"), F.lit("l").alias("league"), "round_name", "home", "away",
+        F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")).alias("starts_at"),
+        F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("location_warning"),
+        F.substring("round_name", 2, 1).cast("int").alias("n"),
+    )
+    teams = spark.createDataFrame([("A", "club-1-team-1")], "team string, team_id string")
+    found = events.team_events(sources, teams, ["n"])
+    state = found.withColumn("sequence", F.lit(0)).withColumn("last_modified", F.lit("t"))
+    broken = state.unionByName(state.where("n = 1").withColumn("sequence", F.lit(-1))).withColumn(
+        "uid", F.when(F.col("n") == 2, None).otherwise(F.col("uid"))
+    ).withColumn("status", F.when(F.col("n") == 3, "LOST").otherwise(F.col("status")))
+    got = events.check_state(broken, ["n"])
+    assert got.columns == ["uid", "team_id", "n", "reasons"]
+    assert sorted((r.n, tuple(r.reasons)) for r in got.collect()) == [
+        (1, ("duplicate uid",)), (1, ("duplicate uid", "sequence")),
+        (2, ("uid", "fingerprint")), (3, ("fingerprint", "status")),
+    ]

@@ -198,3 +198,20 @@ def test_cup_lines_of_clubs(spark):
     parsed = spark.createDataFrame(rows, "n int, home string, away string")
     assert sorted(r["n"] for r in M.cup_lines_of_clubs(parsed, clubs).collect()) == [1, 3, 5, 5]
     assert M.cup_lines_of_clubs(parsed, clubs.limit(0)).collect() == []
+
+
+def test_state_rows_are_never_broadcast(spark):
+    """A written table of hashes is larger than its files, so what grows with it meets by a merge."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = plans.QUERIES["Q16_check_state"](spark, FOLDER)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x for x in plan.split("\n") if x.strip()]
+    depth = [len(re.match(r"[ :|+\-*()\d]*", x).group()) for x in lines]
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+            assert not re.search(r"\b(uid|round_name)#", "\n".join(lines[n:below]))
+    assert "SortMergeJoin" in plan
