@@ -22,6 +22,7 @@ from ..functions.text import (
     squeeze,
     team_key,
 )
+from ..lineage import cut_lineage
 from .identity import club_match
 from .ordering import dedupe_first, keep_one, top_k
 
@@ -315,53 +316,67 @@ def coalesce_score(texts: Sequence[Column], homes: Sequence[Column], aways: Sequ
     return F.when((F.size(distinct) == 1) & (no_home == no_away), F.get(distinct, F.lit(0)))
 
 
+def _cup_pattern() -> str:
+    """A whole cup line: date, time, first side (behind a time or not), second side and both scores.
+
+    Groups are possessive, so no choice is taken back: the first word that ends in a date, a time behind
+    it if a side and a lone dash follow, the first lone dash with a word before and behind it, the first
+    score. ``end`` is what ``$`` allows behind a word that is read up to its end. The white space is
+    that of ``_W``, character by character, which is the fastest to look up.
+    """
+    space, end = r"[ \t\n\x0B\f\r\u00a0]", r"[\u0085\u2028\u2029]?"
+    word = rf"{space.replace('[', '[^')}++"
+    dash = rf"{space}++-{space}++"
+    side = rf"({word}(?:{space}++(?!-{space}){word})*+)"
+    date = rf"(?>.*?(\d\d\.\d\d\.\d{{4}}){end}(?={space}))"
+    sides = rf"(?>({space}++\d\d:\d\d{end}){space}++{side}{dash}|{space}++{side}{dash})"
+    return rf"(?s)^{date}{sides}(.*?){space}(\d++){space}*+:{space}*+(\d+).*$"
+
+
 def parse_cup_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Cup lines with a mandatory date and score, which may stand anywhere in the line.
 
     The first word that ends in a date opens the sides, perhaps after a time; the first lone dash
-    divides them, and the first score behind the second side closes them.
+    divides them, and the first score behind the second side closes them. A line is read by one
+    pattern, whose parts come with a mark between them that no text holds.
     """
-    date, score = r"\d\d\.\d\d\.\d{4}$", rf"{_W}(\d+){_W}*:{_W}*(\d+)"
-    plain, spaced = _words(clean(F.col(line)))
-    rows = lines.select(*lines.columns, plain.alias("_p"), spaced.alias("_w"))
-    found = F.array_position(F.transform("_p", lambda w: w.rlike(date)), True).cast("int")
-    rows = rows.withColumn("_at", F.when(found > 0, found - 1))
-    size, plain = F.size("_p"), F.col("_p")
-    timed = F.when(_word(F.col("_at") + 1).rlike(r"^\d\d:\d\d$"), F.col("_at") + 2)
-    # A time without a side behind it is the side itself.
-    rows = rows.withColumn("_timed", F.when(_dash(plain, timed, size).isNotNull(), timed))
-    rows = rows.withColumn("_from", F.coalesce("_timed", F.col("_at") + 1))
-    rows = rows.withColumn("_cut", _dash(plain, F.col("_from"), size))
-    time = F.when(F.col("_timed").isNotNull(), F.get("_w", F.col("_at") + 1))
+    mark, held, other = "\x01", "\x02a", "\x02b"
+    put = lambda c, *pairs: c if not pairs else put(
+        F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]
+    )
+    text = put(clean(F.col(line)), ("\x02", other), (mark, held))
+    # Without a side behind it a time is the side itself.
+    read = F.regexp_replace(text, _cup_pattern(), mark.join(["$1$2", "$3$4", "$5", "$6", "$7"]))
+    rows = lines.select(*lines.columns, F.split(read, mark).alias("_p"))
+    side = lambda i: put(F.get("_p", F.lit(i)), (held, mark), (other, "\x02"))
     rows = _once(
         rows, lines.columns,
-        date_text=F.concat(
-            F.regexp_extract(_word(F.col("_at")), date, 0), F.coalesce(time, F.lit(""))
-        ),
-        home=_between(F.col("_w"), F.col("_from"), F.col("_cut")),
-        _rest=_between(F.col("_w"), F.col("_cut") + 1, size),
-    )
-    return rows.where(F.col("_rest").rlike(score)).select(
-        *lines.columns, "date_text", "home",
-        clean(F.get(F.split("_rest", score, 2), F.lit(0))).alias("away"),
-        F.regexp_extract("_rest", score, 1).try_cast("bigint").alias("home_score"),
-        F.regexp_extract("_rest", score, 2).try_cast("bigint").alias("away_score"),
+        date_text=F.get("_p", F.lit(0)),
+        home=side(1),
+        away=clean(side(2)),
+        home_score=F.get("_p", F.lit(3)).try_cast("bigint"),
+        away_score=F.get("_p", F.lit(4)).try_cast("bigint"),
     )
+    return rows.where(F.col("home").isNotNull())
 
 
 def cup_lines_of_clubs(parsed: DataFrame, clubs: DataFrame) -> DataFrame:
     """Parsed cup lines with a side that belongs to one of the ``clubs``, each line once.
 
     ``clubs``: club. Names belong to a club as in ``club_match``. Sides are matched as distinct names;
-    a name that stands in many lines costs no more than one.
+    a name that stands in many lines costs no more than one. The lines are written, as they are read
+    for the names and again for the result. So are the distinct names, else what ``club_match`` asks of
+    a name would be pushed to every line, and the names found, whose size Spark knows then.
     """
+    parsed = cut_lineage(parsed, "cup-lines")
     names = parsed.select(F.explode(F.array("home", "away")).alias("target")).distinct()
-    own = club_match(clubs, names).select("target").distinct()
+    own = club_match(clubs, cut_lineage(names, "cup-names")).select("target").distinct()
+    own = cut_lineage(own, "cup-names-found")
+    kept = parsed
     for side in ("home", "away"):
         found = own.select(F.col("target").alias(side), F.lit(True).alias(f"_{side}"))
-        parsed = parsed.join(found, side, "left")
-    kept = parsed.where(F.col("_home") | F.col("_away"))
-    return kept.drop("_home", "_away")
+        kept = kept.join(found, side, "left")
+    return kept.where(F.col("_home") | F.col("_away")).select(*parsed.columns)
 
 
 # --- meetings --------------------------------------------------------------------------------

@@ -667,3 +667,17 @@ def test_check_state_reports_every_row_with_its_reasons(spark):
         (1, ("duplicate uid",)), (1, ("duplicate uid", "sequence")),
         (2, ("uid", "fingerprint")), (3, ("fingerprint", "status")),
     ]
+
+
+def test_odd_cup_lines(spark):
+    """No choice is taken back, white space inside a side stays, and any character may stand in one."""
+    data = [
+        (0, "06.09.2025 20:00 - B 3:1 - C"), (1, "07.09.2025 \n19:30\t- -\u00a0 A  1 -\x0bB 2\r\n10 : 2 3:1"),
+        (2, "x06.09.2025 07.09.2025 A - B 3:1"), (3, "06.09.20251 A - B 3:1"), (4, "06.09.2025 A\x01\x02 - \x02a 1:0"),
+        (5, "06.09.2025 A - 3:1"), (6, "06.09.2025 A - B 99999999999999999999:1"), (7, "06.09.2025 A -"),
+    ]
+    got = matches.parse_cup_lines(spark.createDataFrame(data, "n int, line string"))
+    assert rows(got, "n", "date_text", "home", "away", "away_score") == [
+        (1, "07.09.2025 \n19:30", "-", "A  1 -\x0bB 2", 2), (2, "06.09.2025", "07.09.2025 A", "B", 1),
+        (4, "06.09.2025", "A\x01\x02", "\x02a", 0), (6, "06.09.2025", "A", "B", 1),
+    ]

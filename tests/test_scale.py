@@ -215,3 +215,15 @@ def test_state_rows_are_never_broadcast(spark):
             below = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
             assert not re.search(r"\b(uid|round_name)#", "\n".join(lines[n:below]))
     assert "SortMergeJoin" in plan
+
+
+def test_cup_lines_are_read_once_for_names_and_result(spark):
+    """Neither the lines nor what is asked of a name is computed again behind the written tables."""
+    texts = [(n, f"06.09.2025 20:00 {a} - Gast {n} 3:1") for n, a in enumerate(["Ring Nord", "Haus Süd", "Ring Nord 2"])]
+    parsed = M.parse_cup_lines(spark.createDataFrame(texts, "n int, line string"))
+    clubs = spark.createDataFrame([("Ring Nord",)], "club string")
+    kept = M.cup_lines_of_clubs(parsed, clubs)
+    assert kept.columns == parsed.columns
+    assert sorted(r["n"] for r in kept.collect()) == [0, 2]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp|rlike|array_join|Generate|pythonUDF", plan, re.I)
