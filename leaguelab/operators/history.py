@@ -317,19 +317,26 @@ def usable_history(segments: DataFrame, segment_rounds: DataFrame) -> DataFrame:
     same year, is dropped as a whole.
     """
     columns = segments.columns
-    name = lowered(squeeze(F.col("name")))
-    # A player has a handful of segments per season, so these windows are as long as a career.
+    # A player has a handful of segments per season, so these windows are as long as a career. The
+    # career comes first, behind the names, which Python reads: its rows move by player, once, and all
+    # that follows finds them in one place. Rows without an end of the season are bad by their reasons.
     season, career = Window.partitionBy(*SEASON), Window.partitionBy("player_id")
+    ended = F.col("season_end").isNotNull()
+    distinct = lambda *c: F.size(F.collect_set(F.when(ended, F.struct(*c))).over(career))
     checked = (
         check_rows(segments)
-        .repartition("player_id")
-        .withColumn("_conflict", F.min(name).over(season) != F.max(name).over(season))
-        .withColumn("_twice", F.min("season_end").over(season) != F.max("season_end").over(season))
-        .withColumn("_bad", F.bool_or((F.size("reasons") > 0) | F.col("_twice")).over(career))
-        .where(~F.col("_bad"))
-    )
-    return _with_overlap(checked, segment_rounds).select(
-        *columns, (F.col("_conflict") | F.col("round_overlap_ambiguous")).alias("ambiguous")
+        .withColumn("_name", lowered(squeeze(F.col("name"))))
+        .withColumn("_wrong", F.bool_or(F.size("reasons") > 0).over(career))
+        .withColumn("_twice", distinct("season_start") != distinct("season_start", "season_end"))
+        .where(~F.col("_wrong") & ~F.col("_twice"))
+        .withColumn("_conflict", F.min("_name").over(season) != F.max("_name").over(season))
+    )
+    overlap = overlap_ambiguous(segment_rounds).groupBy("player_id").agg(
+        F.collect_set("season_start").alias("_overlaps")
+    )
+    overlaps = F.coalesce(F.array_contains("_overlaps", F.col("season_start")), F.lit(False))
+    return checked.join(overlap, "player_id", "left").select(
+        *columns, (F.col("_conflict") | overlaps).alias("ambiguous")
     )
 
 

@@ -13,7 +13,7 @@ from ..operators import roster as T
 from ..operators.ordering import largest_remainder
 from .rating_queries import EDGES_SQL, PRIORS_SQL, SEASON_ROWS_SQL
 from .registry import query
-from .roles import SEGMENTS_SQL, segment_rounds, table, with_ctes
+from .roles import SEGMENTS_SQL, segment_key, segment_rounds, table, with_ctes
 
 # --- line-up slots from order lines: four lines of an order are a line-up -------------------------
 
@@ -255,8 +255,9 @@ _LINED = with_ctes(SEGMENTS_SQL, _GAMES_SQL)
 
 
 def _history(spark, d):
-    long = segment_rounds(spark, d)
-    history = cut_lineage(H.usable_history(H.build_segments(long), long))
+    long = segment_rounds(spark, d, once=True)
+    usable = H.usable_history(H.build_segments(long), long)
+    history = cut_lineage(usable.drop("segment_id")).withColumn("segment_id", segment_key())
     return long, history, H.season_class_totals(history)
 
 
@@ -276,10 +277,10 @@ def _lined_up(spark, d, long, history):
         goals.alias("home_score"), (16 - goals).alias("away_score"),
     )
     unique = O.distinct_matches(I.map_match_teams(games, mapping))
-    usable = history.where(F.col("eligible") & ~F.col("ambiguous")).select(
-        "player_id", "season_start", "segment_id"
-    )
-    rounds = long.join(usable, ["player_id", "season_start", "segment_id"], "left_semi").withColumn(
+    # The columns of a segment's id, without the id: eligible segments have a class, participants a club.
+    segment = ["player_id", "season_start", "class_ord", "club_no"]
+    usable = history.where(F.col("eligible") & ~F.col("ambiguous")).select(*segment)
+    rounds = long.join(usable, segment, "left_semi").withColumn(
         "team_label", F.lit(None).cast("string")
     )
     lineups = O.full_lineups(O.match_participants(rounds, mapping))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES
+from ..lineage import cut_lineage
 from ..operators.history import build_segments, segment_id
 
 CLASS_LABELS = [*CLASSES, "Mixklasse"]
@@ -138,8 +139,16 @@ totals AS (
 )"""
 
 
-def segment_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Long form of the history: one row per segment and round."""
+def segment_key():
+    """Id of a segment from the columns that tell it; it is cheaper to make than to move or write."""
+    return segment_id("player_id", "season_start", "class_ord", "club_no")
+
+
+def segment_rounds(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
+    """Long form of the history: one row per segment and round.
+
+    ``once`` writes the sums of the rounds, for plans that read them several times.
+    """
     bump = F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40), 1).otherwise(0)
     club = F.when(F.col("l_linenumber") >= 6, F.col("l_suppkey") % 25).otherwise(
         F.col("l_partkey") % 25
@@ -155,6 +164,7 @@ def segment_rounds(spark: SparkSession, folder: str) -> DataFrame:
     played = lines.groupBy("player_id", "season_start", "_bump", "club_no", "round").agg(
         F.sum("_q").cast("bigint").alias("points")
     )
+    played = cut_lineage(played, "rounds") if once else played
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias("player_id"), "p_size", F.col("p_name").alias("name")
     )
@@ -164,7 +174,7 @@ def segment_rounds(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("class_ord", ordinal)
         .select(
             "player_id", "season_start", (F.col("season_start") + 1).alias("season_end"),
-            segment_id("player_id", "season_start", "class_ord", "club_no").alias("segment_id"),
+            segment_key().alias("segment_id"),
             "name", class_label(F.col("class_ord")).alias("league"), "class_ord", "club_no",
             ((F.col("player_id") + F.col("season_start") + F.col("_bump")) % 9).alias("rank"),
             "round", "points",

@@ -681,3 +681,26 @@ def test_odd_cup_lines(spark):
         (1, "07.09.2025 \n19:30", "-", "A  1 -\x0bB 2", 2), (2, "06.09.2025", "07.09.2025 A", "B", 1),
         (4, "06.09.2025", "A\x01\x02", "\x02a", 0), (6, "06.09.2025", "A", "B", 1),
     ]
+
+
+def test_usable_history_judges_seasons_and_careers(spark):
+    """Two ends of a season or one bad row drop the player; names and rounds make a season ambiguous."""
+    data = [
+        ("1", 2000, 2001, "a", "Eva", 5), ("1", 2001, 2002, "b", "Eva", 5),
+        ("2", 2000, 2001, "c", "Eva", 5), ("2", 2000, 2002, "d", "Eva", 5), ("2", 2003, 2004, "e", "Eva", 5),
+        ("3", 2000, None, "f", "Eva", 5), ("3", 2001, 2002, "g", "Eva", 5),
+        ("4", 2000, 2001, "h", "Eva", 5), ("4", 2000, 2001, "i", "EVA ", 5), ("4", 2001, 2002, "j", "Eva", 5),
+        ("4", 2001, 2002, "k", "Ida", 5), ("5", 2000, 2001, "l", "Eva", 5), ("5", 2000, 2001, "m", "Eva", 6),
+        ("5", 2001, 2002, "n", "Eva", 5), (None, 2001, 2002, "o", "Eva", 5),
+    ]
+    long = spark.createDataFrame(
+        data, "player_id string, season_start int, season_end int, segment_id string, name string, points bigint"
+    ).withColumns({
+        "league": F.lit("A"), "class_ord": F.lit(0), "club_no": F.lit("7"), "rank": F.lit(1).cast("bigint"),
+        "round": F.lit(1).cast("bigint"),
+    })
+    got = history.usable_history(history.build_segments(long), long)
+    assert rows(got, "segment_id", "ambiguous") == [
+        ("a", False), ("b", False), ("h", False), ("i", False), ("j", True), ("k", True),
+        ("l", True), ("m", True), ("n", False),
+    ]

@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaguelab import plans
+from leaguelab.operators import history
 from leaguelab.operators import matches as M
 from leaguelab.operators.lookups import dealt_join, lookup
 from leaguelab.operators.ordering import with_position
 from leaguelab.operators.medians import bin_of, weighted_medians
+from leaguelab.plans import roles
 
 plans.load_all()
 FOLDER = "/root/testdata/sf0.001"
@@ -227,3 +229,18 @@ def test_cup_lines_are_read_once_for_names_and_result(spark):
     assert sorted(r["n"] for r in kept.collect()) == [0, 2]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"regexp|rlike|array_join|Generate|pythonUDF", plan, re.I)
+
+
+def test_history_rows_move_by_player_and_without_ids(spark):
+    """A segment's id is 71 letters that no codec makes smaller; rows of a season move with its player."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = roles.segment_rounds(spark, FOLDER)
+        usable = history.usable_history(history.build_segments(long), long).drop("segment_id")
+        plan = usable._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\(player_id#\d+L?, season_start#\d+, \d+\)", plan)
+    assert "REPARTITION" not in plan
+    lined = plans.QUERIES["J8_J17_lined_up_matches"](spark, FOLDER)
+    assert "segment_id" not in lined._jdf.queryExecution().executedPlan().toString()
